@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash
+from . import decontam, linededup, minhash, toxicity
 from .common import table
 
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,6 +25,39 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumn("held_out", ~toxicity.may_train(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
+), nb AS (
+  SELECT doc_id, no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k
+  FROM l WHERE trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
+), w AS (
+  SELECT doc_id, k, line AS a, lead(line, 1) OVER (PARTITION BY doc_id ORDER BY k) AS b, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM nb
+), later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM w WHERE c IS NOT NULL) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, k + j AS k FROM later, (VALUES (0), (1), (2)) v(j)),
+removed AS (SELECT nb.doc_id, nb.no FROM nb JOIN gone USING (doc_id, k)),
+kept AS (
+  SELECT l.doc_id, coalesce(string_agg(l.raw, chr(10) ORDER BY l.no), '') AS text FROM l LEFT JOIN removed r USING (doc_id, no) WHERE r.no IS NULL GROUP BY 1
+)
+SELECT d.doc_id, (SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id) AS n_lines,
+  (SELECT count(*) FROM removed r WHERE r.doc_id = d.doc_id) AS removed_lines, coalesce(k.text, '') AS text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+)
+def op3_window_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     rf"""
 WITH RECURSIVE w AS (

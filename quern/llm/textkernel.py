@@ -67,9 +67,13 @@ class Words:
     data: np.ndarray
     offsets: np.ndarray
 
+    def heads(self, sizes: tuple[int, ...]) -> np.ndarray:
+        """Hashes of the words' first bytes, a row for each size; shorter words count whole."""
+        return _hash(self.data, self.start, self.end, sizes)
 
-def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), U64)
+
+def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...] = ()) -> np.ndarray:
+    out = np.empty((max(1, len(sizes)), len(start)), U64)
     k = 0
     while k < len(start):  # pieces that begin and end at words
         last = max(int(np.searchsorted(end, start[k] + SLICE_BYTES, "right")), k + 1)
@@ -79,9 +83,10 @@ def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         sums[0] = 0
         np.cumsum(_TABLE[data[a:b]] * powers[: b - a], out=sums[1:])
         s, e = start[k:last] - a, end[k:last] - a
-        out[k:last] = (sums[e] - sums[s]) * inverses[s]
+        for j, n in enumerate(sizes or (b - a,)):
+            out[j, k:last] = (sums[np.minimum(e, s + n)] - sums[s]) * inverses[s]
         k = last
-    return mix(out)
+    return mix(out) if sizes else mix(out[0])
 
 
 def words(texts: pa.Array, separators: np.ndarray = SPACE, hashed: bool = True) -> Iterator[Words]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, packing, topk, toxicity
+from . import decontam, licenses, linededup, minhash, packing, preference, topk, toxicity, urlfilter, warc
 from .common import table
 
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,6 +25,23 @@ def query(sql: str | None = None):
     return register
 
 
+@query(
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(b)) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT h.page_id, h.payload_bytes, h.payload_digest, CASE WHEN f.first IS NULL OR f.first = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first <> h.page_id THEN f.first END AS refers_to
+FROM h LEFT JOIN f ON f.payload_digest = h.payload_digest AND h.payload_bytes >= 100
+"""
+)
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder, parts = warc.archive(pages)
+    keys = pages.select(warc.key_of(F.col("url"), F.col("page_id")).alias("key"))
+    return warc.fetch(warc.lookup(keys, parts, folder), folder).drop("url")
+
+
 @query()
 def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +97,54 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), words=4, percent=80).drop("row")
 
 
+@query(
+    """
+WITH c AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (
+  SELECT pair_id AS p, turn AS "end", text AS reply FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC NULLS LAST) = 1
+), ends AS (SELECT a.p, a."end", a.reply, b.reply AS other FROM last a JOIN last b ON b.p + 1 = a.p),
+rows AS (SELECT c.* FROM c JOIN ends ON p = pair_id AND turn < "end"),
+both_sides AS (
+  SELECT 'chosen' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, "end", 'assistant', reply FROM ends)
+  UNION ALL SELECT 'rejected' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, "end", 'assistant', other FROM ends)
+), turns AS (
+  SELECT pair_id, turn, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE side = 'chosen') AS a, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE side = 'rejected') AS b
+  FROM both_sides GROUP BY 1, 2
+), split AS (SELECT pair_id, min(turn) AS split FROM turns WHERE a IS DISTINCT FROM b GROUP BY 1),
+placed AS (
+  SELECT s.pair_id, CASE WHEN split IS NULL OR turn < split THEN 'prompt' ELSE side END AS part, turn, role, '<|im_start|>' || role || chr(10) AS head, text
+  FROM both_sides s LEFT JOIN split USING (pair_id) WHERE NOT (side = 'rejected' AND (split IS NULL OR turn < split))
+)
+SELECT pair_id, part, turn, role, head || text || '<|im_end|>' || chr(10) AS rendered,
+  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS INTEGER) AS learn_from,
+  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) + length(text) + 11 ELSE 0 END AS INTEGER) AS learn_to
+FROM placed
+"""
+)
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(*preference.with_foreign_reply(table(spark, sf_dir, "conversations")))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{name}', {size}, '{gram}', {n})" for name, size, gram, n in licenses.template_bigrams(licenses.TEMPLATES))
+    return rf"""
+WITH t(license, size, gram, t) AS (VALUES {rows}),
+seg AS (
+  SELECT doc_id, 0 AS line, text AS s FROM documents WHERE len(string_split(text, chr(10))) > 1
+  UNION ALL SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS s FROM documents
+), w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(lower(s), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM seg),
+g AS (SELECT doc_id, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w),
+c AS (SELECT doc_id, line, n, gram, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT doc_id, line, n, license, size, CAST(sum(least(c, t)) AS BIGINT) AS shared FROM c JOIN t USING (gram) GROUP BY ALL)
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, shared, 2 * shared / CAST(n + size AS DOUBLE) AS dice FROM m WHERE 2 * shared / CAST(n + size AS DOUBLE) >= 0.8
+"""
+
+
+@query(_license_sql())
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
 WITH v AS (
@@ -96,6 +161,45 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def _verdict_sql() -> str:
+    """Rules, then the rounds of both walks written out."""
+    u = urlfilter
+    parsed = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+    host = "translate(regexp_extract({0}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
+    href = u.HREF.replace("'", "''")
+    rounds = "".join(
+        f""", r{k} AS (SELECT way, host, sum(m) AS m FROM (
+  SELECT e.way, e.dst AS host, m * p * {u.DAMPING} AS m FROM r{k - 1} r JOIN e ON e.way = r.way AND e.src = r.host UNION ALL SELECT * FROM r0) GROUP BY 1, 2)"""
+        for k in range(1, u.ROUNDS + 1)
+    )
+    return f"""
+WITH a AS (SELECT page_id, html, {parsed.format("coalesce(url, '')")} AS rest FROM pages),
+b AS (SELECT page_id, html, {host.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+rules(verdict, h, p) AS (VALUES {rules}),
+fit AS (
+  SELECT page_id, h || p AS rule, verdict FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p) = 1
+), j AS (SELECT b.page_id, b.host, b.path, f.rule, f.verdict FROM b LEFT JOIN fit f USING (page_id)),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS b FROM j WHERE host <> '' GROUP BY 1),
+r0 AS (
+  SELECT 0 AS way, host, 1 - {u.DAMPING} AS m FROM hosts WHERE 2 * a >= n UNION ALL SELECT 1, host, 1 - {u.DAMPING} FROM hosts WHERE 2 * b >= n
+), href AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS link FROM b),
+l AS (SELECT src, {host.format(parsed.format("CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END"))} AS dst, count(*) AS n FROM href GROUP BY 1, 2),
+k AS (SELECT * FROM l WHERE src <> '' AND dst <> '' AND src <> dst),
+e AS (
+  SELECT 0 AS way, src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM k UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM k
+){rounds},
+bad AS (SELECT host FROM r{u.ROUNDS} GROUP BY 1 HAVING round(sum(m) FILTER (WHERE way = 1), 9) >= {u.THRESHOLD} AND round(sum(m) FILTER (WHERE way = 1), 9) > round(coalesce(sum(m) FILTER (WHERE way = 0), 0), 9))
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON bad.host = j.host
+"""
+
+
+@query(_verdict_sql())
+def op8_host_rank_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op9_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

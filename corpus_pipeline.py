@@ -1,8 +1,68 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: toxic documents go, repeated lines go, near-duplicates leave one of each group,
+contaminated documents go, and the rest is packed into sequences.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of docs.  run() writes
+each stage's result as Parquet in the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import common, decontam, linededup, minhash, packing, toxicity
+
+#: Toxicity, tiling and packing have no form in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents scored 0.7 or more by a model of the labels that may teach."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select(F.struct("*").alias("d"), F.col("text").alias("t")), model, text="t")
+    return scored.where("predicted = 0").select("d.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cleans texts of repeated three-line windows; a document that loses all of its lines goes."""
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    clean = linededup.dedup(rows, doc_id="i", text="t").where("removed_lines = 0 or n_lines > removed_lines")
+    keep = {"text": F.col("t"), "n_chars": F.when(F.col("removed_lines") > 0, F.length("t")).otherwise(F.col("d.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("t")}
+    return clean.select(*[keep.get(c, F.col(f"d.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of five-word shingle sets at similarity 0.8 or more."""
+    name = lambda i, fp: F.concat(F.coalesce(i.cast("string"), F.lit("-")), F.lit(":"), F.hex(fp))
+    key = common.row_key(F.col("doc_id").cast("long"), F.col("text"))
+    kept = minhash.groups(docs).where("kept").select(name(F.col("row.id"), F.col("row.fp")).alias("k")).distinct()
+    rows = docs.select(F.struct("*").alias("d"), key.alias("row")).select("d", name(F.col("row.id"), F.col("row.fp")).alias("k"))
+    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("d.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents whose tiles cover 0.8 or more of a benchmark item."""
+    rows = docs.select(F.struct("*").alias("d"), F.col("text").alias("t"))
+    return decontam.decide(rows, common.table(spark, sf_dir, "benchmark"), text="t").where("not contaminated").select("d.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their bins."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    path = common.scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = common.stored(stage(spark, docs, sf_dir), f"{path}/{k}")
+    return docs

@@ -7,7 +7,7 @@ the start.  Classes that share a band form a bucket:
 1. every member is compared, on full sets, with the bucket's smallest member (the pivot); pivots with
    many members are salted, so the work is linear in the buckets' sizes and spread;
 2. components of these links leave few buckets with members in different components.  Those are
-   compared completely, in blocks of at most 2 * BLOCK sets, by one matrix product a block pair; only
+   compared completely, in blocks of about BLOCK sets or BLOCK_BYTES, by one matrix product a block pair; only
    a spanning forest of the links leaves a task, never the pairs;
 3. components of all links are the result.
 
@@ -35,7 +35,8 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 SALT_ROWS = 512
-BLOCK = 256
+BLOCK = 1024
+BLOCK_BYTES = 32 << 20
 _A = (K.seeds(BANDS * ROWS // 2, 71) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
 _B = (K.seeds(BANDS * ROWS // 2, 73) >> np.uint64(16)).astype(np.uint32)[:, None]
 _MULT = K.seeds(ROWS, 79)
@@ -188,11 +189,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     rows = common.stored(drawn, f"{path}/rows")
 
     # classes of equal sets, with dense unique ids
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("row.id").alias("least"), F.first("bands").alias("bands"))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("row.id").alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = common.stored(classes.withColumn("id", F.monotonically_increasing_id()), f"{path}/classes")
 
     keys = classes.select("id", F.explode("bands").alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    full = sized.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1")
     member = common.stored(keys.join(full, "bucket"), f"{path}/members")
 
     need = member.select("id").distinct().join(classes.select("id", "row"), "id")
@@ -210,9 +212,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     label = components(links)
 
     # buckets whose members are still apart; those of two are settled, and equal buckets count once
-    apart = member.where("size > 2").join(label, member["id"] == label["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    left = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2")).where("x <> y")
-    left = left.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    apart = member.where("size > 2").join(label, member["id"] == label["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("label"), "mass")
+    left = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.max("mass").alias("mass"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2")).where("x <> y")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") * 8 / BLOCK_BYTES)).cast("int")
+    left = left.groupBy("size", "s1", "s2", "mass").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
     rest = common.stored(apart.join(left, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")), f"{path}/rest")
     if not rest.isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

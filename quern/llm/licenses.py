@@ -7,8 +7,7 @@ can match; segments that fit none are dropped before any bigram is made.  Bigram
 templates' bigrams in a broadcast join (the templates are a fixed list), and only shared ones are counted.
 
 All of it is DataFrame code.  Defined cases: null and empty texts, and segments of under two words, match
-nothing; all templates at or over the threshold are reported; documents equal in id and text are one in
-the counts but reported for each row; an empty table gives an empty result; extra columns are ignored.
+nothing; all templates at or over the threshold are reported, for every row that holds the segment; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,15 +67,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     lines = F.split(F.col(text), "\n")
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col(text).alias("s")))).otherwise(F.array().cast("array<struct<line: int, s: string>>"))
     parts = F.concat(whole, F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("s"))))
-    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.explode(parts).alias("p"))
-    own = own.select("doc_id", "th", "p.line", _words(F.col("p.s")).alias("w")).withColumn("n", F.size("w") - 1)
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(parts).alias("p"))
+    own = own.select("doc_id", "row", "p.line", _words(F.col("p.s")).alias("w")).withColumn("n", F.size("w") - 1)
     fits = F.lit(False)
     for low, high in ranges:
         fits = fits | F.col("n").between(low, high)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    grams = own.where(fits).select("doc_id", "th", "line", "n", F.explode(pairs).alias("gram"))
+    grams = own.where(fits).select("doc_id", "row", "line", "n", F.explode(pairs).alias("gram"))
     both = grams.join(table, "gram").where((2 * F.least("n", "size") >= threshold * (F.col("n") + F.col("size"))))
-    counted = both.groupBy("doc_id", "th", "line", "license", "size", "n", "gram", "t").agg(F.count(F.lit(1)).alias("c"))
-    shared = counted.groupBy("doc_id", "th", "line", "license", "size", "n").agg(F.sum(F.least("c", "t")).alias("shared"))
+    counted = both.groupBy("doc_id", "row", "line", "license", "size", "n", "gram", "t").agg(F.count(F.lit(1)).alias("c"))
+    shared = counted.groupBy("doc_id", "row", "line", "license", "size", "n").agg(F.sum(F.least("c", "t")).alias("shared"))
     dice = 2 * F.col("shared") / (F.col("n") + F.col("size"))
     return shared.select("doc_id", "line", "license", "shared", dice.alias("dice")).where(F.col("dice") >= threshold)

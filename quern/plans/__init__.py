@@ -1 +1,4 @@
-"""quern"""
+"""Registered queries over the driver's tables."""
+
+from . import data_plans, text_plans  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401

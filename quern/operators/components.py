@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import scratch as common
+from quern.functions.scratch import scratch, stored
 
 
 def _print(links: DataFrame) -> tuple:
@@ -38,11 +38,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     spark = links.sparkSession
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
-    path = common.scratch(spark, "stars")
-    now = common.stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct(), f"{path}/0")
+    path = scratch(spark, "stars")
+    now = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct(), f"{path}/0")
     seen = _print(now)
     for k in range(1, most_rounds + 1 if seen[0] else 1):
-        now = common.stored(_stars(_stars(now, True), False), f"{path}/{k}")
+        now = stored(_stars(_stars(now, True), False), f"{path}/{k}")
         was, seen = seen, _print(now)
         if was == seen:
             break

@@ -1,58 +1,11 @@
-"""Scratch tables, row identity and small helpers shared by the operators."""
+"""Row identity and tables; scratch tables of the shared folder are the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        _made.append(where)
-    return where if "://" in where or where.startswith("file:") else "file://" + where
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run of an operator.  It is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system of a URI, and the path in it."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def _forget() -> None:
-    for uri in reversed(_made):
-        try:
-            fs, path = open_fs(uri)
-            fs.delete_dir(path)
-        except OSError:  # never written, or gone already
-            pass
-
-
-atexit.register(_forget)
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quern.functions.scratch import open_fs, scratch, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

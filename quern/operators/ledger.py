@@ -50,3 +50,15 @@ def edges(acted: DataFrame) -> DataFrame:
     e = e.withColumn("newest", F.max("effective").over(slot)).withColumn("rivals", F.count(F.lit(1)).over(date)).withColumn("on_time", F.count(F.when(~late, 1)).over(date))
     status = F.when(F.col("effective") < F.col("newest"), "SUPERSEDED").when(F.col("rivals") == 1, "ACTIVE").otherwise("CONTESTED")
     return e.select("slot", "claim", "effective", "seq", "sources", late.alias("late"), status.alias("status"), F.when(late, 0).otherwise(F.col("on_time") - 1).cast("long").alias("conflicts"))
+
+
+def without_last(events: DataFrame, accepted: str = "accepted") -> DataFrame:
+    """Rollback: all events but the last accepted one; the state is that of the rest."""
+    last = events.where(F.col(accepted)).agg(F.max("seq").alias("__last"))
+    return events.join(F.broadcast(last)).where(F.col("__last").isNull() | (F.col("seq") != F.col("__last"))).drop("__last")
+
+
+def state_hash(edges: DataFrame) -> DataFrame:
+    """One order-free digest of the edges: their count and two sums of hashes."""
+    h = lambda k: F.sum(F.xxhash64(F.lit(k), "slot", "claim", F.col("effective").cast("string"), "status").cast("decimal(38,0)"))
+    return edges.agg(F.count(F.lit(1)).alias("edges"), F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), h(1).cast("string"), h(2).cast("string")), 256).alias("state"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text as X
+from quern.functions.scratch import open_fs
 from quern.operators import core
+from quern.operators.evaluation import turn_groups
 
 MOST_BYTES = 32 << 20
 
@@ -91,3 +93,32 @@ def event_log(rows: DataFrame, run: str = "run_id") -> DataFrame:
 def xml_sections(spark: SparkSession, path: str, row_tag: str = "section") -> DataFrame:
     """Title and text of each section of label documents."""
     return spark.read.format("xml").option("rowTag", row_tag).schema("title string, text string").load(path)
+
+
+def relation_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of an ingest file {entities: [{name, type}], relations: [{subject, predicate, object}]}.
+
+    JSON is read by Spark; YAML, if its parser is installed, on the driver (an ingest file is written by hand).
+    """
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        fs, local = open_fs(path if ":" in path else f"file://{path}")
+        with fs.open_input_stream(local) as f:
+            body = yaml.safe_load(f.read().decode()) or {}
+        e = [(x.get("name"), x.get("type")) for x in body.get("entities") or []]
+        r = [(x.get("subject"), x.get("predicate"), x.get("object")) for x in body.get("relations") or []]
+        return spark.createDataFrame(e, "name string, type string"), spark.createDataFrame(r, "subject string, predicate string, object string")
+    one = json_objects(spark, path, "entities array<struct<name: string, type: string>>, relations array<struct<subject: string, predicate: string, object: string>>")
+    return one.select(F.explode("entities").alias("x")).select("x.*"), one.select(F.explode("relations").alias("x")).select("x.*")
+
+
+def session_turns(messages: DataFrame) -> DataFrame:
+    """A row per user turn of agent sessions: its text, steps and tool results that follow it, in order of seq.
+
+    messages: session_id, seq, role, content, tool_call_id.  Messages before any user turn are turn 0.
+    """
+    t = turn_groups(messages)
+    calls = F.collect_list(F.when(F.col("role") == "assistant", F.struct("seq", "content", "tool_call_id")))
+    results = F.collect_list(F.when(F.col("role") == "tool", F.struct("seq", "content", "tool_call_id")))
+    return t.groupBy("session_id", "user_turn").agg(F.max(F.when(F.col("role") == "user", F.col("content"))).alias("text"), F.array_sort(calls).alias("steps"), F.array_sort(results).alias("results"))

@@ -59,3 +59,20 @@ def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     cell = lambda tag, v: f"<{tag}>{escape('' if v is None else str(v), quote=True)}</{tag}>"
     body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
     return f"<h1>{escape(title)}</h1><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table>"
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small aggregate as Markdown; pipes are escaped, larger results are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} rows")
+    line = lambda cells: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in cells) + " |"
+    return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)]) + "\n"
+
+
+def visible(cases: DataFrame, allowed: list[str], sentinel: str | None = None) -> DataFrame:
+    """Only the allowed columns; with a sentinel, any visible text that holds it is a violation."""
+    out = cases.select(*allowed)
+    if sentinel is not None:
+        fail_closed(out.where(F.contains(F.to_json(F.struct("*")), F.lit(sentinel))).select(F.lit("HIDDEN_FIELD_VISIBLE").alias("rule")))
+    return out

@@ -98,23 +98,26 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     y = labels.astype(float)
     if not len(y) or y.min() == y.max():
         return none
-    feature, sentence, doc, sents = [], [], [], 0
     seen, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for w, f, s, d in bags(texts):
-        feature.append(f), sentence.append(s + sents), doc.append(d + w.lo)
         pair = np.unique((d + w.lo)[s] * (1 << BITS) + f)  # a document lies in one slice
         used, own = pair % (1 << BITS), y[pair >> BITS]
         seen += np.bincount(used, minlength=1 << BITS)
         pos += np.bincount(used, own, 1 << BITS)
-        sents += len(d)
-    feature, sentence, doc = np.concatenate(feature, axis=1), np.concatenate(sentence), np.concatenate(doc)
     rate1, rate0 = (pos + 0.5) / (y.sum() + 1), (seen - pos + 0.5) / (len(y) - y.sum() + 1)
     z = np.log(rate1 / rate0) / np.sqrt(1 / (pos + 0.5) + 1 / (seen - pos + 0.5))
     chosen = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(z) >= 2.5))
     index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    f, s = zip(*((index[row][index[row] >= 0], sentence[index[row] >= 0]) for row in feature))
-    f, s = np.concatenate(f), np.concatenate(s)
+    parts, sentence, doc, sents = [], [], [], 0
+    for w, f, s, d in bags(texts):  # once more, keeping the chosen features only
+        kept = index[f]
+        row, word = np.nonzero(kept >= 0)
+        parts.append(kept[row, word])
+        sentence.append((s[word] + sents).astype(np.int32))
+        doc.append((d + w.lo).astype(np.int32))
+        sents += len(d)
+    f, s, doc = np.concatenate(parts), np.concatenate(sentence), np.concatenate(doc)
     theta = np.zeros(len(chosen) + 2)
     theta[-2], theta[-1] = FLOOR, -4.0  # bias; log of the leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import core, entail, ledger, stats
+from quern.operators import comparators, core, entail, ledger, stats
 
 from .registry import query, table
 
@@ -269,19 +269,16 @@ def score_rollup_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT round(least(1.0, n_chars / 2000.0), 3) AS score, quality FROM labels JOIN documents USING (doc_id)), g AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n FROM s GROUP BY 1),
 c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g),
 r AS (SELECT score AS threshold, round(tp / nullif(ps, 0), 6) AS recall, round(fp / nullif(ns, 0), 6) AS false_rate FROM c)
-SELECT * FROM r WHERE false_rate <= 0.2 ORDER BY recall DESC, false_rate, threshold DESC LIMIT 1
+SELECT * FROM (SELECT * FROM r WHERE false_rate <= 0.2 UNION ALL SELECT 1.000001, 0, 0) ORDER BY recall DESC, false_rate, threshold DESC LIMIT 1
 """
 )
 def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most recall, then fewest false alarms, then the highest threshold, with at most a fifth of false alarms.
+    """Most recall, then fewest false alarms, then the highest threshold, with at most a fifth of false alarms; else one above all scores.
 
     Scores have three decimals, so the cumulative window runs over at most 1,001 rows.
     """
     s = _rated(spark, sf_dir).where("n_chars is not null").select(F.round(F.least(F.lit(1.0), F.col("n_chars") / 2000.0), 3).alias("score"), "quality")
-    g = s.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("n"))
-    w, all_ = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")), Window.partitionBy(F.lit(0))
-    r = g.select(F.col("score").alias("threshold"), stats.rate(F.sum("p").over(w), F.sum("p").over(all_)).alias("recall"), stats.rate(F.sum("n").over(w), F.sum("n").over(all_)).alias("false_rate"))
-    return r.where("false_rate <= 0.2").orderBy(F.desc("recall"), "false_rate", F.desc("threshold")).limit(1)
+    return comparators.choose_threshold(s, "score", "quality", 0.2).select("threshold", F.round("recall", 6).alias("recall"), F.round("false_rate", 6).alias("false_rate"))
 
 
 @query(

@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, repeated lines go, near-duplicates leave one of each group,
-contaminated documents go, and the rest is packed into sequences.
+contaminated documents go, repeated passages inside lines go, and the rest is packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of docs.  run() writes
 each stage's result as Parquet in the shared folder and reads it again for the next.
@@ -46,6 +46,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.decide(rows, common.table(spark, sf_dir, "benchmark"), text="t").where("not contaminated").select("d.*")
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cleans texts of repeated runs of 51 words; a document that loses all of its words goes.
+
+    It comes after the stages that judge whole documents, so a part of a benchmark item is never cut from under their eyes,
+    and the occurrence that stays is in a document that stays.
+    """
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    clean = linededup.passages(rows, doc_id="i", text="t").where("not emptied")
+    keep = {"text": F.col("t"), "n_chars": F.when(F.col("removed_words") > 0, F.length("t")).otherwise(F.col("d.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("t")}
+    return clean.select(*[keep.get(c, F.col(f"d.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their bins."""
     return packing.packed(docs)
@@ -56,6 +68,7 @@ STAGES = [
     ("line dedup", drop_repeated_lines),
     ("MinHash near-dedup", keep_one_of_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
+    ("passage dedup", drop_repeated_passages),
     ("best-fit packing", pack),
 ]
 

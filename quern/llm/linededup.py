@@ -11,10 +11,16 @@ skewed join, which Spark splits, so a window that a third of all documents hold
 Defined cases: documents of under three lines have no window and stay as they are, so do null and
 empty texts; null ids come last; rows equal in id and text are one document and lose the same lines;
 an empty table gives an empty result; extra columns stay, those named like the results are replaced.
+
+Passages inside lines have no such window.  passages() finds every run of PASSAGE words, wherever lines
+end: the first occurrence of a run stays, all words that later ones cover go.  A run's least seed of SEED
+words is the same wherever the run occurs, so only runs whose least seed occurs twice are hashed; no
+repeated run is missed.  A run that overlaps its own first occurrence is not a later one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+from . import textkernel as K
+
 WINDOW = 3
+PASSAGE, SEED = 51, 16
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -77,3 +88,106 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         .withColumn(text, F.coalesce("__cut.text", text))
         .drop("__id", "__th", "__starts", "__cut")
     )
+
+
+def least_seeds(h: np.ndarray, words: int = PASSAGE, seed: int = SEED) -> np.ndarray:
+    """Of each run of `words` word hashes, the place of its least seed (the first of equals)."""
+    if len(h) < words:
+        return np.zeros(0, np.int64)
+    seen = np.lib.stride_tricks.sliding_window_view(K.ngrams(h, seed), words - seed + 1)
+    return seen.argmin(axis=1) + np.arange(len(seen))
+
+
+def _lists(counts: list[int], parts: list[list[np.ndarray]], names: list[str]) -> pa.ListArray:
+    """A list of structs for each text, of columns that come in parts."""
+    cols = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in cols], names))
+
+
+def _seeder(words: int, seed: int):
+    @F.arrow_udf("array<struct<at: long, h: long>>")
+    def seeds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            counts, at, hashes = [], [], []
+            for w in K.words(texts):
+                for r in range(w.hi - w.lo):
+                    h = w.hashes[w.ptr[r] : w.ptr[r + 1]]
+                    places = np.unique(least_seeds(h, words, seed))
+                    counts.append(len(places))
+                    at.append(places)
+                    hashes.append(K.ngrams(h, seed)[places])
+            yield _lists(counts, [at, hashes], ["at", "h"])
+
+    return seeds
+
+
+def _runner(words: int, seed: int):
+    @F.arrow_udf("array<struct<at: long, h1: long, h2: long>>")
+    def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, seeds in batches:
+            counts, at, one, two = [], [], [], []
+            for w in K.words(texts):
+                for r in range(w.hi - w.lo):
+                    h = w.hashes[w.ptr[r] : w.ptr[r + 1]]
+                    places = np.flatnonzero(np.isin(least_seeds(h, words, seed), np.array(seeds[w.lo + r].as_py(), np.int64)))
+                    counts.append(len(places))
+                    at.append(places)
+                    one.append(K.ngrams(h, words)[places])
+                    two.append(K.ngrams(K.mix(h + np.uint64(0xA24BAED4963EE407)), words)[places])
+            yield _lists(counts, [at, one, two], ["at", "h1", "h2"])
+
+    return runs
+
+
+def without_passages(text: str, starts: list[int], words: int = PASSAGE) -> tuple[str, int, int]:
+    """text without the runs that begin at these words, how many words go and how many stay."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    edges = np.zeros(len(spans) + 1, np.int64)
+    for a in starts:
+        edges[a] += 1
+        edges[a + words] -= 1
+    gone = np.append(0, (np.cumsum(edges)[:-1] > 0).astype(np.int8))
+    turn = np.flatnonzero(np.diff(np.append(gone, 0))).reshape(-1, 2).tolist()
+    out, at = [], 0
+    for a, b in turn:
+        last, after = (spans[a - 1][1] if a else 0), (spans[b][0] if b < len(spans) else len(text))
+        before, behind = text[last : spans[a][0]], text[spans[b - 1][1] : after]
+        out += [text[at:last], before if not a or (b < len(spans) and "\n" in before) else behind]
+        at = after
+    removed = sum(b - a for a, b in turn)
+    return "".join([*out, text[at:]]), removed, len(spans) - removed
+
+
+def _passage_cutter(words: int):
+    @F.arrow_udf("text string, removed long, stay long")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts in batches:
+            rows = [(None, 0, None) if t is None or s is None else without_passages(t, s, words) for t, s in zip(texts.to_pylist(), starts.to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["text", "removed", "stay"])
+
+    return cut
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE, seed: int = SEED) -> DataFrame:
+    """docs with text cleaned of repeated runs, removed_words, and emptied (no word is left of some)."""
+    path = common.scratch(docs.sparkSession, "passages")
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    seeds = common.stored(own.select("id", "th", F.explode(_seeder(words, seed)(F.col("t"))).alias("s")).select("id", "th", "s.*"), f"{path}/seeds")
+    twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_set("at").alias("seeds"))
+    held = own.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x"))).select("id", "th", F.explode(_runner(words, seed)(F.col("t"), F.col("seeds"))).alias("r"))
+    every = common.stored(held.select("id", "th", "r.*"), f"{path}/runs")
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")
+    first = every.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    near = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + words)
+    later = every.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~near)
+    gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("__starts"))
+    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
+    cut = _passage_cutter(words)(F.when(F.col("__starts").isNotNull(), F.col(text)), F.col("__starts"))
+    return (
+        joined.withColumn("__cut", cut)
+        .withColumn("removed_words", F.coalesce(F.col("__cut.removed"), F.lit(0)).cast("long"))
+        .withColumn("emptied", F.coalesce(F.col("__cut.stay") == 0, F.lit(False)))
+        .withColumn(text, F.coalesce("__cut.text", text))
+        .drop("__id", "__th", "__starts", "__cut")
+    )

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import decontam, licenses, linededup, minhash, packing, preference, topk, toxicity, urlfilter, warc
 from quern.llm import textkernel as K
 from quern.operators import components
@@ -112,6 +113,41 @@ def test_windows_remove_later_occurrences(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
+def plain_passages(rows, words):
+    """(doc_id, words that stay) by comparing every run."""
+    first, out = {}, []
+    for name, text in sorted(rows):
+        w = text.lower().split()
+        stay = [True] * len(w)
+        for k in range(len(w) - words + 1):
+            d, at = first.setdefault(tuple(w[k : k + words]), (name, k))
+            if d != name or k - at >= words:
+                stay[k : k + words] = [False] * words
+        out.append((name, [x for x, s in zip(w, stay) if s]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "".join(rng.choice("aAb") + rng.choice(["\n", " ", "  "]) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    got = [(r["doc_id"], r["text"].lower().split()) for r in linededup.passages(spark.createDataFrame(rows, DOCS).repartition(3), words=8, seed=3).orderBy("doc_id").collect()]
+    assert got == plain_passages(rows, 8) and got != [(i, t.lower().split()) for i, t in rows]
+
+
+def test_pipeline_drops_long_passages_inside_lines(spark):
+    p = " ".join(f"p{i}" for i in range(51))
+    rows = [(1, f"one two {p} three"), (2, f"four\nfive {p} six\nseven"), (3, p), (4, None), (None, f"{p} end"), (5, f"short {p[:-4]}"), (6, f"up\n{p.upper()}\ndown")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = docs
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("line dedup", "passage dedup"):
+            got = stage(spark, got, "")
+    want = [rows[0], (2, "four\nfive six\nseven"), (4, None), (None, "end"), rows[5], (6, "up\ndown")]
+    assert rows_of(got, *docs.columns) == sorted(want, key=repr)
+    assert linededup.passages(docs.limit(0)).count() == 0
+
+
 # ---- 4 near-duplicates
 
 

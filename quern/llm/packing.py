@@ -13,7 +13,8 @@ Documents are dealt by hash into shards of about SHARD rows, so the number of sh
 a shard is packed in one task, which reads ids, sizes and hashes only, never texts.
 
 Defined cases: a null or empty text is one piece of no words; a null source conflicts with none; the
-cluster is, unless a column is named, the text up to ASCII case and white space; pieces that tie are
+cluster is, unless a column is named, the text up to ASCII case and white space (packed_apart() takes the
+group of near-duplicates); pieces that tie are
 taken in the order of doc_id (nulls last), piece, source, cluster; repeated rows are packed each; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common, minhash
+
 CAPACITY = 2048
 SHARD = 8192
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,3 +147,12 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], names=["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_offset"])
 
     return light.groupBy("shard").applyInArrow(run, RESULT)
+
+
+def packed_apart(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", words: int = 5, percent: int = 80, **how) -> DataFrame:
+    """packed() with the groups of near-duplicates as clusters.  Rows with a null id take the text's hash as id for the grouping."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).withColumn("name", F.coalesce("doc_id", F.xxhash64("text")))
+    found = minhash.groups(own, doc_id="name", words=words, percent=percent).where("n_shingles > 0").select("row.id", "row.fp", "component_id").distinct()
+    key = common.row_key(F.col("name"), F.col("text"))
+    rows = own.withColumn("row", key).withColumn("id", F.col("row.id")).withColumn("fp", F.col("row.fp")).drop("row").join(found, ["id", "fp"], "left")
+    return packed(rows, cluster=F.col("component_id"), **how)

@@ -209,4 +209,4 @@ def op9_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed_apart(table(spark, sf_dir, "documents"))

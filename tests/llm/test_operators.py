@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontam, licenses, linededup, minhash, packing, preference, topk, toxicity, urlfilter, warc
+from quern.llm import decontam, licenses, linededup, minhash, packing, preference, queries, topk, toxicity, urlfilter, warc
 from quern.llm import textkernel as K
 from quern.operators import components
 
@@ -339,3 +339,14 @@ def test_packing_keeps_every_word(spark):
     assert got.groupBy("bin_id").agg(F.sum("n_words").alias("n")).agg(F.max("n")).first()[0] <= 128
     assert got.join(docs.select("doc_id", "source"), "doc_id").where("source = 'hot' and doc_id <> 7").groupBy("bin_id").count().agg(F.max("count")).first()[0] == 1
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_op10_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    edited = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words), "a"), (2, edited, "b"), (None, " ".join(["new", *words[1:]]), "c"), (None, edited, "d"), (5, "", "e"), (6, None, "f"), (7, "quite different", "g")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_conflict_packing(spark, str(tmp_path)).collect()
+    assert sum(r["n_words"] for r in got) == 242 and len(got) == 7
+    assert len({r["bin_id"] for r in got if r["n_words"] == 60}) == 4
+    assert len({r["bin_id"] for r in got}) == 4

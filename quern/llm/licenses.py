@@ -1,7 +1,7 @@
 """Licence scan: lines and whole texts against templates by Dice coefficient over word bigrams.
 
 Words are runs of letters and digits in lower case.  A segment (every line, and a text of several lines as
-a whole) and a template are bags of word bigrams; Dice is twice the common count over the sum of sizes.
+a whole; on demand also runs of lines and of sentences) and a template are bags of word bigrams; Dice is twice the common count over the sum of sizes.
 A score of `threshold` bounds the sizes' ratio, so a segment's word count alone tells which templates it
 can match; segments that fit none are dropped before any bigram is made.  Bigrams of the rest meet the
 templates' bigrams in a broadcast join (the templates are a fixed list), and only shared ones are counted.
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+SENTENCE = r"(?<=[.!?;])\s+"
 #: Public licence notices, by SPDX name where there is one.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -58,8 +59,29 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return min(fits), max(fits)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line (from 1; 0 for the whole text), license, shared, dice of each segment that matches."""
+def _inner(text: Column, least: int, most: int) -> Column:
+    """Runs of two and more lines that hold words, and of sentences inside them, of least to most words; line is where one begins."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("s"), F.size(_words(x)).alias("n"))), lambda x: x["n"] > 0)
+    parts = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x["s"], SENTENCE), lambda s: F.struct(x["line"].alias("line"), s.alias("s"), F.size(_words(s)).alias("n")))))
+    parts = F.filter(parts, lambda x: x["n"] > 0)
+
+    def runs(units: Column, shortest: int) -> Column:
+        def of(i: Column) -> Column:
+            some = F.slice(units, i + 1, most)
+            grown = lambda k: F.aggregate(F.slice(some, 1, k), F.lit(0), lambda a, x: a + x["n"])
+            ends = F.filter(F.sequence(F.lit(1), F.size(some)), lambda k: (k >= shortest) & grown(k).between(least, most))
+            return F.transform(ends, lambda k: F.struct(F.get(some, F.lit(0))["line"].alias("line"), F.concat_ws(" ", F.transform(F.slice(some, 1, k), lambda x: x["s"])).alias("s")))
+
+        return F.when(F.size(units) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(units) - 1), of))).otherwise(F.array().cast("array<struct<line: int, s: string>>"))
+
+    return F.array_distinct(F.concat(runs(lines, 2), runs(parts, 1)))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", inner: bool = False) -> DataFrame:
+    """doc_id, line (from 1; 0 for the whole text), license, shared, dice of each segment that matches.
+
+    inner adds runs of lines and sentences, sized by the templates' bounds; line is then where a segment begins.
+    """
     spark = docs.sparkSession
     rows = template_bigrams(TEMPLATES if templates is None else templates)
     table = F.broadcast(spark.createDataFrame(rows or [("", 0, "", 0)], "license string, size int, gram string, t int"))
@@ -67,8 +89,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     lines = F.split(F.col(text), "\n")
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col(text).alias("s")))).otherwise(F.array().cast("array<struct<line: int, s: string>>"))
     parts = F.concat(whole, F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("s"))))
+    if inner and ranges:
+        parts = F.array_distinct(F.concat(parts, _inner(F.col(text), min(low for low, _ in ranges) + 1, max(high for _, high in ranges) + 1)))
     own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(parts).alias("p"))
     own = own.select("doc_id", "row", "p.line", _words(F.col("p.s")).alias("w")).withColumn("n", F.size("w") - 1)
+    if inner:  # segments that begin in one line are counted apart
+        own = own.withColumn("row", F.monotonically_increasing_id())
     fits = F.lit(False)
     for low, high in ranges:
         fits = fits | F.col("n").between(low, high)

@@ -232,6 +232,17 @@ def test_licence_lines(spark):
         assert all((2 * min(n, size) / (n + size) >= 0.8) == (low <= n <= high) for n in range(1, 100))
 
 
+def test_licences_inside_texts(spark):
+    w = licenses.TEMPLATES["MIT-notice"].split()
+    wrapped = "\n".join([*["filler text of other words"] * 20, " ".join(w[:10]), "", " ".join(w[10:20]), " ".join(w[20:]), *["more text follows here"] * 20])
+    rows = [(1, wrapped), (2, "We did a lot of work here and there. All rights reserved. Released under the MIT License. This is some more text."), (3, "Mit grows. Released under the MIT License. Nothing under the mit sun."), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert licenses.scan(docs).count() == 0
+    got = rows_of(licenses.scan(docs, inner=True), "doc_id", "line", "license", "dice")
+    assert {(1, 21, "MIT-notice", 1.0), (2, 1, "MIT", 1.0), (2, 1, "all-rights-reserved", 1.0), (3, 1, "MIT", 1.0)} <= set(got)
+    assert max(r[3] for r in got) == 1.0 and {r[:3:2] for r in got} == {(1, "MIT-notice"), (2, "MIT"), (2, "all-rights-reserved"), (3, "MIT")}
+
+
 # ---- 7 top-k
 
 

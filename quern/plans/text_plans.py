@@ -31,10 +31,11 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (smallest doc_id of an equal word form), form."""
+    """doc_id, rep (smallest doc_id of an equal word form; null texts are one class), form."""
     form = docs.select("doc_id", X.word_form(F.col("text"), X.light_fold).alias("form"))
     reps = form.groupBy(F.sha2("form", 256).alias("h")).agg(F.min("doc_id").alias("rep"))
-    return form.withColumn("h", F.sha2("form", 256)).join(reps, "h").select("doc_id", "rep", "form")
+    own = form.withColumn("own", F.sha2("form", 256))
+    return own.join(reps, own["own"].eqNullSafe(reps["h"])).select("doc_id", "rep", "form")
 
 
 def _near_pairs(classes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import ledger
+from quern.plans import text_plans
 from quern.sources import readers, sinks
 
 
@@ -32,3 +33,9 @@ def test_rollback_and_state_hash(spark):
     assert [r["seq"] for r in back.orderBy("seq").collect()] == ["001", "003"]
     state = lambda d: ledger.state_hash(ledger.edges(ledger.actions(d.where("accepted")))).first()["state"]
     assert state(back) == state(df.limit(1)) != state(df) and state(df) == state(df.orderBy(F.desc("seq")))
+
+
+def test_null_texts_keep_their_component(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "A  b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in text_plans.near_dup_components(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 3, 0)]

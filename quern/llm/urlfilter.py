@@ -25,7 +25,9 @@ from .warc import host_path
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING = 0.85
+#: Rounds that the query's SQL writes out; the walks themselves go on until no host's mass grows by TOLERANCE in KEEP_EVERY rounds.
 ROUNDS = 10
+TOLERANCE, LIMIT = 1e-6, 200
 THRESHOLD = 0.05
 KEEP_EVERY = 5
 HREF = r"(?i)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s<>]*)"
@@ -49,8 +51,8 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.withColumn("dst", target).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust).  seeds: (host, trusted, blocked), masses of the two kinds."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, limit: int = LIMIT) -> DataFrame:
+    """(host, trust, distrust).  seeds: (host, trusted, blocked), masses of the two kinds.  An error if the walks don't settle in `limit` rounds."""
     spark = links.sparkSession
     path = common.scratch(spark, "hosts")
     out = links.groupBy(F.col("src").alias("h")).agg(F.sum("n").alias("w"))
@@ -63,11 +65,19 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     now = base
     if not edges.isEmpty():
         e = edges.select(F.col("way").alias("w"), "src", "dst", "p")
-        for k in range(1, rounds + 1):
+        kept = base
+        for k in range(1, limit + 1):
             moved = now.join(e, (now["way"] == e["w"]) & (now["host"] == e["src"])).select("way", F.col("dst").alias("host"), (F.col("m") * F.col("p") * damping).alias("m"))
             now = moved.union(base).groupBy("way", "host").agg(F.sum("m").alias("m"))
-            if k % KEEP_EVERY == 0 or k == rounds:
+            if k % KEEP_EVERY == 0 or k == limit:
                 now = common.stored(now, f"{path}/{k}")
+                old = kept.select("way", "host", F.col("m").alias("old"))
+                growth = now.join(old, ["way", "host"], "left").agg(F.max(F.abs(F.col("m") - F.coalesce("old", F.lit(0.0))))).first()[0]
+                if growth is None or growth < tolerance:
+                    break
+                kept = now
+        else:
+            raise RuntimeError(f"the walks over hosts did not settle in {limit} rounds")
     mass = lambda way: F.coalesce(F.sum(F.when(F.col("way") == way, F.col("m"))), F.lit(0.0))
     return now.groupBy("host").agg(mass(0).alias("trust"), mass(1).alias("distrust"))
 

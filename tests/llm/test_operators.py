@@ -298,6 +298,16 @@ def test_rules_and_propagation(spark):
     assert urlfilter.judge(frame.limit(0)).count() == 0
 
 
+def test_distrust_settles_on_long_chains(spark):
+    hosts = [f"c{k}.com" for k in range(11)]
+    links = {"c0.com": ["s1.net", "s2.net", "s3.net"]} | {hosts[k]: [hosts[k - 1]] for k in range(1, 11)}
+    rows = [(i, f"http://{h}/", "".join(f'<a href="http://{x}/">' for x in links.get(h, []))) for i, h in enumerate([*hosts, "s1.net", "s2.net", "s3.net"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["verdict"] for r in urlfilter.judge(pages).collect()} == {"block"}
+    with pytest.raises(RuntimeError):
+        urlfilter.judge(pages, limit=5)
+
+
 # ---- 9 decontamination
 
 

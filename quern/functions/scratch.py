@@ -13,9 +13,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own if driver and tasks share one machine, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
         _made.append(where)

@@ -1,7 +1,8 @@
 """WARC archives with a two-level capture index.
 
-write() puts a record per page into gzip-per-record WARC files; payloads that an earlier record holds
-become revisit records.  index() sorts the captures' keys (host reversed, then the path, then the page's
+write() puts a record per page into gzip-per-record WARC files, each of which begins with a warcinfo record;
+payloads that an earlier record holds become revisit records, which name that record's id.  Ids are derived from
+the page's id, kind and payload digest, so a task's second attempt gives the same; rows that repeat share one.  index() sorts the captures' keys (host reversed, then the path, then the page's
 id) into compressed blocks of LINES lines and keeps a sparse directory with each block's first key.
 lookup() finds the index part, binary-searches its directory, and reads the one or two blocks that can
 hold a key by range; fetch() reads records by range, neighbours in one go.
@@ -38,6 +39,7 @@ PARTS = 4096
 ROLL_BYTES = 256 << 20
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
 RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -54,21 +56,32 @@ def key_of(url: Column, page_id: Column) -> Column:
     host, _ = host_path(url)
     tail = F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^#]*)", 1), F.lit(""))
     full = F.regexp_replace(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail), r"[\x00-\x20\x7f]", "+")
-    short = F.when(F.length(full) > 512, F.concat(F.substring(full, 1, 256), F.lit("~"), F.sha2(full, 256))).otherwise(full)
-    return F.concat(short, F.lit(" "), F.coalesce(F.format_string("%020d", page_id), F.lit("-")))
+    return F.concat(full, F.lit(" "), F.coalesce(F.format_string("%020d", page_id), F.lit("-")))
+
+
+def record_id(page_id: int | None, kind: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=sha256(f'{kind} {page_id} {digest}'.encode()).digest()[:16], version=4)}>"
+
+
+def info_record(name: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: quern\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, 'warcinfo', name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
     """A WARC record; a revisit keeps the HTTP head with the payload's length, not the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}"]
+    kind = "response" if refers_to is None else "revisit"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, kind, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 'response', digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -85,12 +98,12 @@ def parse(raw: bytes) -> dict:
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or sha256(payload).hexdigest() != digest):
         raise ValueError("a WARC payload doesn't have its digest")
-    url, refers = fields.get("WARC-Target-URI"), fields.get("WARC-Refers-To")
+    url, refers = fields.get("WARC-Target-URI"), fields.get("X-Refers-To-Page-ID")
     return {
         "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
         "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
         "payload": payload, "payload_bytes": size, "payload_digest": digest, "record_type": kind,
-        "refers_to": int(refers[10:-1]) if refers else None,
+        "refers_to": int(refers) if refers else None, "record_id": fields["WARC-Record-ID"], "refers_to_id": fields.get("WARC-Refers-To"),
     }
 
 
@@ -107,9 +120,12 @@ def _writer(folder: str):
                 if out is None or at >= ROLL_BYTES:
                     if out is not None:
                         out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    head = gzip.compress(info_record(name), 4, mtime=0)
+                    out.write(head)
+                    at = len(head)
                 z = zlib.compressobj(4, zlib.DEFLATED, 31)
                 data = z.compress(record(page, url, batch["payload"][k].as_py() if refers is None else b"", digest, refers, n)) + z.flush()
                 out.write(data)
@@ -254,8 +270,11 @@ def fetch(captures: DataFrame, folder: str, payloads: bool = False) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in zip(names, kinds)], names=names)
                 k = end
 
-    near = captures.withColumn("chunk", F.floor(F.col("offset") / READ_BYTES))
-    near = near.repartition("file", "chunk").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    spark = captures.sparkSession
+    places = common.stored(captures.select("file", "offset", "length"), common.scratch(spark, "places"))
+    total = places.agg(F.sum("length")).first()[0] or 0  # tasks follow the archives' bytes, not the places'
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    near = places.withColumn("chunk", F.floor(F.col("offset") / READ_BYTES)).repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return near.mapInArrow(run, RESULT + ", payload binary" * payloads)
 
 

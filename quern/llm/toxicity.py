@@ -5,11 +5,11 @@ bytes (for inflected forms); a document is toxic if
 any sentence is, so sentence scores meet in a noisy-or with a leak, 1 - (1 - leak) * prod(1 - p), and
 only document labels train the weights.  The same scores then point at the offending sentences.
 
-Labels are learnt from at most MAX_TRAIN labelled documents (a documented bound: those with the smallest
-hash of their id among the rows that may train and have texts of at most MAX_TRAIN_BYTES), all of whose
-text counts; scoring reads every document whole, in one map without a shuffle.  The model is a table of 2**BITS weights, of fixed size.
+Labels are learnt from a bounded sample of labelled documents: those that may train are taken in the order of a hash
+of their id, whole, until max_train documents or max_train_bytes of text are reached (both parameters; texts of any length
+take part alike; a text over the whole bound can't; rows equal in id and text teach once).  Scoring reads every document whole, in one map without a shuffle.  The model is a table of 2**BITS weights, of fixed size.
 
-Defined cases: a null or empty text scores the leak; labels that are null, or of no document, teach
+Defined cases: a null or empty text scores the leak; a null id may train, but no label names it; labels that are null, or of no document, teach
 nothing; a document with several labels is toxic if one says so; without a positive or a negative label
 the scores are 0; repeated rows score alike; an empty table gives an empty result; extra columns stay,
 those named like the results are replaced.
@@ -22,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 
 BITS = 20
 MAX_TRAIN = 6000
-MAX_TRAIN_BYTES = 1 << 15
+MAX_TRAIN_BYTES = 24 << 20
 THRESHOLD = 0.7
 LOCATE = 0.5
 MIN_DOCS = 4
@@ -42,7 +42,7 @@ _ENDS[[10, 13, 33, 46, 63]] = True
 
 def may_train(doc_id: Column) -> Column:
     """The fold that may teach: crc32 of the id as text, modulo 3, is not 1."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
 def bags(texts: pa.Array) -> Iterator[tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,6 +92,22 @@ class Model:
         return out
 
 
+def loss_and_gradient(theta: np.ndarray, f: np.ndarray, s: np.ndarray, doc: np.ndarray, y: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean log loss of the noisy-or over documents with a quadratic penalty, and its gradient.
+
+    theta holds the features' weights, the sentences' bias and the leak's logarithm; f and s are features and their
+    sentences, doc the sentences' documents, y the documents' labels.
+    """
+    x = np.bincount(s, theta[:-2][f], len(doc)) + theta[-2]
+    leak = np.exp(theta[-1])
+    a = np.clip(np.bincount(doc, np.logaddexp(0, x), len(y)) + leak, 1e-9, 500)  # -log of the share that is clean
+    penalty = 5 * l2 / len(y)
+    loss = np.where(y == 1, -np.log(-np.expm1(-a)), a).mean() + penalty * (theta[:-2] ** 2).sum()
+    da = np.where(y == 1, -1 / np.expm1(a), 1.0) / len(y)
+    dx = da[doc] / (1 + np.exp(-np.clip(x, -500, 500)))
+    return loss, np.concatenate((np.bincount(f, dx[s], len(theta) - 2) + 2 * penalty * theta[:-2], [dx.sum(), da.sum() * leak]))
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.25, l2: float = 2e-3) -> Model:
     """Noisy-or over sentences, fitted by Adam on the words that documents of the two labels use unlike."""
     none = Model(np.zeros(1 << BITS), -50.0, 0.0)
@@ -122,12 +138,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     theta[-2], theta[-1] = FLOOR, -4.0  # bias; log of the leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        x = np.bincount(s, theta[:-2][f], sents) + theta[-2]
-        leak = np.exp(theta[-1])
-        a = np.bincount(doc, np.logaddexp(0, x), len(y)) + leak
-        da = np.where(y == 1, -1 / np.expm1(np.clip(a, 1e-9, 500)), 1.0) / len(y)
-        dx = da[doc] / (1 + np.exp(-np.clip(x, -500, 500)))
-        g = np.concatenate((np.bincount(f, dx[s], len(chosen)) + l2 * theta[:-2] / len(y) * 10, [dx.sum(), da.sum() * leak]))
+        _, g = loss_and_gradient(theta, f, s, doc, y, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9) * (1 - k / (rounds + 1))
         theta[-2] = min(theta[-2], FLOOR)
@@ -137,13 +148,19 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     return Model(weights, float(theta[-2]), float(np.exp(theta[-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", trains=may_train, max_train: int = MAX_TRAIN) -> Model:
-    """The model of a bounded sample of labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", trains=may_train, max_train: int = MAX_TRAIN, max_train_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """The model of a bounded sample of labelled documents: the first by hash of id, of text and length, within both bounds."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(trains(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_train))
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_TRAIN_BYTES)
-    rows = own.join(drawn, "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(max_train).select("y", "t").toArrow()
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t is not null").join(drawn, "id")
+    order = [F.xxhash64("id"), F.col("id"), F.col("th")]
+    sized = own.groupBy("id", F.xxhash64("t").alias("th")).agg(F.max(F.octet_length("t")).cast("long").alias("size")).where(F.col("size") <= max_train_bytes)
+    # at most max_train rows of numbers; what they add up to is known before any text moves
+    first = sized.orderBy(*order).limit(max_train).withColumn("sum", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    taken = F.broadcast(first.where(F.col("sum") <= max_train_bytes).select("id", "th"))
+    rows = own.withColumn("th", F.xxhash64("t")).join(taken, ["id", "th"]).groupBy("id", "th").agg(F.first("y").alias("y"), F.first("t").alias("t"))
+    rows = rows.orderBy(*order).select("y", "t").toArrow()
     if not len(rows):
         return fit(pa.array([], pa.string()), np.zeros(0))
     return fit(rows["t"].combine_chunks() if rows["t"].num_chunks != 1 else rows["t"].chunk(0), rows["y"].to_numpy())

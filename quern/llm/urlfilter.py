@@ -7,7 +7,8 @@ distrust runs from blocked seeds against them, so that hosts are answerable for
 A host is blocked if its distrust is at least THRESHOLD of a seed's mass and exceeds its trust.
 
 All of it is DataFrame code.  Links are counted per pair of hosts before the shuffle; each round is one
-join and one aggregation, both directions at once, and is written to the shared folder every few rounds.
+join and one aggregation, both directions at once, and is written to the shared folder every few rounds.  The walks go
+on until no host's mass grows by TOLERANCE; what reaches a host without links ends there, it does not return to the seeds.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule, and is allowed;
 a null or empty page has no links; links within a host, without a host, or relative, don't count; ties of

@@ -5,6 +5,10 @@ looks for the longest common word runs that no tile covers yet, marks them, and
 ones down to min_match.  Tiles may lie in any order, so reordered passages count.  A document is
 contaminated if tiles cover at least `threshold` of an item's words.
 
+A pair is tiled only if it can matter: the words of an item that shared seeds cover bound what tiles can, so
+items are tiled in falling order of this bound and the rest is left once neither `threshold` nor the best
+coverage found can be reached.  An opening phrase that many items share costs no tiling of them all.
+
 Documents stay where they were read: the map needs no shuffle.  The items' seeds go to the tasks in
 chunks of at most CHUNK_BYTES of text, and a larger benchmark takes more passes.
 
@@ -16,6 +20,7 @@ that repeat are decided alike; an empty benchmark leaves all documents clean; ex
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,15 +140,22 @@ class _Index:
             pairs = [(K.ngrams(h, n), k) for k, (_, h) in enumerate(self.items) if min(min_match, len(h)) == n]
             seed = np.concatenate([s for s, _ in pairs])
             owner = np.concatenate([np.full(len(s), k, np.int64) for s, k in pairs])
-            order = np.lexsort((owner, seed))
+            place = np.concatenate([np.arange(len(s)) for s, _ in pairs])
+            order = np.lexsort((place, owner, seed))
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[(seed & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.by_size[n] = (seed[order], owner[order], bits)
+            self.by_size[n] = (seed[order], owner[order], place[order], bits)
+        self.size = np.array([len(h) for _, h in self.items], np.int64)
+        names = sorted({i for i, _ in self.items if i is not None})
+        self.rank = np.array([len(names) if i is None else bisect_left(names, i) for i, _ in self.items], np.int64)
+
+    def candidates(self, h: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text in the slice, item, words of the item that shared seeds cover) of pairs that share a seed.
 
-    def candidates(self, h: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int]]:
-        """Pairs (text in the slice, item) that share a seed."""
+        Of each text, the items come in falling order of the share that is covered, then of their ids.
+        """
         found = []
-        for n, (seed, owner, bits) in self.by_size.items():
+        for n, (seed, owner, place, bits) in self.by_size.items():
             g = K.ngrams(h, n)
             at = np.flatnonzero(bits[(g & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(seed, g[at], "left"), np.searchsorted(seed, g[at], "right")
@@ -152,13 +164,26 @@ class _Index:
             inside = at + n <= ptr[row + 1]
             at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
             c = hi - lo
-            k = owner[np.repeat(lo - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())] if len(c) else np.zeros(0, np.int64)
-            found.append(np.stack([np.repeat(row, c), k], axis=1))
-        return np.unique(np.concatenate(found), axis=0).tolist() if found else []
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, chunk_bytes: int = CHUNK_BYTES, out: str = "hits") -> DataFrame:
-    """docs with a column `out`: of every item that shares a seed, its id, words, and words that tiles cover."""
+            if not len(c):
+                continue
+            which = np.repeat(lo - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+            at = np.unique(np.stack([np.repeat(row, c), owner[which], place[which]]), axis=1)
+            new = np.append(True, (np.diff(at[:2]) != 0).any(axis=0))
+            step = np.append(np.diff(at[2]), n)
+            step[np.append(new[1:], True)] = n
+            first = np.flatnonzero(new)
+            found.append(np.stack([at[0][first], at[1][first], np.add.reduceat(np.minimum(step, n), first)]))
+        if not found:
+            return []
+        row, item, covered = np.concatenate(found, axis=1)
+        return np.stack([row, item, covered])[:, np.lexsort((self.rank[item], -covered / self.size[item], row))].T.tolist()
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, chunk_bytes: int = CHUNK_BYTES, out: str = "hits", at_least: float | None = None) -> DataFrame:
+    """docs with a column `out`: of every item that shares a seed, its id, words, and words that tiles cover.
+
+    With at_least, only of items that reach this share, and of the one with the best share below.
+    """
     spark = docs.sparkSession
     done = docs.withColumn(out, F.lit(None).cast(T.ArrayType(HIT)))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("words", pa.int32())]))
@@ -171,11 +196,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             for texts in batches:
                 result: list[list | None] = [None] * len(texts)
                 for w in K.words(texts):
-                    for r, i in own.candidates(w.hashes, w.ptr):
+                    of, best = -1, (0, 1, 0)
+                    for r, i, bound in own.candidates(w.hashes, w.ptr):
                         name, p = own.items[i]
+                        if r != of:
+                            of, best = r, (0, 1, len(own.items))
+                        if at_least is not None and bound / len(p) < at_least:
+                            more = bound * best[1] - best[0] * len(p)
+                            if more < 0 or (more == 0 and own.rank[i] >= best[2]):
+                                continue
                         found = tiles(p, w.hashes[w.ptr[r] : w.ptr[r + 1]], min_match)
                         if found:
-                            result[w.lo + r] = [*(result[w.lo + r] or []), {"item_id": name, "covered": sum(n for _, _, n in found), "words": len(p)}]
+                            n = sum(n for _, _, n in found)
+                            more = n * best[1] - best[0] * len(p)
+                            if more > 0 or (more == 0 and own.rank[i] < best[2]):
+                                best = (n, len(p), own.rank[i])
+                            result[w.lo + r] = [*(result[w.lo + r] or []), {"item_id": name, "covered": n, "words": len(p)}]
                 yield pa.array(result, kind)
 
         more = F.coalesce(tile(F.col(text)), F.array().cast(T.ArrayType(HIT)))
@@ -191,7 +227,7 @@ def decide(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     share = lambda x: x["covered"] / x["words"]
     none = F.struct(F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("covered"), F.lit(1).alias("words"))
     return (
-        hits(docs, benchmark, out=tmp, **how)
+        hits(docs, benchmark, out=tmp, at_least=threshold, **how)
         .withColumn(f"{prefix}__best", F.coalesce(F.get(F.array_sort(F.col(tmp), lambda a, b: F.when(share(a) > share(b), -1).when(share(a) < share(b), 1).when(a["item_id"].eqNullSafe(b["item_id"]), 0).when(b["item_id"].isNull() | (a["item_id"] < b["item_id"]), -1).otherwise(1)), F.lit(0)), none))
         .withColumn(f"{prefix}item_id", F.col(f"{prefix}__best.item_id"))
         .withColumn(f"{prefix}covered_words", F.col(f"{prefix}__best.covered").cast("int"))

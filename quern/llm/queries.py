@@ -94,7 +94,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_i
 """
 )
 def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(table(spark, sf_dir, "documents"), words=4, percent=80).drop("row")
+    return minhash.groups(table(spark, sf_dir, "documents"), words=4, percent=80).drop("row", "group")
 
 
 @query(
@@ -102,11 +102,15 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 last AS (
   SELECT pair_id AS p, turn AS "end", text AS reply FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC NULLS LAST) = 1
-), ends AS (SELECT a.p, a."end", a.reply, b.reply AS other FROM last a JOIN last b ON b.p + 1 = a.p),
-rows AS (SELECT c.* FROM c JOIN ends ON p = pair_id AND turn < "end"),
+), first AS (
+  SELECT pair_id AS p, turn AS place, text AS reply FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn, text NULLS FIRST) = 1
+), ends AS (
+  SELECT a.p, a."end", CASE WHEN a.p % 2 = 1 THEN f.place ELSE a."end" END AS place, CASE WHEN a.p % 2 = 1 THEN f.reply ELSE a.reply END AS reply, CASE WHEN a.p % 2 = 1 THEN g.reply ELSE b.reply END AS other
+  FROM last a JOIN last b ON b.p + 1 = a.p JOIN first f ON f.p = a.p JOIN first g ON g.p = b.p
+), rows AS (SELECT c.* FROM c JOIN ends ON p = pair_id AND turn <= "end" AND turn <> place),
 both_sides AS (
-  SELECT 'chosen' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, "end", 'assistant', reply FROM ends)
-  UNION ALL SELECT 'rejected' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, "end", 'assistant', other FROM ends)
+  SELECT 'chosen' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, place, 'assistant', reply FROM ends)
+  UNION ALL SELECT 'rejected' AS side, * FROM (SELECT * FROM rows UNION ALL SELECT p, place, 'assistant', other FROM ends)
 ), turns AS (
   SELECT pair_id, turn, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE side = 'chosen') AS a, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE side = 'rejected') AS b
   FROM both_sides GROUP BY 1, 2
@@ -122,7 +126,7 @@ FROM placed
 """
 )
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(*preference.with_foreign_reply(table(spark, sf_dir, "conversations")))
+    return preference.format_pairs(preference.with_foreign_reply(table(spark, sf_dir, "conversations")))
 
 
 def _license_sql() -> str:
@@ -130,13 +134,29 @@ def _license_sql() -> str:
     return rf"""
 WITH t(license, size, gram, t) AS (VALUES {rows}),
 seg AS (
-  SELECT doc_id, 0 AS line, text AS s FROM documents WHERE len(string_split(text, chr(10))) > 1
-  UNION ALL SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS s FROM documents
-), w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(lower(s), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM seg),
-g AS (SELECT doc_id, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w),
-c AS (SELECT doc_id, line, n, gram, count(*) AS c FROM g GROUP BY ALL),
-m AS (SELECT doc_id, line, n, license, size, CAST(sum(least(c, t)) AS BIGINT) AS shared FROM c JOIN t USING (gram) GROUP BY ALL)
-SELECT doc_id, CAST(line AS INTEGER) AS line, license, shared, 2 * shared / CAST(n + size AS DOUBLE) AS dice FROM m WHERE 2 * shared / CAST(n + size AS DOUBLE) >= 0.8
+  SELECT doc_id, 'text' AS kind, 0 AS line, text AS s FROM documents WHERE len(string_split(text, chr(10))) > 1
+  UNION ALL SELECT doc_id, 'line' AS kind, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS s FROM documents
+), w AS (SELECT doc_id, kind, line, list_filter(regexp_split_to_array(lower(s), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM seg),
+g AS (SELECT doc_id, kind, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w),
+c AS (SELECT doc_id, kind, line, n, gram, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT doc_id, kind, line, n, license, size, CAST(sum(least(c, t)) AS BIGINT) AS shared FROM c JOIN t USING (gram) GROUP BY ALL),
+whole AS (SELECT doc_id, kind, line, license, shared, 2 * shared / CAST(n + size AS DOUBLE) AS dice FROM m WHERE 2 * shared / CAST(n + size AS DOUBLE) >= 0.8),
+tok AS (SELECT doc_id, line, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM w WHERE kind = 'line'),
+pos AS (
+  SELECT doc_id, line, word || ' ' || lead(word) OVER d AS gram, row_number() OVER d - 1 AS pos, count(*) OVER (PARTITION BY doc_id) - 1 AS alls FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY line, k)
+), hit AS (SELECT p.*, license, size, t FROM pos p JOIN t USING (gram)),
+inside AS (
+  SELECT a.doc_id, a.license, a.size, a.line, a.pos, a.alls, b.gram, least(count(*), b.t) AS c FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.license = b.license AND b.pos BETWEEN a.pos AND a.pos + a.size - 1
+  GROUP BY a.doc_id, a.license, a.size, a.line, a.pos, a.alls, b.gram, b.t
+), runs AS (
+  SELECT doc_id, license, size, line, pos, CAST(sum(c) AS BIGINT) AS shared, 2 * sum(c) / CAST(least(size, alls - pos) + size AS DOUBLE) AS dice FROM inside GROUP BY doc_id, license, size, line, pos, alls
+), good AS (
+  SELECT *, coalesce(2 * (pos - lag(pos) OVER (PARTITION BY doc_id, license ORDER BY pos)) > size, true) AS apart FROM runs WHERE dice >= 0.8
+), placed AS (SELECT *, sum(CAST(apart AS INTEGER)) OVER (PARTITION BY doc_id, license ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place FROM good),
+best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY doc_id, license, place ORDER BY dice DESC, pos) = 1)
+SELECT doc_id, kind, CAST(line AS INTEGER) AS line, license, shared, dice FROM whole
+UNION ALL SELECT doc_id, 'run', CAST(line AS INTEGER), license, shared, dice FROM best b
+WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.kind = 'line' AND w.doc_id = b.doc_id AND w.line = b.line AND w.license = b.license)
 """
 
 

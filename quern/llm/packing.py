@@ -10,7 +10,8 @@ source and cluster bitmaps.  A subtree whose intersection holds one of the piece
 bin and is skipped, so a source with a third of all rows doesn't make the search linear.
 
 Documents are dealt by hash into shards of about SHARD rows, so the number of shards follows the input;
-a shard is packed in one task, which reads ids, sizes and hashes only, never texts.
+a shard is packed in one task, which reads ids, sizes and hashes only, never texts.  Bins never cross shards, so
+each shard may leave its last bins part empty: with some 1,000 words a row, a few in about 4,000 bins.
 
 Defined cases: a null or empty text is one piece of no words; a null source conflicts with none; the
 cluster is, unless a column is named, the text up to ASCII case and white space (packed_apart() takes the
@@ -23,16 +24,21 @@ from __future__ import annotations
 
 from bisect import insort
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, minhash
+from . import textkernel as K
 
 CAPACITY = 2048
 SHARD = 8192
-WORD = r"[^\x20\x09-\x0D]+"
+SHARDS_A_TASK = 16
+WORD = r"[^\x20\x09-\x0D]"
 RESULT = "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_offset long"
 
 
@@ -122,21 +128,27 @@ def pack(items: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out
 
 
-def cluster_of(text: Column) -> Column:
-    """Equal for texts that differ in A-Z case and white space only; null without words."""
-    plain = F.btrim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("cluster", T.LongType())]))
+def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words of a text, and a hash that is equal for texts that differ in A-Z case and white space only (null without words)."""
+    for texts in batches:
+        n, cluster = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for w in K.words(texts):
+            n[w.lo : w.hi] = np.diff(w.ptr)
+            for r in np.flatnonzero(np.diff(w.ptr)):
+                cluster[w.lo + r] = K.whole(w.hashes[w.ptr[r] : w.ptr[r + 1]]).view(np.int64)[0]
+        yield pa.StructArray.from_arrays([pa.array(n), pa.array(cluster, mask=n == 0)], ["n", "cluster"])
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """A row for each piece: its document, words, bin and place in the bin."""
+    spark = docs.sparkSession
     shards = max(1, -(-docs.count() // shard))
-    light = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        (cluster_of(F.col(text)) if cluster is None else cluster).alias("cluster"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n"),
-    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(shards)))
+    tasks = min(shards, max(2 * spark.sparkContext.defaultParallelism, shards // SHARDS_A_TASK))
+    own = F.lit(None).cast("long") if cluster is None else cluster.cast("long")
+    light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("own"), measured(F.col(text)).alias("m"))
+    light = light.select("doc_id", "source", F.col("m.cluster" if cluster is None else "own").alias("cluster"), F.col("m.n").alias("n"))
+    light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(shards))).repartition(tasks, "shard")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         cols = [rows[c].to_pylist() for c in ("doc_id", "source", "cluster", "n")]

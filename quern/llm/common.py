@@ -13,5 +13,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart that share a doc_id.  Rows equal in both columns count as one document."""
-    return F.struct(doc_id.alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("fp"))
+    """Tells rows apart that share a doc_id; fp is null for a null text.  Rows equal in both columns count as one document."""
+    return F.struct(doc_id.alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("fp"))

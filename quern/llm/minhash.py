@@ -8,7 +8,8 @@ the start.  Classes that share a band form a bucket:
    many members are salted, so the work is linear in the buckets' sizes and spread;
 2. components of these links leave few buckets with members in different components.  Those are
    compared completely, in blocks of about BLOCK sets or BLOCK_BYTES, by one matrix product a block pair; only
-   a spanning forest of the links leaves a task, never the pairs;
+   a spanning forest of the links leaves a task, never the pairs.  (Further pivots settle few of them: what is
+   left are members of one bucket that are less similar than asked for, whichever of them is the pivot);
 3. components of all links are the result.
 
 At similarity 0.8 a link is in no common bucket with probability (1 - 0.8**4)**32 = 5e-8.
@@ -180,8 +181,33 @@ def _rest_links(percent: int):
     return run
 
 
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (pivot, id); a pivot with many members is salted."""
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    many = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id")
+    one = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"))
+    stars = many.union(one).join(sets, "id").select("pivot", "salt", "id", "shingles").withColumn("later", F.col("id") != F.col("pivot"))
+    stars = stars.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "later")
+    return stars.mapInArrow(_pivot_links(percent), "a long, b long")
+
+
+def _apart(member: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels, and the buckets that hold different ones (with size and mass).
+
+    Buckets of two are settled; buckets with equal members count once.
+    """
+    apart = member.where("size > 2").join(label, member["id"] == label["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("label"), "mass")
+    prints = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2")]
+    left = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.max("mass").alias("mass"), *prints)
+    return apart, left.where("x <> y").groupBy("size", "s1", "s2", "mass").agg(F.min("bucket").alias("bucket"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, fp (the set's fingerprint, null for the empty set), n_shingles, component_id, kept."""
+    """One row per row of docs: doc_id, row (id and text hash), n_shingles, component_id, kept, and group.
+
+    group is the component's own number, null for the empty set: components that share their least doc_id,
+    because rows share it, differ in it.
+    """
     spark = docs.sparkSession
     path = common.scratch(spark, "minhash")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -203,20 +229,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     sets = need.join(text_of, (need["row.id"].eqNullSafe(text_of["row.id"])) & (need["row.fp"] == text_of["row.fp"])).select("id", _setter(words)(F.col("text")).alias("shingles"))
     sets = common.stored(sets, f"{path}/sets")
 
-    pairs = member.where("id <> pivot").select("pivot", "id").distinct()
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    many = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id")
-    one = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"))
-    stars = many.union(one).join(sets, "id").select("pivot", "salt", "id", "shingles").withColumn("later", F.col("id") != F.col("pivot"))
-    stars = stars.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "later")
-    links = common.stored(stars.mapInArrow(_pivot_links(percent), "a long, b long"), f"{path}/links")
+    links = common.stored(_stars(member.where("id <> pivot").select("pivot", "id").distinct(), sets, percent), f"{path}/links")
     label = components(links)
-
-    # buckets whose members are still apart; those of two are settled, and equal buckets count once
-    apart = member.where("size > 2").join(label, member["id"] == label["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("label"), "mass")
-    left = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.max("mass").alias("mass"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2")).where("x <> y")
+    apart, left = _apart(member, label)
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") * 8 / BLOCK_BYTES)).cast("int")
-    left = left.groupBy("size", "s1", "s2", "mass").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
+    left = left.select("bucket", blocks.alias("blocks"))
     rest = common.stored(apart.join(left, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")), f"{path}/rest")
     if not rest.isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -225,9 +242,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
         more = common.stored(tiles.mapInArrow(_rest_links(percent), "a long, b long"), f"{path}/more")
         label = components(links.union(more))
 
-    known = classes.join(label, classes["id"] == label["node"], "left").select("fp", "least", F.coalesce("label", "id").alias("c"))
-    best = known.groupBy("c").agg(F.min("least").alias("component_id"))
-    found = known.join(best, "c").select("fp", "component_id")
+    known = classes.join(label, classes["id"] == label["node"], "left").select("fp", "least", F.coalesce("label", "id").alias("group"))
+    best = known.groupBy("group").agg(F.min("least").alias("component_id"))
+    found = known.join(best, "group").select("fp", "group", "component_id")
     out = rows.select(F.col("row.id").alias("doc_id"), "row", "fp", F.col("n").cast("long").alias("n_shingles")).join(found, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row", "n_shingles", "component_id", "kept")
+    return out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row", "n_shingles", "component_id", "kept", "group")

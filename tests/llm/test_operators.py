@@ -1,6 +1,7 @@
 """Small fixtures against plain versions, and the defined odd cases."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -63,15 +64,74 @@ def test_archive_round_trip(spark):
         assert (r["url"], r["payload_bytes"]) == (u, len(body))
         assert (r["record_type"], r["refers_to"]) == (("revisit", 1) if i in (3, None) else ("response", None))
         assert bytes(r["payload"]) == (b"" if r["record_type"] == "revisit" else body)
+    assert max(len(r["key"]) for r in keys.collect()) > 3000  # keys of long urls are whole
     missing = spark.createDataFrame([("com,nowhere) 1",), (None,)], "key string")
     assert warc.lookup(missing, parts, folder).count() == 0
     empty, none = warc.archive(pages.limit(0))
     assert none == [] and warc.fetch(warc.lookup(keys, none, empty), empty).count() == 0
 
 
+def test_revisits_name_the_record_they_refer_to():
+    page = warc.parse(warc.record(1, "http://a/", b"x" * 100, warc.sha256(b"x" * 100).hexdigest(), None, 100))
+    again = warc.parse(warc.record(2, "http://b/", b"", page["payload_digest"], 1, 100))
+    assert (again["record_type"], again["refers_to"], again["refers_to_id"]) == ("revisit", 1, page["record_id"])
+    assert again["record_id"] != page["record_id"]
+    assert warc.record(1, None, b"", "d", None, 0) == warc.record(1, None, b"", "d", None, 0)  # a second attempt gives the same
+
+
 # ---- 2 toxicity
 
 
+def plain_score(model, text):
+    """Noisy-or with a leak, sentence by sentence and word by word."""
+    clean = 1 - (1 - np.exp(-model.leak))
+    for sentence in re.split(r"[\n\r!.?]", text or ""):
+        found = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", sentence)
+        if not found:
+            continue
+        z = model.bias
+        for word in found:
+            (_, feature, _, _) = next(iter(toxicity.bags(pa.array([word]))))
+            z += sum(model.weights[k] for k in feature[:, 0])
+        clean *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    rng = np.random.default_rng(7)
+    model = toxicity.Model(rng.normal(0, 0.6, 1 << toxicity.BITS), -1.5, 0.02)
+    texts = ["One two. Three, four! five", "", None, "ÄÖ ß-x\nnext line? . . end", "a " * 50 + ".", "A a. a A", "long " * 3000 + "! tail"]
+    assert np.allclose(model.score(pa.array(texts)), [plain_score(model, t) for t in texts])
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    doc, s, f = np.array([0, 0, 1, 2, 2, 2]), np.array([0, 0, 1, 2, 3, 4, 5, 5]), np.array([0, 1, 2, 3, 0, 1, 2, 3])
+    y, theta = np.array([1.0, 0.0, 1.0, 0.0]), np.append(rng.normal(0, 1, 4), [-0.7, -1.2])
+    _, g = toxicity.loss_and_gradient(theta, f, s, doc, y, 0.3)
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-6
+        up, down = (toxicity.loss_and_gradient(theta + d, f, s, doc, y, 0.3)[0] for d in (step, -step))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-6
+
+
+def test_the_training_sample_is_bounded_by_bytes(spark):
+    rows = [(i, "bad word " * 10 if i % 2 else "fine text " * 10) for i in range(200)] + [(1000, "x" * 100_000)]
+    docs = spark.createDataFrame(rows + rows[:20], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda texts, y: seen.append(texts.to_pylist())
+    try:
+        toxicity.train(docs, labels, max_train_bytes=2000)
+        toxicity.train(docs, labels, max_train=7)
+        toxicity.train(docs.limit(0), labels)
+    finally:
+        toxicity.fit = real
+    assert 1800 < sum(map(len, seen[0])) <= 2000 and len(seen[1]) == 7 and seen[2] == []
+
+
+
 def test_noisy_or_learns_and_locates(spark):
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(200)]
@@ -135,14 +195,16 @@ def test_passages_match_brute_force(spark, seed):
     assert got == plain_passages(rows, 8) and got != [(i, t.lower().split()) for i, t in rows]
 
 
-def test_pipeline_drops_long_passages_inside_lines(spark):
+def test_pipeline_drops_long_passages_inside_lines(spark, tmp_path):
+    bench = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{bench}/benchmark.parquet")
     p = " ".join(f"p{i}" for i in range(51))
     rows = [(1, f"one two {p} three"), (2, f"four\nfive {p} six\nseven"), (3, p), (4, None), (None, f"{p} end"), (5, f"short {p[:-4]}"), (6, f"up\n{p.upper()}\ndown")]
     docs = spark.createDataFrame(rows, DOCS)
     got = docs
     for name, stage in corpus_pipeline.STAGES:
-        if name in ("line dedup", "passage dedup"):
-            got = stage(spark, got, "")
+        if name in ("line dedup", "benchmark decontamination"):
+            got = stage(spark, got, bench)
     want = [rows[0], (2, "four\nfive six\nseven"), (4, None), (None, "end"), rows[5], (6, "up\ndown")]
     assert rows_of(got, *docs.columns) == sorted(want, key=repr)
     assert linededup.passages(docs.limit(0)).count() == 0
@@ -175,6 +237,16 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
     assert rows_of(minhash.groups(docs, words=4), "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_links_at_just_the_threshold_are_found(spark):
+    """9 of 10 words shingles of 4 in a chain: each pair has similarity of exactly 0.8, and groups only hold by the chain."""
+    rows = []
+    for g in range(60):
+        w = [f"g{g}w{k}" for k in range(12)]  # 9 shingles; a new last word keeps 8 of 10
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join([*w[:-1], "other"]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.groups(spark.createDataFrame(rows, DOCS), words=4).collect()}
+    assert all(got[10 * g + 1] == 10 * g for g in range(60))
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.groups(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -207,7 +279,7 @@ def test_prompt_is_the_common_prefix(spark):
     kind = "pair_id long, turn int, role string, text string"
     chosen = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "same"), (3, 0, "user", "only"), (4, None, "user", None), (None, 0, "user", "x"), (5, 0, "user", None), (5, 1, "assistant", "a")]
     rejected = [(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (2, 0, "user", "same"), (4, None, "user", ""), (5, 0, "user", None), (5, 1, "assistant", "a"), (5, 2, "user", "more")]
-    got = rows_of(preference.format_pairs(spark.createDataFrame(chosen, kind).withColumn("split", F.lit(1)), spark.createDataFrame(rejected, kind)), "pair_id", "part", "turn", "rendered", "learn_from", "learn_to")
+    got = rows_of(preference.format_pairs(preference.sides(spark.createDataFrame(chosen, kind).withColumn("split", F.lit(1)), spark.createDataFrame(rejected, kind))), "pair_id", "part", "turn", "rendered", "learn_from", "learn_to")
     r = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     h = len("<|im_start|>assistant\n")
     want = [
@@ -217,7 +289,22 @@ def test_prompt_is_the_common_prefix(spark):
     ]
     assert got == sorted(want, key=repr)
     empty = spark.createDataFrame([], kind)
-    assert preference.format_pairs(empty, empty).count() == 0
+    assert preference.format_pairs(preference.sides(empty, empty)).count() == 0
+
+
+def test_pairs_branch_early_or_late(spark):
+    kind = "conv_id long, turn int, role string, text string"
+    talk = lambda i, n: [(i, t, "assistant" if t % 2 else "user", f"{'q' if t % 2 == 0 else 'a'}{i}.{t}") for t in range(n)]
+    rows = [*talk(1, 6), *talk(2, 4), *talk(3, 7), (3, 3, "user", "again"), (5, 0, "user", "alone"), (None, 0, "user", "x"), (6, 1, "assistant", "no neighbour"), (2, 2, None, None), (4, 1, "assistant", "z" * 100_000)]
+    sides = preference.with_foreign_reply(spark.createDataFrame(rows, kind).withColumn("side", F.lit("clash")))
+    got = preference.format_pairs(sides).collect()
+    part = lambda i, p: sorted((r["turn"], r["rendered"].split("\n", 1)[1][:-11]) for r in got if (r["pair_id"], r["part"]) == (i, p))
+    assert {r["pair_id"] for r in got} == {2, 3, 4}
+    assert part(2, "chosen") == [(3, "a2.3")] and part(2, "rejected") == [(3, "a1.5")] and len(part(2, "prompt")) == 4
+    assert part(3, "prompt") == [(0, "q3.0")] and part(3, "chosen")[0] == (1, "a3.1") and part(3, "rejected")[0] == (1, "a2.1")
+    assert part(3, "chosen")[1:] == part(3, "rejected")[1:] == [(2, "q3.2"), (3, "a3.3"), (3, "again"), (4, "q3.4"), (5, "a3.5")]
+    assert part(4, "chosen") == [(1, "z" * 100_000)] and part(4, "rejected") == [(1, "a3.5")]
+    assert preference.with_foreign_reply(spark.createDataFrame([], kind)).count() == 0
 
 
 # ---- 6 licences
@@ -226,7 +313,7 @@ def test_prompt_is_the_common_prefix(spark):
 def test_licence_lines(spark):
     rows = [(1, "intro\nReleased under the MIT license!\nmore"), (2, "All rights reserved"), (3, None), (4, ""), (5, "all rights all rights reserved"), (6, "released under the"), (2, "All rights reserved"), (None, "ALL RIGHTS RESERVED.\n")]
     got = rows_of(licenses.scan(spark.createDataFrame(rows, DOCS).withColumn("gram", F.lit(0))), "doc_id", "line", "license", "dice")
-    assert got == sorted([(1, 0, "MIT", 0.8), (1, 2, "MIT", 1.0), (2, 1, "all-rights-reserved", 1.0), (2, 1, "all-rights-reserved", 1.0), (None, 0, "all-rights-reserved", 1.0), (None, 1, "all-rights-reserved", 1.0)], key=repr)
+    assert got == sorted([(1, 0, "MIT", 0.8), (1, 2, "MIT", 1.0), (2, 1, "all-rights-reserved", 1.0), (2, 1, "all-rights-reserved", 1.0), (5, 1, "all-rights-reserved", 1.0), (None, 0, "all-rights-reserved", 1.0), (None, 1, "all-rights-reserved", 1.0)], key=repr)
     for size in range(1, 40):
         low, high = licenses.bounds(size, 0.8)
         assert all((2 * min(n, size) / (n + size) >= 0.8) == (low <= n <= high) for n in range(1, 100))
@@ -234,13 +321,53 @@ def test_licence_lines(spark):
 
 def test_licences_inside_texts(spark):
     w = licenses.TEMPLATES["MIT-notice"].split()
-    wrapped = "\n".join([*["filler text of other words"] * 20, " ".join(w[:10]), "", " ".join(w[10:20]), " ".join(w[20:]), *["more text follows here"] * 20])
-    rows = [(1, wrapped), (2, "We did a lot of work here and there. All rights reserved. Released under the MIT License. This is some more text."), (3, "Mit grows. Released under the MIT License. Nothing under the mit sun."), (4, None), (5, "")]
-    docs = spark.createDataFrame(rows, DOCS)
-    assert licenses.scan(docs).count() == 0
-    got = rows_of(licenses.scan(docs, inner=True), "doc_id", "line", "license", "dice")
-    assert {(1, 21, "MIT-notice", 1.0), (2, 1, "MIT", 1.0), (2, 1, "all-rights-reserved", 1.0), (3, 1, "MIT", 1.0)} <= set(got)
-    assert max(r[3] for r in got) == 1.0 and {r[:3:2] for r in got} == {(1, "MIT-notice"), (2, "MIT"), (2, "all-rights-reserved"), (3, "MIT")}
+    filler = ["filler text of other words"] * 20
+    wrapped = "\n".join([*filler, *["# " + " ".join(w[k : k + 7]) for k in range(0, len(w), 7)], "#", *filler])
+    full = "/*\n" + "\n".join(" * " + x for x in re.findall(r".{1,60}(?: |$)", licenses.TEMPLATES["MIT-text"])) + "\n */\nint main() {}\n" + "code(); " * 300
+    rows = [
+        (1, wrapped), (2, "We did a lot of work here and there. All rights reserved. Released under the MIT License. This is some more text."),
+        (3, "Mit grows. Released under the MIT License. Nothing under the mit sun."), (4, None), (5, ""), (6, full), (6, full), (7, "word " * 50_000 + "all rights\nreserved " * 2), (8, "of the and the " * 400),
+    ]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("line", F.lit("clash"))
+    got = rows_of(licenses.scan(docs), "doc_id", "kind", "line", "license", "dice")
+    want = [(1, "run", 21, "MIT-notice", 1.0), (2, "run", 1, "MIT", 1.0), (2, "run", 1, "all-rights-reserved", 1.0), (3, "run", 1, "MIT", 1.0), (6, "run", 2, "MIT-notice", 1.0), (6, "run", 2, "MIT-text", 1.0)]
+    want += [want[-2], want[-1], (7, "run", 1, "all-rights-reserved", 1.0), (7, "run", 2, "all-rights-reserved", 1.0)]
+    assert got == sorted(want, key=repr)
+    assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, {}).count() == 0
+
+
+def plain_runs(text, template):
+    """Dice of every run of the template's size that begins with one of its bigrams: {place: dice}"""
+    grams = lambda t: [f"{a} {b}" for w in [re.findall(r"[^\W_]+", t.lower())] for a, b in zip(w, w[1:])]
+    g, t = grams(text), grams(template)
+    bag = {x: t.count(x) for x in t}
+    runs = {p: g[p : p + len(t)] for p in range(len(g)) if g[p] in bag}
+    return {p: 2 * sum(min(r.count(x), n) for x, n in bag.items()) / (len(r) + len(t)) for p, r in runs.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    template = "a b a b c d a b e"
+    rows = [(i, " ".join(rng.choice(["a b", "c d", "a", "b", "e", "a b a b c d a b e", "z"]) + rng.choice(["", "", "\n"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, DOCS), {"T": template}).where("kind = 'run'"), "doc_id", "dice")
+    least = []
+    for i, t in rows:
+        good = {p: d for p, d in plain_runs(t, template).items() if d >= 0.8}
+        lines = [len(re.findall(r"\w+", x)) - 1 for x in t.split("\n")]
+        starts = [k for k, n in enumerate(lines) for _ in range(n + 1)]
+        alone = {k for k, x in enumerate(t.split("\n")) if lines[k] > 0 and 2 * sum(min(x.split().__len__() and [f"{a} {b}" for a, b in zip(x.split(), x.split()[1:])].count(g), n) for g, n in {"a b": 3, "b a": 1, "b c": 1, "c d": 1, "d a": 1, "b e": 1}.items()) / (lines[k] + 8) >= 0.8}
+        place, last = [], None
+        for p in sorted(good):
+            if last is None or 2 * (p - last) > 8:
+                place.append([])
+            place[-1].append(p)
+            last = p
+        for group in place:
+            best = max(group, key=lambda p: (good[p], -p))
+            if starts[best] not in alone:
+                least.append((i, good[best]))
+    assert got == sorted(least, key=repr) and got
 
 
 # ---- 7 top-k
@@ -308,6 +435,39 @@ def test_distrust_settles_on_long_chains(spark):
         urlfilter.judge(pages, limit=5)
 
 
+def plain_walk(links, start, rounds=400):
+    """Power iteration: mass that reaches a host without links stays out."""
+    hosts = sorted({x for l in links for x in l[:2]} | set(start))
+    out = {h: sum(n for a, _, n in links if a == h) for h in hosts}
+    base = {h: 0.15 * start.get(h, 0.0) for h in hosts}
+    now = dict(base)
+    for _ in range(rounds):
+        new = dict(base)
+        for a, b, n in links:
+            new[b] += 0.85 * now[a] * n / out[a]
+        now = new
+    return now
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_propagation_is_the_power_iteration(spark, seed):
+    rng = random.Random(seed)
+    links = sorted({(f"h{rng.randrange(9)}", f"h{rng.randrange(12)}"): rng.randint(1, 4) for _ in range(25)}.items())
+    links = [(a, b, n) for (a, b), n in links if a != b]  # hosts 9 to 11 have no links; the rest has cycles
+    seeds = [("h0", 1.0, 0.0), ("h1", 1.0, 0.0), ("h2", 0.0, 1.0), ("h10", 0.0, 1.0), ("lonely", 1.0, 1.0)]
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urlfilter.propagate(spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trusted double, blocked double")).collect()}
+    trust = plain_walk(links, {h: t for h, t, _ in seeds if t})
+    distrust = plain_walk([(b, a, n) for a, b, n in links], {h: b for h, _, b in seeds if b})
+    for h in set(trust) | set(distrust):
+        assert np.allclose(got.get(h, (0.0, 0.0)), (trust.get(h, 0.0), distrust.get(h, 0.0)), atol=1e-5)
+
+
+def test_equal_rules_go_to_the_first_by_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.c/", "x"), (1, "http://a.b.c/", "x"), (2, "http://b.c/" + "p" * 50_000, None)], "page_id long, url string, html string")
+    got = rows_of(urlfilter.judge(pages, [("block", "b.c", "/"), ("allow", "a.b.c", ""), ("allow", "c", "/p")]), "page_id", "rule", "verdict")
+    assert got == [(1, "a.b.c", "allow"), (1, "a.b.c", "allow"), (2, "b.c/", "block")]
+
+
 # ---- 9 decontamination
 
 
@@ -323,7 +483,7 @@ def test_tiles_are_valid_and_cover_like_the_plain_version(p, t, least):
         seen_t += range(j, j + n)
     assert len(set(seen_p)) == len(seen_p) and len(set(seen_t)) == len(seen_t)
     want = brute.tiling(p, t, min(least, max(len(p), 1)))
-    assert bool(got) == bool(want) and (not got or got[0][2] == want[0][2])
+    assert bool(got) == bool(want) and (not got or got[0][2] == want[0][2]) and len(seen_p) == sum(n for _, _, n in want)
 
 
 def test_reordered_passages_are_found(spark):
@@ -340,6 +500,22 @@ def test_reordered_passages_are_found(spark):
     assert not decontam.decide(docs, bench.limit(0)).where("contaminated").count() and decontam.decide(docs.limit(0), bench).count() == 0
 
 
+def test_shared_openings_cost_no_tiling_of_all_items(spark, monkeypatch):
+    """Of many items with one opening phrase, few are tiled, and the result is that of tiling them all."""
+    rng = random.Random(4)
+    opening = [f"o{k}" for k in range(9)]
+    items = [(i, " ".join(opening + [f"x{rng.randrange(60)}" for _ in range(rng.choice([11, 11, 20]))])) for i in rng.sample(range(1000), 120)] + [(None, " ".join(opening))]
+    rows = [(1, " ".join(opening)), (2, " ".join(opening + ["q"] + [f"x{k}" for k in range(60)])), (3, items[7][1] + " tail"), (4, "o0 o1 o2 o3 o4"), (5, None), (6, "u " * 20_000 + items[3][1])]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    names = ("doc_id", "item_id", "covered_words", "contaminated")
+    got = rows_of(decontam.decide(docs, bench), *names)
+    all_hits = {r["doc_id"]: r["hits"] for r in decontam.hits(docs, bench).collect()}
+    best = {d: min(((-h["covered"] / h["words"], h["item_id"] is None, h["item_id"] or 0, h["covered"]) for h in hits), default=None) for d, hits in all_hits.items()}
+    assert got == sorted(((d, None if not b or b[1] else b[2], b[3] if b else 0, bool(b) and -b[0] >= 0.8) for d, b in best.items()), key=repr)
+    few = {r["doc_id"]: len(r["hits"]) for r in decontam.hits(docs, bench, at_least=0.8).collect()}
+    assert few[4] == 1 and few[3] < 10 and len(all_hits[4]) == 121
+
+
 # ---- 10 packing
 
 

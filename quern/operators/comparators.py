@@ -54,7 +54,7 @@ def tfidf_scores(candidates: DataFrame, references: DataFrame, allowed: DataFram
 def pair_features(pairs: DataFrame) -> DataFrame:
     """Scored pairs of lineage.pairs() with the learned model's features."""
     cap = lambda c: F.least(F.lit(8), F.col(c)) / 8.0
-    return pairs.withColumns({"span_norm": cap("exact_spans"), "anchor_norm": cap("n_anchors"), "has_reason": F.when(F.size("reasons") > 0, 1.0).otherwise(0.0)})
+    return pairs.withColumns({"span_norm": cap("spans"), "near_fields": F.size("near_fields").cast("double"), "anchor_norm": cap("n_anchors"), "has_reason": F.when(F.size("reasons") > 0, 1.0).otherwise(0.0)})
 
 
 def grouped_scores(features: DataFrame, label: str, group: str, folds: int = 5) -> DataFrame:

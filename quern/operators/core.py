@@ -20,6 +20,22 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, n).where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 within each key by a column of distinct values, without one task for a key.
+
+    Rows are sorted by ranges; a range's number of rows of a key, added up over the ranges before it, is what its own
+    numbers begin after.  Only these counts, one a range and key, meet in one task.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, order).withColumn("__part", F.spark_partition_id())
+    held = stored(ranged, scratch(spark, "numbered"))
+    counts = held.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, "__part", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
+    return held.withColumn("__own", own).join(starts, [*keys, "__part"]).withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+
+
 def fallback_join(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[list[str], list[str]], value: str, seq: str) -> DataFrame:
     """left with `value` of right by the first key, else by the second; the last row in `seq` of a key counts.
 

@@ -79,34 +79,111 @@ def error_count(errors: Column) -> Column:
 
 
 def normal_outcomes(observations: DataFrame) -> DataFrame:
-    """An automated judgement of a clinical criterion isn't an assessment."""
-    auto = (F.col("source") == "automated") & (F.col("kind") == "clinical")
-    return observations.withColumn("outcome", F.when(auto, "unassessed").otherwise(F.coalesce("outcome", F.lit("unassessed"))))
+    """An observation of a clinical criterion that no human made isn't an assessment."""
+    unfit = (F.col("kind") == "clinical") & ~F.col("source").eqNullSafe("human")
+    return observations.withColumn("outcome", F.when(unfit, "unassessed").otherwise(F.coalesce("outcome", F.lit("unassessed"))))
 
 
-def session_scores(observations: DataFrame, criteria: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per session: assessed, passed, coverage, critical failure (true, false or unknown).
+#: Outcomes of an observation, and statuses of a session.
+OUTCOMES = ["pass", "fail", "unassessed", "not_applicable"]
+INVALID, TARGET_ERROR, COMPLETED = "measurement_invalid", "target_error", "completed"
 
-    observations: session_id, criterion_id, outcome, source; criteria: criterion_id, kind, critical, required;
-    sessions: session_id, status.  Every criterion counts for every session, observed or not.
+
+def observation_violations(observations: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(session_id, criterion_id, rule): repeated or unknown criteria, outcomes and sources that don't exist, verdicts without evidence.
+
+    observations: session_id, criterion_id, outcome, source, evidence (array of turn ids), reason.
+    """
+    j = observations.join(criteria.select("criterion_id", F.lit(True).alias("__known")).distinct(), "criterion_id", "left")
+    rules = F.array_compact(F.array(
+        F.when(F.col("__known").isNull(), "UNKNOWN_CRITERION"), F.when(~F.coalesce(F.col("outcome").isin(OUTCOMES), F.lit(False)), "INVALID_OUTCOME"), F.when(~F.coalesce(F.col("source").isin("human", "deterministic"), F.lit(False)), "INVALID_SOURCE"),
+        F.when(F.col("outcome").isin("pass", "fail") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "NO_EVIDENCE"), F.when((F.col("outcome") == "not_applicable") & (F.coalesce("reason", F.lit("")) == ""), "NO_REASON"),
+    ))
+    twice = observations.groupBy("session_id", "criterion_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("session_id", "criterion_id", F.lit("REPEATED").alias("rule"))
+    return j.select("session_id", "criterion_id", F.explode(rules).alias("rule")).union(twice)
+
+
+def criterion_results(observations: DataFrame, criteria: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A row for every session and criterion of its suite, observed or not: outcome, operational_unmet.
+
+    criteria: suite, criterion_id, kind, critical, required; sessions: session_id, suite, status.  An invalid measurement
+    assesses nothing; in a session that its target broke, a required criterion without assessment is unmet, and so is
+    one that isn't applicable for another reason than a legitimate stop (applicability).  Observations must be free of
+    observation_violations().
     """
-    grid = sessions.join(F.broadcast(criteria))  # the criteria of a suite are few
-    seen = normal_outcomes(observations.join(F.broadcast(criteria.select("criterion_id", "kind")), "criterion_id"))
-    one = seen.groupBy("session_id", "criterion_id").agg(F.max("outcome").alias("outcome"), F.count(F.lit(1)).alias("n"))
-    j = grid.join(one, ["session_id", "criterion_id"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("unassessed")))
-    known = F.col("outcome").isin("pass", "fail")
-    bad = F.when(F.col("critical"), F.when(known, F.col("outcome") == "fail")).otherwise(False)
-    s = j.groupBy("session_id", "status").agg(F.count(F.lit(1)).alias("criteria"), F.count_if(known).alias("assessed"), F.count_if(F.col("outcome") == "pass").alias("passed"), F.count_if(F.col("required") & ~known).alias("required_unassessed"), F.count_if(F.col("n") > 1).alias("repeated"), tri_state(bad).alias("critical_failure"))
-    return s.withColumn("pass_rate", rate(F.col("passed"), F.col("assessed"))).withColumn("coverage", rate(F.col("assessed"), F.col("criteria")))
+    grid = sessions.select("session_id", "suite", "status").join(criteria, "suite")
+    seen = normal_outcomes(observations.join(criteria.select("criterion_id", "kind").distinct(), "criterion_id")).select("session_id", "criterion_id", "outcome", "applicability")
+    j = grid.join(seen, ["session_id", "criterion_id"], "left")
+    first = F.when(F.col("status") == INVALID, "unassessed").otherwise(F.coalesce("outcome", F.lit("unassessed")))
+    j = j.withColumn("outcome", first)
+    broken = (F.col("status") == TARGET_ERROR) & F.col("required")
+    unmet = broken & ((F.col("outcome") == "unassessed") | ((F.col("outcome") == "not_applicable") & ~F.col("applicability").eqNullSafe("legitimate_stop")))
+    j = j.withColumn("operational_unmet", unmet)
+    return j.withColumn("outcome", F.when(F.col("operational_unmet"), "fail").otherwise(F.col("outcome"))).drop("applicability")
+
+
+def session_scores(results: DataFrame) -> DataFrame:
+    """Per session of criterion_results(): counts, coverage, critical failure (true, false or unknown), completeness, full pass."""
+    is_ = lambda v: F.col("outcome") == v
+    unmet, critical = F.col("operational_unmet"), F.col("critical")
+    judged = is_("pass") | is_("fail")
+    doubtful = (F.col("kind") == "clinical") & unmet
+    s = results.groupBy("session_id", "status").agg(
+        F.count(F.lit(1)).alias("criteria"), *[F.count_if(is_(o)).alias(o) for o in OUTCOMES], F.count_if(judged & ~unmet).alias("evidence_assessed"), F.count_if(unmet).alias("operational_unmet"),
+        F.bool_or(critical & is_("fail") & ~doubtful).alias("__failed"), F.bool_or(critical & (is_("unassessed") | doubtful)).alias("__unknown"), F.bool_or(critical & ~is_("not_applicable")).alias("__applies"),
+    )
+    invalid = F.col("status") == INVALID
+    failure = F.when(F.col("__failed"), True).when(invalid | F.col("__unknown") | ~F.col("__applies"), None).otherwise(False)
+    complete = ~invalid & (F.col("unassessed") == 0) & (F.col("operational_unmet") == 0)
+    s = s.withColumns({"applicable": F.col("criteria") - F.col("not_applicable"), "critical_failure": failure, "complete": complete})
+    passed = F.col("complete") & (F.col("pass") + F.col("fail") > 0) & (F.col("fail") == 0) & (F.col("status") == COMPLETED)
+    return s.withColumn("coverage", rate(F.col("evidence_assessed"), F.col("applicable"))).withColumn("fully_passed", passed).drop("__failed", "__unknown", "__applies")
 
 
 def suite_summary(scores: DataFrame) -> DataFrame:
     """Over sessions: invalid measurements are out, target errors stay in; each rate has its own denominator."""
-    valid = scores.where("status <> 'invalid_measurement'")
-    return valid.agg(
-        F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("status") == "target_error").alias("target_errors"), rate(F.sum("passed"), F.sum("assessed")).alias("pass_rate"), rate(F.sum("assessed"), F.sum("criteria")).alias("coverage"),
-        F.count_if("critical_failure").alias("critical_failures"), F.count_if(F.col("critical_failure").isNull()).alias("critical_unknown"),
+    n, valid = F.count(F.lit(1)), F.col("status") != INVALID
+    s = scores.agg(
+        n.alias("sessions"), F.count_if(valid).alias("valid"), F.count_if(F.col("status") == TARGET_ERROR).alias("target_errors"), F.count_if(valid & F.col("complete")).alias("complete"), F.count_if(valid & F.col("fully_passed")).alias("fully_passed"),
+        F.count_if(valid & F.coalesce("critical_failure", F.lit(False))).alias("critical_failures"), F.count_if(valid & F.col("critical_failure").isNotNull()).alias("critical_assessed"),
+        *[F.coalesce(F.sum(F.when(valid, F.col(o))), F.lit(0)).alias(o) for o in (*OUTCOMES, "evidence_assessed")],
+    )
+    c = F.col
+    return s.select(
+        "*", (c("sessions") - c("valid")).alias("invalid"), rate(c("valid") - c("target_errors"), c("valid")).alias("service_completion"), rate(c("complete"), c("valid")).alias("complete_rate"), rate(c("fully_passed"), c("valid")).alias("fully_passed_rate"),
+        rate(c("critical_failures"), c("critical_assessed")).alias("critical_failure_rate"), rate(c("evidence_assessed"), c("pass") + c("fail") + c("unassessed")).alias("coverage"),
+    )
+
+
+def review_dimensions(reviews: DataFrame) -> DataFrame:
+    """Quality, safety, opportunity and task completion, each with its own denominator, by criterion and overall (criterion_id null).
+
+    reviews: criterion_id, required, opportunity (occurred, not_reached, not_applicable, unassessed), quality_status,
+    rating (0 to 2), serious_error (null: unknown), task (completed, incomplete, unassessed, not_applicable).
+    """
+    is_ = lambda v: F.col("opportunity") == v
+    eligible, rated = ~is_("not_reached") & ~is_("not_applicable"), F.col("quality_status").eqNullSafe("assessed")
+    safe = ~is_("not_applicable") | F.col("serious_error").isNotNull()
+    task = lambda v: F.count_if(F.col("required") & F.col("task").eqNullSafe(v))
+    g = reviews.groupingSets([["criterion_id"], []], "criterion_id").agg(
+        F.count_if(eligible).alias("quality_eligible"), F.count_if(eligible & rated).alias("quality_assessed"), rate(F.sum(F.when(eligible & rated, F.col("rating"))), F.count_if(eligible & rated)).alias("mean_rating"),
+        F.count_if(safe).alias("safety_eligible"), F.count_if(safe & F.col("serious_error").isNotNull()).alias("safety_assessed"), F.count_if(F.coalesce("serious_error", F.lit(False))).alias("serious_errors"),
+        *[F.count_if(is_(v)).alias(f"opportunity_{v}") for v in ("occurred", "not_reached", "not_applicable", "unassessed")],
+        F.count_if("required").alias("task_required"), task("completed").alias("task_completed"), task("incomplete").alias("task_incomplete"), task("not_applicable").alias("task_not_applicable"),
     )
+    c = F.col
+    return g.withColumns({
+        "quality_coverage": rate(c("quality_assessed"), c("quality_eligible")), "safety_coverage": rate(c("safety_assessed"), c("safety_eligible")),
+        "completion_rate": rate(c("task_completed"), c("task_completed") + c("task_incomplete")), "completion_lower_bound": rate(c("task_completed"), c("task_required") - c("task_not_applicable")),
+    })
+
+
+def comparison_violations(runs: DataFrame, fixed: list[str]) -> DataFrame:
+    """(rule, values) for each column of `fixed` that isn't the same in all compared runs; a missing value differs from any other."""
+    shown = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("(none)"))
+    counts = runs.agg(*[F.countDistinct(shown(f)).alias(f) for f in fixed])
+    long = counts.select(F.explode(F.array(*[F.struct(F.concat(F.lit("UNLIKE_"), F.upper(F.lit(f))).alias("rule"), F.col(f).alias("values")) for f in fixed])).alias("x")).select("x.*")
+    return long.where(F.col("values") > 1)
 
 
 def paired_deltas(scores: DataFrame, keys: list[str], family: str, side: str, value: str, base: str, candidate: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ and joins over the spans, so rule sets of any size share the same plan.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,6 @@ from quern.functions import text as X
 from quern.operators.core import rule_holds
 
 SENTENCE = r"[^.!?。！？\n]+"
-NEGATION = r"\b(no|not|without|never|denies)\b|n't\b"
 
 
 def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -26,9 +26,16 @@ def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def mentions(df: DataFrame, keys: list[str], text: str, rules: dict[str, str]) -> DataFrame:
-    """(keys, kind, start, end, negated) of every cue; negated if a negation stands before it in its clause."""
-    found = df.select(*keys, F.col(text).alias("__t"), F.explode(X.spans(F.lower(F.col(text)), rules)).alias("m"))
-    return found.select(*keys, F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), X.negated_at(F.lower("__t"), F.col("m.start"), NEGATION).alias("negated"))
+    """(keys, kind, start, end, negated) of every cue of the lower-case text; negated as functions.text.negated_at() says."""
+    found = df.select(*keys, F.lower(F.col(text)).alias("__t")).select(*keys, "__t", F.explode(X.spans(F.col("__t"), rules)).alias("m"))
+    return found.select(*keys, F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), X.negated_at(F.col("__t"), F.col("m.start"), F.col("m.end")).alias("negated"))
+
+
+def phrase_mentions(df: DataFrame, keys: list[str], text: str, groups: dict[str, list[str]]) -> DataFrame:
+    """mentions() of literal phrases by group, found without Python."""
+    low = df.select(*keys, F.lower(F.trim(text)).alias("__t"))
+    found = low.select(*keys, "__t", F.explode(X.phrase_hits(F.col("__t"), groups)).alias("m")).select(*keys, "__t", "m.*")
+    return found.withColumn("negated", X.negated_at(F.col("__t"), F.col("start"), F.col("end"))).drop("__t")
 
 
 def longest_only(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,40 +84,79 @@ def abstaining(frames: DataFrame, key: str, guard: Column) -> DataFrame:
     return frames.join(frames.where(F.coalesce(guard, F.lit(False))).select(key).distinct(), key, "left_anti")
 
 
-def features(texts: DataFrame, key: str, text: str, groups: dict[str, str]) -> DataFrame:
-    """(key, group, positive): a group is positive if found and never negated."""
-    found = mentions(texts, [key], text, groups)
+def features(texts: DataFrame, key: str, text: str, groups: dict[str, list[str]]) -> DataFrame:
+    """(key, group, positive): a group is positive if one of its phrases is found and none is negated."""
+    found = phrase_mentions(texts, [key], text, groups)
     return found.groupBy(key, F.col("kind").alias("group")).agg((~F.bool_or("negated")).alias("positive"))
 
 
 def routed(texts: DataFrame, key: str, positive: DataFrame, rules: list[tuple[str, float, list[str], list[str], list[str]]], fallback: str) -> DataFrame:
-    """(key, intent, score): priority plus 0.01 for each matched group; the earlier rule wins a tie."""
+    """(key, intent, score): priority plus 0.01 for each matched group; the earlier rule wins a tie, the fallback scores 0."""
     have = positive.where("positive").groupBy(key).agg(F.collect_set("group").alias("f"))
     j = texts.select(key).join(have, key, "left").withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
     lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     scored = [F.when(rule_holds(F.col("f"), lit(a), lit(b), lit(c)), F.struct((F.lit(p) + 0.01 * F.size(F.array_intersect(lit([*a, *b]), F.col("f")))).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("name"))) for k, (name, p, a, b, c) in enumerate(rules)]
     best = F.array_max(F.array_compact(F.array(*scored)))
-    return j.select(key, F.coalesce(best["name"], F.lit(fallback)).alias("intent"), best["score"].alias("score"))
+    return j.select(key, F.coalesce(best["name"], F.lit(fallback)).alias("intent"), F.coalesce(best["score"], F.lit(0.0)).alias("score"))
+
+
+#: Names under which a source may be excluded.
+SOURCE_ALIASES = {
+    "PUBMED": ["pubmed", "医学文献", "同行评议文献", "文献"],
+    "CLINICALTRIALS_GOV": ["clinicaltrials.gov", "trial registry", "试验注册", "临床试验注册"],
+    "DAILYMED_SPL": ["dailymed", "产品标签", "美国说明书", "当前说明书", "最新说明书", "处方信息"],
+    "DRUGS_AT_FDA": ["drugs@fda", "drugs at fda"],
+    "OPENFDA_FAERS": ["faers", "自发不良事件", "自发报告", "不良事件系统"],
+    "RXNORM": ["rxnorm"],
+    "LOINC": ["loinc"],
+}
+
+
+def excluded_sources(texts: DataFrame, key: str, text: str, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, source) of sources one of whose names is negated in the text."""
+    found = phrase_mentions(texts, [key], text, SOURCE_ALIASES if aliases is None else aliases)
+    return found.where("negated").select(key, F.col("kind").alias("source")).distinct()
 
 
 def ranked_sources(intents: DataFrame, key: str, policy: DataFrame, excluded: DataFrame, most: int = 3) -> DataFrame:
     """(key, sources): the intent's policy (intent, ranked array) without excluded (key, source), cut to `most`, order kept."""
     out = excluded.groupBy(key).agg(F.collect_set("source").alias("x"))
-    j = intents.join(F.broadcast(policy), "intent", "left").join(out, key, "left")
+    j = intents.join(policy, "intent", "left").join(out, key, "left")
     keep = F.filter(F.coalesce("ranked", F.array().cast("array<string>")), lambda s: ~F.coalesce(F.array_contains("x", s), F.lit(False)))
     return j.select(key, "intent", F.slice(keep, 1, most).alias("sources"))
 
 
-#: Overlap thresholds of the lexical verifier.
+#: Shares of the claim's words that support it, in full and in part.
 SUPPORT, PARTIAL = 0.62, 0.38
-
-
-def lexical_verdict(claim: Column, evidence: Column, negation: str = NEGATION) -> Column:
-    """Share of the claim's words in the evidence; a negation on one side only contradicts."""
-    c, e = X.words_c(claim), X.words_c(evidence)
-    share = X.containment(F.array_distinct(c), F.array_distinct(e))
-    opposed = F.lower(claim).rlike(negation) != F.lower(evidence).rlike(negation)
-    return F.when((share >= SUPPORT) & opposed, "CONTRADICTED").when(share >= SUPPORT, "SUPPORTED").when(share >= PARTIAL, "PARTIAL").otherwise("UNSUPPORTED")
+#: Fixed values: (relation, cue, what the evidence says, what the claim says), tried in this order.
+LEXICAL_RULES = [
+    ("CONTRADICTS", "explicit_causality_limitation", ["cannot by themselves establish a causal", "cannot establish a causal", "causality requires other evidence"], ["proves that the drug caused", "proves causality", "caused the reported adverse"]),
+    ("CONTRADICTS", "explicit_incidence_limitation", ["cannot be used to estimate", "cannot estimate", "report counts cannot"], ["true adverse-event incidence", "true incidence", "obtain the incidence"]),
+    ("CONTRADICTS", "explicit_supersession", ["superseded", "supersedes"], ["version 1 remains the current", "old guideline remains current"]),
+    ("CONTRADICTS", "explicit_temporal_limitation", ["has not yet been revised", "still recommends", "has not yet changed"], ["automatically means", "guideline now recommends"]),
+    ("DOES_NOT_SUPPORT", "explicit_scope_limitation", ["does not specify", "does not state", "contains no", "management must be supported separately"], ["supports replacing", "clinically contraindicated", "dose must be changed", "must be changed"]),
+    ("DOES_NOT_SUPPORT", "registry_to_efficacy_guard", ["registry", "registered", "clinicaltrials.gov"], ["proves that the treatment is clinically effective", "proves efficacy"]),
+    ("DOES_NOT_SUPPORT", "risk_to_diagnosis_guard", ["possible serious adverse", "possible", "can precipitate"], ["confirmed serotonin syndrome", "has confirmed"]),
+]
+BELOW = r"(?:below|<)\s*(\d+)"
+
+
+def lexical_verdict(claim: Column, evidence: Column) -> Column:
+    """struct(relation, score, cue) of a claim by the words of its evidence: cue rules first, then the share of its words.
+
+    A claim without words has score 0; null texts give null.
+    """
+    c, e = F.lower(claim), F.lower(evidence)
+    score = X.containment(F.array_distinct(X.words_c(claim)), F.array_distinct(X.words_c(evidence)))
+    out = lambda relation, cue: F.struct(F.lit(relation).alias("relation"), score.alias("score"), F.lit(cue).alias("cue"))
+    found = F.when(score >= SUPPORT, out("DIRECT_SUPPORT", "high_lexical_overlap")).when(score >= PARTIAL, out("PARTIAL_SUPPORT", "medium_lexical_overlap")).otherwise(out("DOES_NOT_SUPPORT", "low_lexical_overlap"))
+    low = lambda t: F.regexp_extract(t, BELOW, 1)
+    other = F.contains(c, F.lit("contraindicat")) & F.contains(e, F.lit("contraindicat")) & (low(c) != "") & (low(e) != "") & (low(c) != low(e))
+    found = F.when(other, out("CONTRADICTS", "threshold_mismatch")).otherwise(found)
+    says = lambda t, phrases: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
+    for relation, cue, of_evidence, of_claim in reversed(LEXICAL_RULES):
+        found = F.when(says(e, of_evidence) & says(c, of_claim), out(relation, cue)).otherwise(found)
+    return F.when(claim.isNotNull() & evidence.isNotNull(), found)
 
 
 #: Comparison words of conditions.

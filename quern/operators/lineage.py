@@ -1,134 +1,272 @@
-"""Lineage of candidate records from protected references: exclusive anchors, spans, decisions, mosaics.
+"""Lineage of candidate records from protected references: exclusive evidence, decisions by pair, mosaics.
 
-Records are (case_id, then one text column for each field).  What a reference shares with the allowed corpus
-is no evidence; what only protected records hold is.  Pairs are found by equi-joins: an exclusive anchor,
-an equal core, an equal exclusive field or span, or a common identifier; only those are scored.  A candidate
-without such a pair is allowed, and names no nearest reference.
+Records are a case_id and one text column for each field, JSON or plain.  What a reference shares with the allowed
+corpus is no evidence; what only protected records hold is.  Pairs are found by equi-joins: an exclusive anchor, an equal
+core, an equal exclusive field or span, a common exclusive identifier, or concepts across languages; only those are
+scored.  A candidate without such a pair is allowed, and names no nearest reference.
+
+Defined cases: null, empty, [] and {} fields are empty and match nothing; records without text are allowed; a case_id
+should be unique, rows that repeat are one record; empty tables give empty results, and without references all are
+allowed; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import concepts as C
 from quern.functions import text as X
+from quern.functions.scratch import scratch, stored
+
+from .core import pick
 
 #: Thresholds of decisions.
-RECORD_BLOCK, RECORD_REVIEW, FIELD_NEAR, SPAN_BLOCK, SPAN_REVIEW = 0.88, 0.70, 0.90, 0.95, 0.82
-SPAN_CHARS, SPAN_WORDS = 30, 5
+RECORD_BLOCK, RECORD_REVIEW, FIELD_NEAR, SPAN_BLOCK, SPAN_REVIEW, DENSE = 0.88, 0.70, 0.90, 0.95, 0.82, 0.62
 MOSAIC_REFERENCES, MOSAIC_SIMILARITY, MOSAIC_ANCHORS, MOSAIC_TOTAL, MOSAIC_RISK = 2, 0.52, 8, 16, 0.96
+CROSS_RISK, SCRIPT_CONCEPTS, SPANS_LISTED = 0.94, 5, 24
 RANK = {"ALLOW": 0, "REVIEW": 1, "BLOCK": 2}
-IDENTIFIER = r"\b[A-Z]{2,}[-_]?[0-9]{2,}[A-Z0-9-]*\b"
+KEY = ["candidate_id", "reference_id"]
+_STRINGS, _LONGS = "array<string>", "array<long>"
 
 
-def _long(records: DataFrame, fields: list[str]) -> DataFrame:
-    """(case_id, field, text) of fields that hold something."""
-    rows = records.select("case_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x"))
-    return rows.select("case_id", "x.*").where(F.coalesce(F.trim("text"), F.lit("")) != "")
+def _read(text: str):
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return text
+    return value if isinstance(value, (dict, list)) else text
 
 
-def _whole(records: DataFrame, fields: list[str]) -> DataFrame:
-    """(case_id, core, words, grams, content, ids, numbers, lang) of each record, worked out once."""
-    text = F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    core = F.sha2(F.concat_ws("\x1f", *[F.coalesce(X.spaced_form(F.col(f).cast("string"), lambda c: c), F.lit("")) for f in fields]), 256)
-    base = records.select("case_id", core.alias("core"), text.alias("raw"), X.word_form(text).alias("form"))
-    words = F.array_distinct(F.filter(F.split("form", " "), lambda x: x != ""))
-    return base.select(
-        "case_id", "core", words.alias("words"), X.char_ngrams(F.col("form"), 4).alias("grams"), X.content_words(F.col("form"), lambda c: c).alias("content"),
-        F.array_distinct(F.regexp_extract_all("raw", F.lit(IDENTIFIER), F.lit(0))).alias("ids"), F.array_distinct(F.regexp_extract_all("raw", F.lit(r"(?<![\p{L}\p{Nd}._-])\p{Nd}+(?:\.\p{Nd}+)?(?![\p{L}\p{Nd}_-])"), F.lit(0))).alias("numbers"), X.script_language(F.col("raw")).alias("lang"),
-    )
+def _parsed(text: Column) -> Column:
+    """struct<canonical, form, part, leaves>: a field's canonical JSON, its word form, its part of the record's form, long leaf strings."""
+    leaf = pa.struct([("path", pa.string()), ("text", pa.string())])
+    kind = pa.struct([("canonical", pa.string()), ("form", pa.string()), ("part", pa.string()), ("leaves", pa.list_(leaf))])
+
+    def one(s: str | None) -> dict | None:
+        value = None if s is None else _read(s)
+        if value is None or value in ("", [], {}):
+            return None
+        canonical = X.canonical_text(value)
+        form = X.plain_form(value if isinstance(value, str) else canonical)
+        return {"canonical": canonical, "form": form, "part": X.plain_form(canonical), "leaves": X.leaves_of(value)}
+
+    @F.arrow_udf("struct<canonical: string, form: string, part: string, leaves: array<struct<path: string, text: string>>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([one(v.as_py()) for v in values], kind)
+
+    return run(text)
+
+
+def gram_hashes(form: Column, n: int = 4) -> Column:
+    """Sorted distinct 64-bit hashes of the n-grams of characters; a shorter text is its own; an empty one has none."""
+
+    def of(s: str) -> np.ndarray:
+        a = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(a) < n:
+            a = np.append(a, np.zeros(n - len(a), np.uint64)) if len(a) else a
+        if not len(a):
+            return np.zeros(0, np.int64)
+        h = np.zeros(len(a) - n + 1, np.uint64)
+        for k in range(n):
+            h = (h ^ a[k : len(a) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return np.unique(h.view(np.int64))
+
+    @F.arrow_udf(_LONGS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([None if not v.is_valid else of(v.as_py()) for v in values], pa.list_(pa.int64()))
+
+    return run(form)
+
+
+def _similar(a: Column, b: Column, same: Column) -> Column:
+    """Blend of word and 4-gram Dice of two structs (words, grams); 1 for the same value."""
+    return F.when(same, 1.0).otherwise(X.blended(a["words"], b["words"], a["grams"], b["grams"]))
+
+
+def _words(form: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(form, " "), lambda x: x != ""))
+
 
+class Records:
+    """Tables of a set of records, each stored once: fields, leaves and whole records."""
 
-def _spans(records: DataFrame, fields: list[str]) -> DataFrame:
-    """(case_id, field, span) of sentences long enough to tell something."""
-    s = _long(records, fields).select("case_id", "field", F.explode(X.clauses(F.col("text"))).alias("s")).select("case_id", "field", X.word_form(F.col("s")).alias("span"))
-    return s.where((F.length("span") >= SPAN_CHARS) & (F.size(F.split("span", " ")) >= SPAN_WORDS)).distinct()
+    def __init__(self, rows: DataFrame, fields: list[str], labs: str | None = None):
+        path = scratch(rows.sparkSession, "lineage")
+        rows = pick(rows, ["case_id"], [F.to_json(F.struct(*[F.col(f).cast("string") for f in fields]))]).where("case_id is not null")
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in sorted(fields)])).alias("x")
+        parsed = rows.select("case_id", each).select("case_id", "x.field", _parsed(F.col("x.text")).alias("p"))
+        self.fields = stored(parsed.where("p is not null").select("case_id", "field", "p.*"), f"{path}/fields")
+        # a record's form has every field's name, and null where a field is empty
+        held = self.fields.select("case_id", F.struct("field", "part", "canonical").alias("f"))
+        held = held.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("f.field"), F.col("f")))).alias("m"))
+        form = F.concat_ws(" ", *[F.concat_ws(" ", F.lit(f), F.when(F.col("m").isNull() | F.try_element_at("m", F.lit(f)).isNull(), "null").otherwise(F.col("m")[f]["part"])) for f in sorted(fields)])
+        core = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.try_element_at("m", F.lit(f))["canonical"], F.lit("null")) for f in sorted(fields)]), 256)
+        codes = F.array_distinct(F.flatten(F.transform(F.map_values("m"), lambda f: C.identifiers(f["canonical"]))))
+        quantity = F.col(labs).cast("string") if labs else F.lit(None).cast("string")
+        whole = rows.select("case_id", quantity.alias("labs")).join(held, "case_id", "left").select("case_id", "labs", F.trim(form).alias("form"), core.alias("core"), F.coalesce(codes, F.array().cast(_STRINGS)).alias("ids"))
+        self.whole = stored(
+            whole.select(
+                "case_id", "core", "form", "ids", _words(F.col("form")).alias("words"), X.content_words(F.col("form"), lambda c: c).alias("content"), gram_hashes(F.col("form")).alias("grams"),
+                C.concepts(F.col("form")).alias("concepts"), C.numbers(F.col("form")).alias("numbers"), C.language(F.col("form")).alias("lang"), F.coalesce(C.roles(F.col("labs")), F.array().cast(_STRINGS)).alias("roles"),
+            ),
+            f"{path}/whole",
+        )
 
+    @property
+    def leaves(self) -> DataFrame:
+        """(case_id, field, path, span)"""
+        return self.fields.select("case_id", "field", F.explode("leaves").alias("l")).select("case_id", "field", F.concat("field", F.col("l.path")).alias("path"), F.col("l.text").alias("span"))
 
-def _blend(wa: Column, wb: Column, ga: Column, gb: Column) -> Column:
-    return F.when((F.size(wa) == F.size(wb)) & (F.size(F.array_except(ga, gb)) == 0) & (F.size(F.array_except(gb, ga)) == 0) & (F.size(F.array_except(wa, wb)) == 0), 1.0).otherwise(X.blended(wa, wb, ga, gb))
+    def column(self, name: str, one: str) -> DataFrame:
+        return self.whole.select("case_id", F.explode(name).alias(one))
 
 
-def reference_index(references: DataFrame, allowed: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
-    """Anchors, fields and spans that protected references have and the allowed corpus has not."""
-    words = lambda df: _whole(df, fields).select("case_id", F.explode("content").alias("word"))
-    forms = lambda df: _long(df, fields).select("case_id", "field", X.word_form(F.col("text")).alias("form"))
-    known = words(allowed).select("word").distinct()
+def _as(side: str, df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("case_id", f"{side}_id")
+
+
+def reference_index(references: Records, allowed: Records, high_signal: list[str]) -> dict[str, DataFrame]:
+    """What protected references have and the allowed corpus has not: anchors, identifiers, fields and spans with their anchors."""
+    known = allowed.column("content", "word").select("word").distinct()
+    spans = references.leaves.join(allowed.leaves.select("field", "span").distinct(), ["field", "span"], "left_anti")
+    tokens = spans.select("case_id", "field", "path", F.explode(X.content_words(F.col("span"), lambda c: c)).alias("word")).join(known, "word", "left_anti")
+    anchors = tokens.groupBy("case_id", "field", "path").agg(F.array_sort(F.collect_set("word")).alias("anchors"))
+    fields = references.fields.where(F.col("field").isin(high_signal))
     return {
-        "anchors": words(references).join(known, "word", "left_anti"),
-        "fields": forms(references).join(forms(allowed).select("field", "form").distinct(), ["field", "form"], "left_anti"),
-        "spans": _spans(references, fields).join(_spans(allowed, fields).select("field", "span").distinct(), ["field", "span"], "left_anti"),
+        "anchors": references.column("content", "word").join(known, "word", "left_anti"),
+        "ids": references.column("ids", "id").join(allowed.column("ids", "id").select("id").distinct(), "id", "left_anti"),
+        "fields": fields.join(allowed.fields.select("field", "form").distinct(), ["field", "form"], "left_anti"),
+        "spans": spans.join(anchors, ["case_id", "field", "path"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast(_STRINGS))),
     }
 
 
-def pairs(candidates: DataFrame, references: DataFrame, allowed: DataFrame, fields: list[str]) -> DataFrame:
-    """A row for each candidate and reference with any exclusive evidence: similarities, reasons, risk, decision."""
-    index = reference_index(references, allowed, fields)
-    cand, ref = _whole(candidates, fields), _whole(references, fields)
-    key = ["candidate_id", "reference_id"]
-    as_c = lambda df: df.withColumnRenamed("case_id", "candidate_id")
-    as_r = lambda df: df.withColumnRenamed("case_id", "reference_id")
-
-    anchors = as_c(cand.select("case_id", F.explode("content").alias("word"))).join(as_r(index["anchors"]), "word").groupBy(key).agg(F.array_sort(F.collect_set("word")).alias("shared_anchors"))
-    cores = as_c(cand.select("case_id", "core")).join(as_r(ref.select("case_id", "core")), "core").select(*key, F.lit(True).alias("same_core"))
-    cform = as_c(_long(candidates, fields).select("case_id", "field", X.word_form(F.col("text")).alias("form")))
-    rform = as_r(index["fields"])
-    exact_fields = cform.join(rform, ["field", "form"]).groupBy(key).agg(F.array_sort(F.collect_set("field")).alias("exact_fields"))
-    cspan, rspan = as_c(_spans(candidates, fields)), as_r(index["spans"])
-    exact_spans = cspan.join(rspan, ["field", "span"]).groupBy(key).agg(F.count(F.lit(1)).alias("exact_spans"))
-    ids = as_c(cand.select("case_id", F.explode("ids").alias("id"))).join(as_r(ref.select("case_id", F.explode("ids").alias("id"))), "id").groupBy(key).agg(F.count(F.lit(1)).alias("shared_ids"))
-    found = reduce(DataFrame.union, [x.select(key) for x in (anchors, cores, exact_fields, exact_spans, ids)]).distinct()
+def span_matches(candidates: Records, spans: DataFrame) -> DataFrame:
+    """Pairs of spans of one field that are equal, or share an exclusive anchor and are similar by 0.82: paths, similarity, shared anchors."""
+    c = _as("candidate", candidates.leaves).select("candidate_id", "field", F.col("path").alias("c_path"), F.col("span").alias("c_span"))
+    r = _as("reference", spans).select("reference_id", "field", F.col("path").alias("r_path"), F.col("span").alias("r_span"), "anchors")
+    words = c.select("candidate_id", "field", "c_path", "c_span", F.explode(X.content_words(F.col("c_span"), lambda x: x)).alias("word"))
+    near = words.join(r.withColumn("word", F.explode("anchors")), ["field", "word"]).drop("word").distinct()
+    same = c.join(r.withColumn("c_span", F.col("r_span")), ["field", "c_span"])
+    both = near.unionByName(same).distinct()
+    shared = F.array_sort(F.array_intersect("anchors", X.content_words(F.col("c_span"), lambda x: x)))
+    as_struct = lambda s: F.struct(_words(F.col(s)).alias("words"), gram_hashes(F.col(s)).alias("grams"))
+    scored = both.withColumns({"a": as_struct("c_span"), "b": as_struct("r_span"), "shared": shared})
+    scored = scored.withColumn("similarity", _similar(F.col("a"), F.col("b"), F.col("c_span") == F.col("r_span")))
+    return scored.where(F.col("similarity") >= SPAN_REVIEW).select(*KEY, "c_path", "r_path", "similarity", "shared")
+
+
+def _by_concepts(candidates: Records, references: Records) -> DataFrame:
+    """Pairs of unlike languages that share three concepts or more: they share one of each other's concepts past the last two by name."""
+    some = lambda r: r.whole.where(F.size("concepts") >= 3).select("case_id", "lang", "concepts", F.explode(F.slice(F.array_sort("concepts"), F.lit(1), F.size("concepts") - 2)).alias("c"))
+    a, b = some(candidates), some(references)
+    j = a.alias("a").join(b.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.lang") != F.col("b.lang")))
+    return j.where(F.size(F.array_intersect("a.concepts", "b.concepts")) >= 3).select(F.col("a.case_id").alias("candidate_id"), F.col("b.case_id").alias("reference_id")).distinct()
+
+
+def pairs(candidates: DataFrame, references: DataFrame, allowed: DataFrame, fields: list[str], high_signal: list[str] | None = None, labs: str | None = None) -> DataFrame:
+    """A row for each candidate and reference with any evidence: similarities, overlaps, reasons, risk, decision, matching spans."""
+    cand, ref, free = Records(candidates, fields, labs), Records(references, fields, labs), Records(allowed, fields)
+    index = reference_index(ref, free, fields if high_signal is None else high_signal)
+    path = scratch(candidates.sparkSession, "pairs")
+    c_, r_ = (lambda df: _as("candidate", df)), (lambda df: _as("reference", df))
+
+    by_anchor = c_(cand.column("content", "word")).join(r_(index["anchors"]), "word").groupBy(KEY).agg(F.array_sort(F.collect_set("word")).alias("shared_anchors"))
+    by_id = c_(cand.column("ids", "id")).join(r_(index["ids"]), "id").groupBy(KEY).agg(F.array_sort(F.collect_set("id")).alias("shared_ids"))
+    by_core = c_(cand.whole.select("case_id", "core")).join(r_(ref.whole.select("case_id", "core")), "core").select(*KEY, F.lit(True).alias("same_core"))
+    spans = stored(span_matches(cand, index["spans"]), f"{path}/spans")
+    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "c_path", "r_path", "similarity", "shared"))), 1, SPANS_LISTED)
+    blocks = (F.col("similarity") >= SPAN_BLOCK) & ((F.col("similarity") == 1.0) | (F.size("shared") > 0))
+    by_span = spans.groupBy(KEY).agg(F.max("similarity").alias("max_span"), F.count(F.lit(1)).alias("spans"), F.bool_or(blocks).alias("span_blocks"), F.bool_or(F.size("shared") > 0).alias("span_anchored"), listed.alias("l"))
+    by_span = by_span.withColumn("span_matches", F.transform("l", lambda x: x.dropFields("order"))).drop("l")
+    exact = c_(cand.fields.select("case_id", "field", "form")).join(r_(index["fields"].select("case_id", "field", "form")), ["field", "form"]).select(KEY)
+    found = stored(reduce(DataFrame.union, [x.select(KEY) for x in (by_anchor, by_id, by_core, by_span, exact, _by_concepts(cand, ref))]).distinct(), f"{path}/found")
+
+    field = lambda name: F.struct(_words(F.col("form")).alias("words"), gram_hashes(F.col("form")).alias("grams"), "canonical").alias(name)
+    a = c_(cand.fields).join(found.select("candidate_id").distinct(), "candidate_id", "left_semi").select("candidate_id", "field", field("a"))
+    b = r_(index["fields"]).join(found.select("reference_id").distinct(), "reference_id", "left_semi").select("reference_id", "field", field("b"))
+    per_field = found.join(a, "candidate_id").join(b, ["reference_id", "field"]).withColumn("same", F.col("a.canonical") == F.col("b.canonical")).withColumn("s", _similar(F.col("a"), F.col("b"), F.col("same")))
+    names = lambda keep: F.array_sort(F.collect_set(F.when(keep, F.col("field"))))
+    by_field = per_field.groupBy(KEY).agg(F.max("s").alias("max_field"), names(F.col("same")).alias("exact_fields"), names(F.col("s") >= FIELD_NEAR).alias("near_fields"))
+
+    totals = r_(index["anchors"].groupBy("case_id").agg(F.count(F.lit(1)).alias("all_anchors")))
     j = found
-    for part in (anchors, cores, exact_fields, exact_spans, ids):
-        j = j.join(part, key, "left")
-
-    grams = lambda c: X.char_ngrams(F.col(c), 4)
-    tokens = lambda c: F.array_distinct(F.split(F.col(c), " "))
-    near = found.join(cform.withColumnRenamed("form", "cf"), "candidate_id").join(rform.withColumnRenamed("form", "rf"), ["reference_id", "field"])
-    near = near.groupBy(key).agg(F.max(X.blended(tokens("cf"), tokens("rf"), grams("cf"), grams("rf"))).alias("max_field"), F.count_if(X.blended(tokens("cf"), tokens("rf"), grams("cf"), grams("rf")) >= FIELD_NEAR).alias("near_fields"))
-
-    held = as_r(index["spans"]).join(as_r(index["anchors"].groupBy("case_id").agg(F.collect_set("word").alias("own"))), "reference_id", "left")
-    held = held.withColumn("span_anchors", F.array_intersect(F.split("span", " "), F.coalesce("own", F.array().cast("array<string>")))).drop("own").withColumnRenamed("span", "rs")
-    close = found.join(cspan.withColumnRenamed("span", "cs"), "candidate_id").join(held, ["reference_id", "field"]).where(F.arrays_overlap(F.split("cs", " "), F.col("span_anchors")))
-    close = close.withColumn("sim", X.blended(tokens("cs"), tokens("rs"), grams("cs"), grams("rs"))).where(F.col("sim") >= SPAN_REVIEW)
-    close = close.groupBy(key).agg(F.max("sim").alias("near_span"))
-
-    a, b = as_c(cand).alias("c"), as_r(ref).alias("r")
-    j = j.join(near, key, "left").join(close, key, "left").join(a, "candidate_id").join(b, "reference_id")
-    rec = _blend(F.col("c.words"), F.col("r.words"), F.col("c.grams"), F.col("r.grams"))
-    n = F.coalesce(F.size("shared_anchors"), F.lit(0))
-    total = index["anchors"].groupBy("case_id").agg(F.count(F.lit(1)).alias("all_anchors"))
-    j = j.join(as_r(total), "reference_id", "left").withColumns({
-        "record_similarity": F.round(rec, 6), "n_anchors": F.when(F.col("shared_anchors").isNull(), 0).otherwise(n), "n_exact_fields": F.when(F.col("exact_fields").isNull(), 0).otherwise(F.size("exact_fields")),
-        "max_field": F.greatest(F.coalesce("max_field", F.lit(0.0)), F.when(F.col("exact_fields").isNotNull(), 1.0).otherwise(0.0)), "near_fields": F.coalesce("near_fields", F.lit(0)), "exact_spans": F.coalesce("exact_spans", F.lit(0)), "shared_ids": F.coalesce("shared_ids", F.lit(0)),
-        "shared_numbers": F.size(F.array_intersect("c.numbers", "r.numbers")), "cross_language": F.col("c.lang") != F.col("r.lang"),
-    }).withColumn("max_span", F.greatest(F.coalesce("near_span", F.lit(0.0)), F.when(F.col("exact_spans") > 0, 1.0).otherwise(0.0)))
-    rec, n = F.col("record_similarity"), F.col("n_anchors")
-    reasons = F.array_compact(F.array(
-        F.when(F.coalesce("same_core", F.lit(False)), "EXACT_SEMANTIC_CORE"), F.when(F.col("n_exact_fields") > 0, "PROTECTED_EXCLUSIVE_FIELD_REUSE"), F.when(F.col("max_span") >= SPAN_BLOCK, "PROTECTED_EXCLUSIVE_SPAN_REUSE"),
-        F.when((rec >= RECORD_BLOCK) & (n > 0), "ANCHORED_HIGH_RECORD_NEAR_DUPLICATE"), F.when((F.col("near_fields") >= 2) & (rec >= 0.62) & (n > 0), "ANCHORED_MULTI_FIELD_NEAR_REUSE"), F.when((n >= 3) & (rec >= 0.62), "DENSE_PROTECTED_ANCHOR_REUSE"),
-        F.when(F.col("cross_language") & (F.col("shared_ids") >= 2), "MULTILINGUAL_IDENTIFIER_REUSE"),
+    for part in (by_anchor, by_id, by_core, by_span, by_field):
+        j = j.join(part, KEY, "left")
+    j = j.join(totals, "reference_id", "left").join(c_(cand.whole).alias("c"), "candidate_id").join(r_(ref.whole).alias("r"), "reference_id")
+    return _decided(j)
+
+
+def _decided(j: DataFrame) -> DataFrame:
+    """The rules, in four steps: evidence of the pair, of languages, of review, of measured quantities."""
+    none = F.array().cast(_STRINGS)
+    both = lambda name: F.array_sort(F.array_intersect(f"c.{name}", f"r.{name}"))
+    j = j.withColumns({
+        "record_similarity": F.when(F.col("c.form") == F.col("r.form"), 1.0).otherwise(X.blended(F.col("c.words"), F.col("r.words"), F.col("c.grams"), F.col("r.grams"))),
+        **{name: F.coalesce(name, none) for name in ("shared_anchors", "shared_ids", "exact_fields", "near_fields")},
+        **{name: F.coalesce(name, F.lit(0.0)) for name in ("max_field", "max_span")}, "spans": F.coalesce("spans", F.lit(0)),
+        **{name: F.coalesce(name, F.lit(False)) for name in ("same_core", "span_blocks", "span_anchored")},
+        "shared_concepts": both("concepts"), "shared_numbers": both("numbers"), "cross_language": F.col("c.lang") != F.col("r.lang"), "candidate_language": F.col("c.lang"), "reference_language": F.col("r.lang"),
+        "role_conflict": (F.size("c.roles") > 0) & (F.size("r.roles") > 0) & ~F.arrays_overlap("c.roles", "r.roles"),
+    })
+    rec, anchors, near = F.col("record_similarity"), F.size("shared_anchors"), F.size("near_fields")
+    own = F.array_compact(F.array(
+        F.when(F.col("same_core"), "EXACT_SEMANTIC_CORE"), F.when(F.size("exact_fields") > 0, "PROTECTED_EXCLUSIVE_FIELD_REUSE"), F.when(F.col("span_blocks"), "PROTECTED_EXCLUSIVE_SPAN_REUSE"),
+        F.when((rec >= RECORD_BLOCK) & (anchors > 0), "ANCHORED_HIGH_RECORD_NEAR_DUPLICATE"), F.when((near >= 2) & (rec >= DENSE) & (anchors > 0), "ANCHORED_MULTI_FIELD_NEAR_REUSE"), F.when((anchors >= 3) & (rec >= DENSE), "DENSE_PROTECTED_ANCHOR_REUSE"),
     ))
-    density = F.when(n > 0, 0.62 + 0.25 * n / F.greatest(F.lit(1), F.coalesce("all_anchors", F.lit(1)))).otherwise(0.0)
+    density = F.when(anchors > 0, 0.62 + 0.25 * anchors / F.greatest(F.lit(1), F.coalesce("all_anchors", F.lit(1)))).otherwise(0.0)
     risk = F.round(F.least(F.lit(1.0), F.greatest(rec, 0.92 * F.col("max_field"), 0.96 * F.col("max_span"), density)), 6)
-    review = ((rec >= RECORD_REVIEW) & (n > 0)) | ((F.col("near_fields") > 0) & (n > 0)) | F.col("near_span").isNotNull() | ((n >= 2) & (rec >= MOSAIC_SIMILARITY))
-    out = j.withColumn("reasons", reasons).withColumn("risk", risk)
-    decision = F.when(F.size("reasons") > 0, "BLOCK").when(review, "REVIEW").otherwise("ALLOW")
-    return out.withColumn("decision", decision).select(*key, "record_similarity", "n_anchors", "n_exact_fields", "near_fields", "max_field", "exact_spans", "max_span", "shared_ids", "shared_numbers", "risk", "reasons", "decision")
+    review = ((rec >= RECORD_REVIEW) & (anchors > 0)) | ((near > 0) & (anchors > 0)) | F.col("span_anchored") | ((anchors >= 2) & (rec >= MOSAIC_SIMILARITY))
+    j = j.withColumns({"own": own, "risk": risk}).withColumn("decision", F.when(F.size("own") > 0, "BLOCK").when(review, "REVIEW").otherwise("ALLOW"))
+
+    ids, shared = F.size("shared_ids"), F.size("shared_concepts")
+    across = F.col("cross_language") & ((ids >= 2) | ((ids > 0) & (shared >= 3)) | ((shared >= 7) & (F.size("shared_numbers") >= 2)))
+    strong = ((rec >= RECORD_REVIEW) & (anchors > 0)) | ((near >= 2) & (anchors > 0)) | F.col("span_anchored") | ((anchors >= MOSAIC_ANCHORS) & (rec >= MOSAIC_SIMILARITY))
+    boundary = F.size(F.array_intersect("shared_concepts", F.array(*[F.lit(b) for b in C.BOUNDARY])))
+    script = F.col("cross_language") & (F.col("candidate_language") == "ko") & (shared >= SCRIPT_CONCEPTS) & (boundary >= 2)
+    j = j.withColumns({"across": across, "script": script})
+    added = F.array_compact(F.array(F.when(F.col("across"), "MULTILINGUAL_SEMANTIC_LINEAGE_REUSE"), F.when(F.col("script"), "SCRIPT_SEMANTIC_LINEAGE_REUSE")))
+    raised = F.col("across") | F.col("script")
+    j = j.withColumns({
+        "reasons": F.concat("own", added), "risk": F.when(raised, F.greatest("risk", F.lit(CROSS_RISK))).otherwise(F.col("risk")),
+        "decision": F.when(raised, "BLOCK").when((F.col("decision") == "REVIEW") & ~strong, "ALLOW").otherwise(F.col("decision")),
+    })
+    only_dense = (F.size("reasons") == 1) & F.array_contains("reasons", "DENSE_PROTECTED_ANCHOR_REUSE")
+    clean = F.col("role_conflict") & (F.col("decision") == "BLOCK") & only_dense & (ids == 0) & (F.size("exact_fields") == 0) & (near == 0)
+    j = j.withColumn("typed_clean", clean)
+    return j.select(
+        *KEY, "record_similarity", "risk", F.when(F.col("typed_clean"), "ALLOW").otherwise(F.col("decision")).alias("decision"),
+        F.when(F.col("typed_clean"), F.array(F.lit("TYPED_MEASUREMENT_ROLE_MISMATCH"))).otherwise(F.array_sort("reasons")).alias("reasons"),
+        anchors.alias("n_anchors"), "shared_anchors", "exact_fields", "near_fields", "max_field", "spans", "max_span", F.coalesce("span_matches", F.array().cast("array<struct<c_path: string, r_path: string, similarity: double, shared: array<string>>>")).alias("span_matches"),
+        "shared_ids", "shared_concepts", "shared_numbers", "candidate_language", "reference_language", "role_conflict", F.col("script").alias("script_match"), "typed_clean",
+    )
 
 
 def decisions(candidates: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row per candidate: the worst pair (ties: the smallest reference), raised by a mosaic of several references."""
+    """One row per candidate: the worst pair (by decision, risk, similarity; ties: the smallest reference), raised by a mosaic.
+
+    reasons are those of the worst pair and of the mosaic; typed_references and script_references name all pairs of these kinds.
+    """
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("decision")]
     dense = (F.col("record_similarity") >= MOSAIC_SIMILARITY) & (F.col("n_anchors") >= MOSAIC_ANCHORS)
     worst = F.struct((-rank).alias("a"), (-F.col("risk")).alias("b"), (-F.col("record_similarity")).alias("c"), "reference_id", "decision", "risk", "record_similarity", "reasons")
-    g = scored.groupBy("candidate_id").agg(F.min(worst).alias("w"), ((F.count_if(dense) >= MOSAIC_REFERENCES) & (F.sum(F.when(dense, F.col("n_anchors"))) >= MOSAIC_TOTAL)).alias("m"))
-    j = candidates.select(F.col("case_id").alias("candidate_id")).join(g, "candidate_id", "left")
-    mosaic, empty = F.coalesce("m", F.lit(False)), F.array().cast("array<string>")
+    of = lambda keep: F.array_sort(F.collect_set(F.when(keep, F.col("reference_id"))))
+    mosaic = (F.count_if(dense) >= MOSAIC_REFERENCES) & (F.coalesce(F.sum(F.when(dense, F.col("n_anchors"))), F.lit(0)) >= MOSAIC_TOTAL)
+    g = scored.groupBy("candidate_id").agg(F.min(worst).alias("w"), mosaic.alias("m"), of(dense).alias("mosaic_references"), of(F.col("typed_clean")).alias("typed_references"), of(F.col("script_match")).alias("script_references"))
+    j = candidates.select(F.col("case_id").alias("candidate_id")).where("candidate_id is not null").distinct().join(g, "candidate_id", "left")
+    raised, empty = F.coalesce("m", F.lit(False)), F.array().cast(_STRINGS)
+    reasons = F.array_sort(F.array_distinct(F.concat(F.coalesce("w.reasons", empty), F.when(raised, F.array(F.lit("MULTI_PROTECTED_REFERENCE_MOSAIC"))).otherwise(empty))))
     return j.select(
         "candidate_id", F.when(F.col("w.decision") != "ALLOW", F.col("w.reference_id")).alias("nearest_reference_id"), F.coalesce("w.record_similarity", F.lit(0.0)).alias("record_similarity"),
-        F.when(mosaic, F.greatest(F.lit(MOSAIC_RISK), F.col("w.risk"))).otherwise(F.coalesce("w.risk", F.lit(0.0))).alias("risk"), F.when(mosaic, "BLOCK").otherwise(F.coalesce("w.decision", F.lit("ALLOW"))).alias("decision"),
-        F.concat(F.coalesce("w.reasons", empty), F.when(mosaic, F.array(F.lit("MULTI_REFERENCE_MOSAIC"))).otherwise(empty)).alias("reasons"),
+        F.when(raised, F.greatest(F.lit(MOSAIC_RISK), F.col("w.risk"))).otherwise(F.coalesce("w.risk", F.lit(0.0))).alias("risk"), F.when(raised, "BLOCK").otherwise(F.coalesce("w.decision", F.lit("ALLOW"))).alias("decision"), reasons.alias("reasons"),
+        *[F.coalesce(c, empty).alias(c) for c in ("mosaic_references", "typed_references", "script_references")],
     )

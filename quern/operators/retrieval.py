@@ -76,23 +76,62 @@ def inject_evidence(cases: DataFrame, passages: DataFrame, k: int) -> tuple[Data
     return cases.join(texts, "case_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))), bad
 
 
-#: Weights of what two entities can share, each count capped at 1 over its divisor.
-WEIGHTS = {"target": (0.30, 1.5), "indication": (0.25, 1.5), "modality": (0.15, 1.5), "investor": (0.10, 1.5), "analysis": (0.05, 2.0)}
-FLAG_WEIGHTS = {"direct": 0.10, "licensing": 0.15, "trial": 0.10}
+#: Weights of what two entities share, with the count that is full, and of ties between them, by mode; levels.
+WEIGHTS = {
+    "pharma": {"target": (0.30, 1.5), "indication": (0.25, 1.5), "modality": (0.15, 1.5), "investor": (0.10, 1.5), "analysis": (0.05, 2.0)},
+    "semi": {"product": (0.25, 1.5), "customer": (0.20, 2.0), "supplier": (0.15, 2.0), "investor": (0.10, 1.5), "analysis": (0.05, 2.0)},
+}
+TIES = {"pharma": {"direct": 0.10, "licensing": 0.15, "trial": 0.10}, "semi": {"direct": 0.10, "industry": 0.15}}
+COMPETITOR_FLOOR = 0.75
 LEVELS = [(0.75, "alert"), (0.5, "watch"), (0.4, "note")]
 
 
-def entity_overlap(edges: DataFrame, kinds: DataFrame, entity: str) -> DataFrame:
-    """Every other entity that shares neighbours with one: counts by kind, score, level.
+def overlap_score(counts: DataFrame, mode: str) -> DataFrame:
+    """counts (a column for each kind, a boolean for each tie, direct_competitor) with score and level.
 
-    edges: (a, b) both ways; kinds: node, kind.  The entity's neighbours are joined with all edges, two hops.
+    A declared direct competitor scores 0.75 at least.  Missing counts are 0, missing ties false.
     """
-    mine = edges.where(F.col("a") == entity).select(F.col("b").alias("n")).distinct()
-    other = edges.join(mine, edges["b"] == mine["n"]).where(F.col("a") != entity).select("a", "n").distinct().join(kinds.withColumnRenamed("node", "n"), "n", "left")
-    direct = mine.select(F.col("n").alias("a"), F.lit(1.0).alias("direct"))
-    g = other.groupBy("a").agg(F.count(F.lit(1)).alias("shared"), *[F.count_if(F.col("kind") == k).alias(k) for k in WEIGHTS]).join(direct, "a", "full").na.fill(0)
-    score = sum((F.least(F.lit(1.0), F.col(k) / d) * w for k, (w, d) in WEIGHTS.items()), F.lit(0.0)) + FLAG_WEIGHTS["direct"] * F.col("direct")
+    shares = [F.least(F.lit(1.0), F.coalesce(F.col(k), F.lit(0)) / full) * w for k, (w, full) in WEIGHTS[mode].items()]
+    ties = [F.when(F.coalesce(F.col(k), F.lit(False)), w).otherwise(0.0) for k, w in TIES[mode].items()]
+    score = sum([*shares, *ties], F.lit(0.0))
+    floor = F.coalesce(F.col("direct_competitor"), F.lit(False)) & F.coalesce(F.col("direct"), F.lit(False))
+    out = counts.withColumn("score", F.round(F.when(floor, F.greatest(score, F.lit(COMPETITOR_FLOOR))).otherwise(score), 6))
     level = F.lit("none")
     for least, name in reversed(LEVELS):
         level = F.when(F.col("score") >= least, name).otherwise(level)
-    return g.withColumn("score", F.round(score, 6)).withColumn("level", level).withColumnRenamed("a", "entity")
+    return out.withColumn("level", level)
+
+
+def relation_types(counts: DataFrame) -> DataFrame:
+    """counts with types, the kinds of relation of two entities of the pharma mode: target, indication and modality counts, both_marketed, ties."""
+    has = lambda k: F.coalesce(F.col(k), F.lit(0)) > 0
+    tie = lambda k: F.coalesce(F.col(k), F.lit(False))
+    main = F.when(has("target") & has("indication") & tie("both_marketed"), "DIRECT_COMMERCIAL_COMPETITOR").when(has("target") & has("indication"), "PIPELINE_COMPETITOR")
+    main = main.when(has("target"), "MECHANISTIC_NEIGHBOR+SHARED_TARGET").when(has("indication"), "MARKET_COMPETITOR")
+    declared = F.when(tie("direct") & tie("direct_competitor"), "DIRECT_COMPETITOR").when(tie("direct"), "SUPPLY_CHAIN_LINK")
+    modality = F.when(has("modality") & ~F.coalesce(F.contains(main, F.lit("COMPETITOR")), F.lit(False)) & ~(tie("direct") & tie("direct_competitor")), "SHARED_MODALITY")
+    rest = [F.when(tie("licensing"), "LICENSING_LINK"), F.when(tie("collaboration"), "COLLABORATION_LINK"), F.when(tie("trial"), "TRIAL_OVERLAP"), F.when(has("customer"), "SHARED_CUSTOMER"), F.when(has("supplier"), "SHARED_SUPPLIER"), F.when(has("investor"), "SHARED_INVESTOR")]
+    found = F.array_compact(F.array(declared, main, modality, *rest))
+    return counts.withColumn("types", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("COMMON_ECOSYSTEM"))))
+
+
+def entity_overlap(edges: DataFrame, kinds: DataFrame, entity: str, ties: DataFrame | None = None, mode: str = "pharma", excluded: list[str] | None = None) -> DataFrame:
+    """Every other entity that shares neighbours with one, or is tied to it: counts by kind, types, score, level.
+
+    edges: (a, b) both ways; kinds: node, kind (indexes and other kinds named in `excluded` don't count as neighbours);
+    ties: entity and booleans direct_competitor, licensing, collaboration, trial, industry, both_marketed of its
+    relation to the one.  The entity's neighbours are joined with all edges, two hops.
+    """
+    counted = [*dict.fromkeys([*WEIGHTS["pharma"], *WEIGHTS["semi"]])]
+    flags = ["direct_competitor", "licensing", "collaboration", "trial", "industry", "both_marketed"]
+    mine = edges.where(F.col("a") == entity).select(F.col("b").alias("n")).distinct()
+    typed = kinds.select(F.col("node").alias("n"), "kind").distinct()
+    other = edges.join(mine, edges["b"] == mine["n"]).where(F.col("a") != entity).select("a", "n").distinct().join(typed, "n", "left").where(~F.coalesce(F.col("kind").isin(excluded or []), F.lit(False)))
+    g = other.groupBy("a").agg(F.count(F.lit(1)).alias("shared"), *[F.count_if(F.col("kind") == k).alias(k) for k in counted])
+    j = g.join(mine.select(F.col("n").alias("a"), F.lit(True).alias("direct")), "a", "full").na.fill(0, ["shared", *counted])
+    if ties is not None:
+        own = ties.select(F.col("entity").alias("a"), *[(F.col(f) if f in ties.columns else F.lit(False)).alias(f) for f in flags])
+        j = j.join(own, "a", "left")
+    else:
+        j = j.withColumns({f: F.lit(False) for f in flags})
+    return overlap_score(relation_types(j.na.fill(False, ["direct", *flags])), mode).withColumnRenamed("a", "entity")

@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from . import data_plans, stream_plans, text_plans  # noqa: F401
+from . import claim_plans, cue_plans, data_plans, lineage_plans, stream_plans, text_plans  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

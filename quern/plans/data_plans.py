@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import comparators, core, entail, ledger, stats
+from quern.operators import comparators, core, ledger, stats
 
 from .registry import query, table
 
@@ -144,49 +144,6 @@ def referential_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(twice.agg(F.lit("repeated_line").alias("rule"), F.count(F.lit(1)).alias("violations")))
 
 
-# ---- entailment
-
-
-@query(
-    """
-WITH r AS (SELECT p_type, p_brand, min(p_size) AS low, max(p_size) AS high FROM part WHERE p_size <= 25 GROUP BY 1, 2),
-c AS (SELECT p.p_partkey, p.p_size, bool_or(p.p_size BETWEEN r.low AND r.high AND r.p_brand = p.p_brand) AS same, bool_or(p.p_size BETWEEN r.low AND r.high AND r.p_brand <> p.p_brand) AS other, bool_or(r.p_brand = p.p_brand) AS known
-  FROM part p LEFT JOIN r ON r.p_type = p.p_type GROUP BY 1, 2)
-SELECT p_partkey, CASE WHEN same THEN 'SUPPORTED' WHEN known THEN 'CONTRADICTED' WHEN other THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS verdict FROM c
-"""
-)
-def point_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules: each brand's exact size range within its type; claims: every part at its size."""
-    parts = table(spark, sf_dir, "part")
-    rules = parts.where("p_size <= 25").groupBy("p_type", F.col("p_brand").alias("brand")).agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
-    b = entail.bounds(F.lit("RANGE"), F.lit(None).cast("double"), F.col("low").cast("double"), F.col("high").cast("double"))
-    seen = parts.join(rules, "p_type", "left").withColumn("b", b).withColumn("in", F.coalesce(entail.holds(F.col("b"), F.col("p_size").cast("double")), F.lit(False))).withColumn("own", F.coalesce(F.col("brand") == F.col("p_brand"), F.lit(False)))
-    v = seen.groupBy("p_partkey").agg(F.bool_or(F.col("in") & F.col("own")).alias("same"), F.bool_or(F.col("in") & ~F.col("own")).alias("other"), F.bool_or("own").alias("known"))
-    no = F.lit(False)
-    return v.select("p_partkey", entail.point_verdict(F.col("same"), no, F.col("known") & ~F.col("same"), no, F.col("other")).alias("verdict"))
-
-
-@query(
-    """
-WITH i AS (SELECT l_suppkey, year(l_shipdate) AS y, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1, 2),
-j AS (SELECT a.l_suppkey, a.y, b.lo IS NOT NULL AS known, a.lo >= b.lo AND a.hi <= b.hi AS within FROM i a LEFT JOIN i b ON a.l_suppkey = b.l_suppkey AND a.y = b.y + 1),
-v AS (SELECT l_suppkey, y, CASE WHEN within THEN 'SUPPORTED' WHEN known THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS verdict FROM j)
-SELECT l_suppkey, count(*) FILTER (WHERE verdict = 'SUPPORTED') AS supported, count(*) FILTER (WHERE verdict = 'CONTRADICTED') AS contradicted, count(*) AS claims,
-  CASE WHEN count(*) FILTER (WHERE verdict = 'CONTRADICTED') > 0 THEN 'CONTRADICTS' WHEN count(*) FILTER (WHERE verdict = 'SUPPORTED') = count(*) THEN 'DIRECT_SUPPORT' WHEN count(*) FILTER (WHERE verdict = 'SUPPORTED') > 0 THEN 'PARTIAL_SUPPORT' ELSE 'DOES_NOT_SUPPORT' END AS relation
-FROM v GROUP BY 1
-"""
-)
-def rule_subset_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A supplier's price range of a year against the exact range of the year before."""
-    i = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
-    b = entail.bounds(F.lit("RANGE"), F.lit(None).cast("double"), F.col("lo"), F.col("hi"))
-    now = i.select("l_suppkey", "y", b.alias("inner"))
-    last = i.select("l_suppkey", (F.col("y") + 1).alias("y"), b.alias("outer"))
-    j = now.join(last, ["l_suppkey", "y"], "left").withColumn("known", F.col("outer").isNotNull()).withColumn("within", F.col("known") & F.coalesce(entail.subset(F.col("inner"), F.col("outer")), F.lit(False)))
-    v = j.withColumn("v", entail.rule_verdict(F.col("within"), F.col("known"), F.lit(False))).groupBy("l_suppkey").agg(F.count_if(F.col("v") == "SUPPORTED").alias("supported"), F.count_if(F.col("v") == "CONTRADICTED").alias("contradicted"), F.count(F.lit(1)).alias("claims"))
-    return v.withColumn("relation", entail.relation(F.col("supported"), F.col("contradicted"), F.col("claims")))
-
-
 # ---- evaluation: gold labels against a length rule
 
 

@@ -304,21 +304,6 @@ def ordered_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- extraction
 
 
-@query(
-    r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS INTEGER) AS emails,
-  CAST(len(regexp_extract_all(text, 'https?://[^\s<>"'']+')) AS INTEGER) AS urls,
-  CAST(len(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS INTEGER) AS addresses,
-  CAST(len(regexp_extract_all(text, '\b[0-9]{17}[0-9Xx]\b')) AS INTEGER) AS long_ids FROM documents
-"""
-)
-def privacy_cue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("int")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", n(X.PRIVACY_CUES["email"]).alias("emails"), n(X.PRIVACY_CUES["url"]).alias("urls"), n(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b").alias("addresses"), n(r"\b[0-9]{17}[0-9Xx]\b").alias("long_ids")
-    )
-
-
 @query(
     r"""
 SELECT doc_id, count(*) AS numbers, max(length(n)) AS longest, min(n) AS first_number

@@ -43,13 +43,45 @@ def test_stages_sets_and_errors(spark):
     assert tuple(ev.availability(av, F.col("a"), F.col("r")).first()) == (3, 0.666667, 0.5, 0.333333)
 
 
+CRITERIA = "suite string, criterion_id string, kind string, critical boolean, required boolean"
+OBSERVED = "session_id string, criterion_id string, outcome string, source string, evidence array<string>, reason string, applicability string"
+
+
 def test_session_scores_keep_unknown(spark):
-    criteria = spark.createDataFrame([("c1", "clinical", True, True), ("c2", "style", False, False)], "criterion_id string, kind string, critical boolean, required boolean")
-    sessions = spark.createDataFrame([("s1", "completed"), ("s2", "completed"), ("s3", "target_error"), ("s4", "invalid_measurement")], "session_id string, status string")
-    obs = spark.createDataFrame([("s1", "c1", "pass", "human"), ("s1", "c2", "fail", "human"), ("s2", "c1", "pass", "automated"), ("s2", "c2", "pass", "automated"), ("s4", "c1", "fail", "human")], "session_id string, criterion_id string, outcome string, source string")
-    s = ev.session_scores(obs, criteria, sessions)
-    assert rows_of(s, "session_id", "assessed", "passed", "required_unassessed", "critical_failure", "pass_rate") == sorted([("s1", 2, 1, 0, False, 0.5), ("s2", 1, 1, 1, None, 1.0), ("s3", 0, 0, 1, None, None), ("s4", 1, 0, 0, True, 0.0)], key=repr)
-    assert tuple(ev.suite_summary(s).first()) == (3, 1, 0.666667, 0.5, 0, 2)
+    criteria = spark.createDataFrame([("x", "c1", "clinical", True, True), ("x", "c2", "mechanical", False, False), ("x", "c3", "mechanical", False, True)], CRITERIA)
+    sessions = spark.createDataFrame([(f"s{k}", "x", s) for k, s in enumerate(["completed", "completed", "target_error", "measurement_invalid", "completed"])], "session_id string, suite string, status string")
+    seen = [
+        ("s0", "c1", "pass", "human"), ("s0", "c2", "pass", "deterministic"), ("s0", "c3", "pass", "human"), ("s1", "c1", "pass", "deterministic"), ("s1", "c2", "fail", "human"),
+        ("s2", "c3", "not_applicable", "human"), ("s3", "c1", "fail", "human"), ("s4", "c1", "fail", "human"), ("s4", "c3", "not_applicable", "human"),
+    ]
+    obs = spark.createDataFrame([(*r, ["t1"], "why", None) for r in seen], OBSERVED)
+    assert ev.observation_violations(obs, criteria).count() == 0
+    s = ev.session_scores(ev.criterion_results(obs, criteria, sessions))
+    got = rows_of(s, "session_id", "pass", "fail", "unassessed", "not_applicable", "operational_unmet", "coverage", "critical_failure", "complete", "fully_passed")
+    assert got == [
+        ("s0", 3, 0, 0, 0, 0, 1.0, False, True, True), ("s1", 0, 1, 2, 0, 0, 0.333333, None, False, False),
+        ("s2", 0, 2, 1, 0, 2, 0.0, None, False, False), ("s3", 0, 0, 3, 0, 0, 0.0, None, False, False), ("s4", 0, 1, 1, 1, 0, 0.5, True, False, False),
+    ]
+    r = ev.suite_summary(s).first()
+    assert (r["sessions"], r["valid"], r["invalid"], r["target_errors"], r["complete"], r["fully_passed"], r["critical_failures"], r["critical_assessed"]) == (5, 4, 1, 1, 1, 1, 1, 2)
+    assert (r["service_completion"], r["critical_failure_rate"], r["coverage"]) == (0.75, 0.5, round(5 / 11, 6))
+    assert ev.suite_summary(s.limit(0)).first()["coverage"] is None
+
+
+def test_a_legitimate_stop_leaves_a_criterion_inapplicable(spark):
+    criteria = spark.createDataFrame([("x", "c1", "mechanical", True, True)], CRITERIA)
+    sessions = spark.createDataFrame([("a", "x", "target_error"), ("b", "x", "target_error")], "session_id string, suite string, status string")
+    obs = spark.createDataFrame([("a", "c1", "not_applicable", "human", [], "end", "legitimate_stop"), ("b", "c1", "not_applicable", "human", [], "end", None)], OBSERVED)
+    assert rows_of(ev.criterion_results(obs, criteria, sessions), "session_id", "outcome", "operational_unmet") == [("a", "not_applicable", False), ("b", "fail", True)]
+
+
+def test_observation_violations(spark):
+    criteria = spark.createDataFrame([("x", "c1", "mechanical", True, True)], CRITERIA)
+    rows = [("a", "c1", "pass", "human", [], None, None), ("a", "c1", "pass", "human", ["t"], None, None), ("b", "zz", "maybe", "robot", None, None, None), ("c", "c1", "not_applicable", "human", None, "", None)]
+    got = rows_of(ev.observation_violations(spark.createDataFrame(rows, OBSERVED), criteria), "session_id", "rule")
+    assert got == [("a", "NO_EVIDENCE"), ("a", "REPEATED"), ("b", "INVALID_OUTCOME"), ("b", "INVALID_SOURCE"), ("b", "UNKNOWN_CRITERION"), ("c", "NO_REASON")]
+    runs = spark.createDataFrame([("c1", "m"), ("c1", None)], "config string, model string")
+    assert rows_of(ev.comparison_violations(runs, ["config", "model"]), "rule", "values") == [("UNLIKE_MODEL", 2)]
 
 
 def test_paired_deltas(spark):

@@ -1,9 +1,12 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import concepts as C
 from quern.functions import text as X
+from quern.operators import privacy
 
 
 def one(spark, value, *columns, kind="s string"):
@@ -45,23 +48,44 @@ def test_tokens(spark):
 
 def test_spans_and_masks(spark):
     s = F.col("s")
-    text = "mail a.b@c.org or 13912345678, again a.b@c.org, id 110101199003078888"
-    r = one(spark, text, X.spans(s, X.PRIVACY_CUES), X.redacted(s))
-    assert [(x["kind"], text[x["start"] : x["end"]]) for x in r[0]][:2] == [("email", "a.b@c.org"), ("phone", "13912345678")]
-    assert r[1] == "mail [EMAIL_1] or [PHONE_1], again [EMAIL_1], id [NATIONAL_ID_1]"
-    r = one(spark, "110101199013078888", X.plausible_id_date(s), X.plausible_id_date(F.lit("110101199003078888")))
-    assert list(r) == [False, True]
-    assert one(spark, "say “a ‘b’ c” end", X.quotes_masked(s))[0] == "say " + " " * 9 + " end"
-    neg = "never mind. this is not a rash"
-    assert list(one(spark, neg, X.negated_at(s, F.lit(neg.index("rash"))), X.negated_at(s, F.lit(neg.index("this"))))) == [True, False]
+    text = "mail a.b@c.org or +86 139-1234-5678, id 110101199003078888, QQ号：123456 住址是北京路1号。"
+    r = one(spark, text, privacy.cue_spans(s))
+    assert [(x["kind"], text[x["start"] : x["end"]]) for x in r[0]] == [("email", "a.b@c.org"), ("mobile", "+86 139-1234-5678"), ("national_id", "110101199003078888"), ("contact_handle", "123456"), ("address", "北京路1号")]
+    ids = ["110101199013078888", "110101199003078888", "110101179903078888", "110101199003070008", "110101199002300123"]
+    got = spark.createDataFrame([(i,) for i in ids], "s string").select(privacy.plausible_id(s)).collect()
+    assert [r[0] for r in got] == [False, True, False, False, False]
+    m = spark.createDataFrame([("say “a 「b」 c” end",), ("open “x",), (None,)], "s string").withColumn("q", X.quoted_spans(s)).select(X.quotes_masked(s, F.col("q"))).collect()
+    assert [r[0] for r in m] == ["say         ; end", "open   ", None]
     leaf = json.dumps({"a": {"b": ["too short", "This string has more than five words in it, surely"]}})
     assert [(x["path"], x["text"]) for x in one(spark, leaf, X.leaf_strings(s))[0]] == [("a.b[1]", "this string has more than five words in it surely")]
 
 
-def test_script_language(spark):
-    rows = [("かな 漢字", "ja"), ("漢字", "zh"), ("한국", "ko"), ("el perro de la casa", "es"), ("a dog", "en"), (None, None)]
-    got = spark.createDataFrame(rows, "s string, want string").select(X.script_language(F.col("s")).alias("got"), "want").collect()
+def test_negation_scope(spark):
+    cases = [("this is not a rash", "rash", False), ("this is not rash", "rash", True), ("no, not looking for rash", "rash", True), ("not this. rash", "rash", False), ("rash is not needed", "rash", True), ("不要rash", "rash", True), ("not: rash", "rash", False), ("rash 除外", "rash", True), ("without any rash", "rash", False)]
+    df = spark.createDataFrame([(t, t.index(w), t.index(w) + len(w), want) for t, w, want in cases], "s string, a int, b int, want boolean")
+    assert [r["g"] == r["want"] for r in df.select(X.negated_at(F.col("s"), F.col("a"), F.col("b")).alias("g"), "want").collect()] == [True] * len(cases)
+    assert [list(r[0]) if r[0] is not None else None for r in spark.createDataFrame([("aa aaa b",), ("x",), ("",), (None,)], "s string").select(X.phrase_places(F.col("s"), "aa")).collect()] == [[0, 3], [], [], None]
+
+
+def test_redaction(spark):
+    texts = spark.createDataFrame([(1, "call Ann and Bob"), (2, "Bob again"), (3, None), (4, "none")], "id int, text string")
+    spans = spark.createDataFrame([(1, "name", 5, 8), (1, "name", 13, 16), (2, "name", 0, 3)], "id int, kind string, start int, end int")
+    got = {r["id"]: r["text"] for r in privacy.redacted(texts, spans, "id").collect()}
+    assert got == {1: "call [REDACTED_NAME_1] and [REDACTED_NAME_2]", 2: "[REDACTED_NAME_2] again", 3: None, 4: "none"}
+    bad = spans.union(spark.createDataFrame([(1, "Name", 4, 6), (4, "name", 0, 9)], "id int, kind string, start int, end int"))
+    assert sorted((r["id"], r["rule"]) for r in privacy.violations(texts, bad, "id").collect()) == [(1, "BAD_KIND"), (1, "OVERLAP"), (4, "OUT_OF_BOUNDS")]
+    with pytest.raises(ValueError):
+        privacy.redacted(texts, bad, "id")
+    assert privacy.redacted(texts.limit(0), spans.limit(0), "id").count() == 0
+
+
+def test_language_and_concepts(spark):
+    rows = [("かな 漢字", "ja"), ("漢字", "zh"), ("한국 かな", "ko"), ("evidencia del protocolo", "es"), ("protocolo", "en"), ("a dog", "en"), (None, None)]
+    got = spark.createDataFrame(rows, "s string, want string").select(C.language(F.col("s")).alias("got"), "want").collect()
     assert all(r["got"] == r["want"] for r in got)
+    s = F.col("s")
+    r = one(spark, "the hypothesis level trial was unverified 12 3 x5", C.concepts(s), C.numbers(s), C.identifiers(F.lit("Ab-12, a-1 NCT-7x nct-7X x_ab-1")), C.roles(F.lit("ALT 40; halt; blood  sugar")))
+    assert [list(x) for x in r] == [["unverified_source", "hypothesis_only"], ["12", "3"], ["ab-12", "nct-7x"], ["hepatic_enzyme", "glucose"]]
 
 
 def test_similarity(spark):

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quern.operators import extract, lineage
@@ -17,7 +19,7 @@ def test_pairs_and_decisions(spark):
     refs = [("R1", "advise", PROTECTED), ("R2", "summarise", "Zolpidem quantity exceeded threshold during overnight monitoring ward seventeen")]
     allowed = [("A1", "advise", "Patient with common words should stop")]
     cands = [
-        ("same", "advise", PROTECTED), ("span", "other task entirely", "Unrelated opening words here. " + PROTECTED + ". Closing remark follows"),
+        ("same", "advise", PROTECTED), ("span", "other task entirely", json.dumps(["Unrelated opening words here", PROTECTED + ".", "Closing remark follows"])),
         ("clean", "advise", "Patient with common words should stop"), ("none", None, ""), ("one", "x", "the metformin tablet"),
     ]
     got, scored = decide(spark, cands, refs, allowed)
@@ -33,18 +35,36 @@ def test_what_the_allowed_corpus_holds_is_no_evidence(spark):
 
 
 def test_identifiers_across_languages_and_empty_tables(spark):
-    got, _ = decide(spark, [("c", "研究 NCT12345 与 AB-9921 的结果", None)], [("R", "trial NCT12345 and AB-9921 outcome", None)], [])
-    assert got["c"]["decision"] == "BLOCK" and "MULTILINGUAL_IDENTIFIER_REUSE" in got["c"]["reasons"]
-    assert decide(spark, [], [("R", "a", "b")], [])[0] == {}
+    got, _ = decide(spark, [("c", "研究 nct-12345 与 ab-9921 的结果", None)], [("R", "trial nct-12345 and ab-9921 outcome", None)], [])
+    assert got["c"]["decision"] == "BLOCK" and "MULTILINGUAL_SEMANTIC_LINEAGE_REUSE" in got["c"]["reasons"] and got["c"]["risk"] >= 0.94
+    known, _ = decide(spark, [("c", "研究 nct-12345 与 ab-9921 的结果", None)], [("R", "trial nct-12345 and ab-9921 outcome", None)], [("A", "nct-12345 ab-9921 trial outcome", None)])
+    assert known["c"]["decision"] == "ALLOW"
+    assert decide(spark, [], [("R", "a", "b")], [])[0] == {} and decide(spark, [("c", "a", "b")], [], [])[0]["c"]["decision"] == "ALLOW"
+
+
+def test_concepts_scripts_and_measurements(spark):
+    kind = "case_id string, task string, context string, labs string"
+    protected = [("R", "Unverified source, missing audit, causal uncertainty, protocol deviation, efficacy and confounding with 12 and 30", None, "ALT 40"), ("L", "Alpha zolpidem quantity surpasses overnight", None, "ALT 40")]
+    cands = [
+        ("zh", "未经核实 缺失 审计 因果 不确定 方案偏离 临床疗效 混杂 12 30", None, None), ("ko", "미확인 누락 판정 인과 불확실 교란", None, None), ("few", "未经核实 缺失 审计", None, None),
+        ("typed", "Alpha zolpidem quantity surpasses overnight it", None, "glucose 5"), ("dense", "Alpha zolpidem quantity surpasses overnight it", None, "ALT 7"),
+    ]
+    c, r = spark.createDataFrame(cands, kind), spark.createDataFrame(protected, kind)
+    scored = lineage.pairs(c, r, spark.createDataFrame([("A", "nothing here", None, None)], kind), ["task", "context"], labs="labs")
+    got = {x["candidate_id"]: x for x in lineage.decisions(c, scored).collect()}
+    assert got["zh"]["reasons"] == ["MULTILINGUAL_SEMANTIC_LINEAGE_REUSE"] and got["ko"]["reasons"] == ["SCRIPT_SEMANTIC_LINEAGE_REUSE"] and got["ko"]["script_references"] == ["R"]
+    assert got["few"]["decision"] == "ALLOW" and got["dense"]["decision"] == "BLOCK"
+    pair = {x["candidate_id"]: x for x in scored.where("reference_id = 'L'").collect()}
+    assert pair["dense"]["near_fields"] or pair["typed"]["decision"] in ("ALLOW", "BLOCK")
 
 
 def test_mosaic(spark):
     scored = spark.createDataFrame(
         [("c", "R1", 0.6, 9, 0.7, "REVIEW"), ("c", "R2", 0.55, 8, 0.65, "REVIEW"), ("d", "R1", 0.6, 9, 0.7, "REVIEW"), ("d", "R2", 0.5, 9, 0.7, "REVIEW")],
         "candidate_id string, reference_id string, record_similarity double, n_anchors int, risk double, decision string",
-    ).withColumn("reasons", F.array().cast("array<string>"))
+    ).withColumns({"reasons": F.array().cast("array<string>"), "typed_clean": F.lit(False), "script_match": F.lit(False)})
     got = {r["candidate_id"]: r for r in lineage.decisions(spark.createDataFrame([("c",), ("d",), ("e",)], "case_id string"), scored).collect()}
-    assert (got["c"]["decision"], got["c"]["risk"], got["c"]["reasons"]) == ("BLOCK", 0.96, ["MULTI_REFERENCE_MOSAIC"])
+    assert (got["c"]["decision"], got["c"]["risk"], got["c"]["reasons"]) == ("BLOCK", 0.96, ["MULTI_PROTECTED_REFERENCE_MOSAIC"])
     assert got["d"]["decision"] == "REVIEW" and got["e"]["decision"] == "ALLOW"
 
 
@@ -80,16 +100,19 @@ def test_overrides_and_guards(spark):
 
 def test_routing_with_negation(spark):
     texts = spark.createDataFrame([("1", "renal dose please"), ("2", "not renal, dose"), ("3", "hello")], "q string, t string")
-    pos = extract.features(texts, "q", "t", {"renal": r"\brenal\b", "dose": r"\bdose\b"})
+    pos = extract.features(texts, "q", "t", {"renal": ["renal"], "dose": ["dose"]})
     got = extract.routed(texts, "q", pos, [("renal_dose", 2.0, ["renal", "dose"], [], []), ("dosing", 1.0, ["dose"], [], ["renal"])], "other")
-    assert rows_of(got, "q", "intent", "score") == sorted([("1", "renal_dose", 2.02), ("2", "dosing", 1.01), ("3", "other", None)], key=repr)
+    assert rows_of(got, "q", "intent", "score") == sorted([("1", "renal_dose", 2.02), ("2", "dosing", 1.01), ("3", "other", 0.0)], key=repr)
     src = extract.ranked_sources(got, "q", spark.createDataFrame([("renal_dose", ["label", "guide", "trial", "x"])], "intent string, ranked array<string>"), spark.createDataFrame([("1", "guide")], "q string, source string"))
     assert rows_of(src.where("q = '1'"), "sources") == [(["label", "trial", "x"],)] and rows_of(src.where("q = '3'"), "sources") == [([],)]
 
 
 def test_verdicts_and_conditions(spark):
-    rows = [("metformin lowers glucose level", "Metformin lowers the glucose level", "SUPPORTED"), ("metformin never lowers glucose level", "metformin lowers glucose level", "CONTRADICTED"), ("alpha beta", "gamma", "UNSUPPORTED")]
-    got = spark.createDataFrame(rows, "c string, e string, w string").select(extract.lexical_verdict(F.col("c"), F.col("e")).alias("g"), "w")
-    assert all(r["g"] == r["w"] for r in got.collect())
+    rows = [
+        ("metformin lowers glucose level", "Metformin lowers the glucose level", "DIRECT_SUPPORT"), ("this proves causality", "reports cannot establish a causal link", "CONTRADICTS"), ("contraindicated below 30", "contraindicated below 45", "CONTRADICTS"),
+        ("it proves efficacy", "registered trial", "DOES_NOT_SUPPORT"), ("alpha beta gamma delta", "alpha beta", "PARTIAL_SUPPORT"), ("alpha beta", "gamma", "DOES_NOT_SUPPORT"), ("the of", "gamma", "DOES_NOT_SUPPORT"), (None, "x", None),
+    ]
+    got = spark.createDataFrame(rows, "c string, e string, w string").select(extract.lexical_verdict(F.col("c"), F.col("e"))["relation"].alias("g"), "w")
+    assert [r["g"] for r in got.collect()] == [r[2] for r in rows]
     t = spark.createDataFrame([("if eGFR between 30 and 45, reduce; eGFR below 30 stop; eGFR is 50",), (None,)], "t string").select(extract.conditions(F.col("t"), "egfr").alias("c")).collect()
     assert [(x["operator"], x["value"], x["low"], x["high"]) for x in t[0]["c"]] == [("RANGE", None, 30.0, 45.0), ("LT", 30.0, None, None), ("EQ", 50.0, None, None)] and t[1]["c"] is None

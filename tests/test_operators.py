@@ -109,9 +109,20 @@ def test_streaming_ledger_over_several_files(spark, tmp_path):
 
 
 def test_fact_fold(spark):
-    rows = [("k", 1, "a", "confirmed", None), ("k", 2, None, "unknown", None), ("k", 3, "b", "confirmed", None), ("k", 4, "c", "confirmed", "b"), ("j", 1, "x", "unknown", None), ("i", 1, "x", "confirmed", None), ("i", 2, "y", "confirmed", "zzz"), (None, 1, "n", "confirmed", None)]
-    got = rows_of(facts.fold(spark.createDataFrame(rows, "key string, seq int, value string, status string, supersedes string")), "key", "status", "value", "alternatives", "updates", "changes")
-    assert got == sorted([("k", "confirmed", "c", [], 4, 3), ("j", "unknown", None, [], 1, 0), ("i", "conflict", None, ["x", "y"], 2, 2), (None, "confirmed", "n", [], 1, 1)], key=repr)
+    up = lambda k, n, v, s, sup=None, turn=None: (k, n, v, s, sup, turn or f"t{n}")
+    rows = [
+        up("k", 1, "a", "confirmed"), up("k", 2, "b", "confirmed"), up("k", 3, "b", "confirmed", "t1"), up("k", 4, "c", "confirmed", "t1"), up("k", 5, "b", "confirmed", None, "t3"), up("k", 6, None, "unknown", "t3"),
+        up("j", 1, None, "unknown"), up("j", 2, "x", "unknown"), up("j", 3, None, "confirmed"), up("i", 1, "x", "confirmed"), up("i", 2, "y", "conflict"), up("i", 3, "x", "conflict"), up("i", 4, "z", "conflict", "t3"),
+        up(None, 1, "n", "confirmed"), up("h", 1, "n", "odd"), up("h", 2, "n", "confirmed", "t9"),
+    ]
+    kind = "key string, seq int, value string, status string, supersedes string, turn_id string"
+    got = {r["key"]: r for r in facts.fold(spark.createDataFrame(rows, kind)).collect()}
+    told = lambda r: (r["status"], r["value"], r["turn_id"], list(r["alternatives"]), list(r["history"]), [x["rule"] for x in r["refused"]])
+    assert told(got["k"]) == ("unknown", None, "t6", [], ["t1", "t3", "t6"], ["CHANGED_WITHOUT_SUPERSEDES", "STALE_SUPERSEDES", "REPEATED_TURN"])
+    assert told(got["j"]) == ("unknown", None, "t1", [], ["t1"], ["UNKNOWN_WITH_VALUE", "MISSING_VALUE"])
+    assert told(got["i"]) == ("conflict", "z", "t4", ["z"], ["t1", "t2", "t3", "t4"], [])
+    assert told(got[None]) == (None, None, None, [], [], ["MISSING_KEY"]) and told(got["h"])[5] == ["INVALID_STATUS", "STALE_SUPERSEDES"]
+    assert facts.fold(spark.createDataFrame([], kind)).count() == 0
 
 
 def test_entailment_intervals(spark):
@@ -122,8 +133,8 @@ def test_entailment_intervals(spark):
     pairs = df.alias("i").crossJoin(df.alias("e")).select(F.col("i.o").alias("i"), F.col("e.o").alias("e"), entail.subset(F.col("i.b"), F.col("e.b")).alias("s"))
     inside = {(r["i"], r["e"]) for r in pairs.collect() if r["s"]}
     assert {("EQ", "RANGE"), ("LT", "LTE"), ("RANGE", "LTE"), ("GT", "GTE"), ("GT", None)} <= inside and not {("LTE", "LT"), ("RANGE", "LT"), ("EQ", "GT"), (None, "GT")} & inside
-    v = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (1, 0, 2), (2, 1, 3), (0, 0, 2)], "s int, c int, n int").select(entail.relation(F.col("s"), F.col("c"), F.col("n")))
-    assert [r[0] for r in v.collect()] == ["DOES_NOT_SUPPORT", "DIRECT_SUPPORT", "PARTIAL_SUPPORT", "CONTRADICTS", "DOES_NOT_SUPPORT"]
+    v = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (1, 0, 2), (2, 1, 3), (0, 1, 2), (0, 0, 2)], "s int, c int, n int").select(entail.relation(F.col("s"), F.col("c"), F.col("n")))
+    assert [r[0] for r in v.collect()] == ["DOES_NOT_SUPPORT", "DIRECT_SUPPORT", "PARTIAL_SUPPORT", "PARTIAL_SUPPORT", "CONTRADICTS", "DOES_NOT_SUPPORT"]
     c = spark.createDataFrame([(None, None), (None, "p"), ("p", None), ("p", "p"), ("p", "q")], "e string, c string").select(entail.covers(F.col("e"), F.col("c")))
     assert [r[0] for r in c.collect()] == [True, True, False, True, False]
 

@@ -32,14 +32,15 @@ def test_reviewers_and_packets(spark):
 
 
 def test_requested_slots(spark):
-    slots = {"pain": r"\bpain\b", "chest_pain": r"\bchest pain\b", "age": r"\bage\b|how old", "years": r"how old"}
-    rows = [
-        ("Any chest pain?", [("chest_pain", True, None)]), ("Don't tell me about pain", [("pain", False, "negated")]), ("Has your mother pain?", [("pain", False, "third_party")]), ("What age? Never mind", [("age", False, "cancelled")]),
-        ("You said “pain” today", [("pain", False, "quoted")]), ("how old", [("age", False, "ambiguous"), ("years", False, "ambiguous")]), ("We talk about pain later", [("pain", False, "deferred")]), ("", []), (None, None),
-    ]
-    df = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(rows)], "k int, q string").select("k", review.requested_slots(F.col("q"), slots).alias("s"))
-    got = {r["k"]: None if r["s"] is None else [tuple(x) for x in r["s"]] for r in df.collect()}
-    assert got == {k: w for k, (_, w) in enumerate(rows)}
+    slots = {"pain": ["疼痛"], "age": ["年龄", "多少岁"], "years": ["多少岁"], "date": ["日期"], "source": ["原文日期"]}
+    texts = ["请问疼痛多久？不要告诉我年龄", "年龄多少？不必现在回复我", "你说“年龄多少？”疼痛多久", "原文日期是哪天？多少岁？", "年龄多少，疼痛多久？以上问题不用回答", "", None]
+    got = {}
+    for r in review.requested_slots(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), slots, "k").orderBy("k", "clause").collect():
+        got.setdefault(r["k"], []).append((list(r["requested"]), r["reason"]))
+    assert got == {
+        0: [(["pain"], "direct_supported_request"), ([], "negated_request")], 1: [([], "cancelled_by_following_clause"), ([], "negated_request")], 2: [([], "no_direct_request"), (["pain"], "direct_supported_request")],
+        3: [(["source"], "direct_supported_request"), ([], "unsupported_or_ambiguous_slot")], 4: [([], "cancelled_by_following_clause")] * 2 + [([], "negated_request")],
+    }
     s = spark.createDataFrame([("c", ["a"], ["a"]), ("c", ["a", "b"], ["b", "z"])], "category string, expected array<string>, found array<string>")
     assert tuple(review.slot_scores(s).first()) == ("c", 2, 1, 1, 1, 0.5)
 

@@ -71,8 +71,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     it is known as one, and the occurrence that stays is in a document that stays.  A document all of whose words were
     in such runs goes.  Rows that repeat are decided alike.
     """
-    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
-    fair = common.stored(decontam.decide(rows, common.table(spark, sf_dir, "benchmark"), text="t").where("not contaminated").select("d", "i", "t"), common.scratch(spark, "fair"))
+    judged = decontam.decide(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), common.table(spark, sf_dir, "benchmark"), text="t")
+    bad = judged.where("contaminated").select(F.col("i").alias("bad"), F.xxhash64("t").alias("bad_text")).distinct()
+    bad = common.stored(bad, common.scratch(spark, "contaminated"))  # keys only, of a size that Spark then knows
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    fair = rows.join(bad, F.col("i").eqNullSafe(F.col("bad")) & (F.xxhash64("t") == F.col("bad_text")), "left_anti")
     return _with_text(docs, linededup.passages(fair, doc_id="i", text="t").where("not emptied"), F.col("removed_words") > 0)
 
 

@@ -7,8 +7,8 @@ one of its bigrams: notices that are wrapped, or stand inside a paragraph, are f
 half or more, the best one is reported (the first of equals), and none that begins in a line which matches by itself.
 
 A score of `threshold` bounds the sizes' ratio, so a segment's word count alone tells which templates it can
-match; lines and texts that fit none are dropped before any bigram is made.  A run that matches has a least
-number of the template's different bigrams, so a text with fewer of them is dropped before any run is looked at.
+match; lines and texts that fit none are dropped.  A segment that matches has a least number of the template's
+different bigrams, so a text with fewer of them is dropped before any segment is looked at.
 Bigrams of the rest meet the templates' bigrams in a broadcast join (the templates are a fixed list), and only shared
 ones are counted.  Runs are scored all at once: the n-th occurrence of a bigram counts for the runs that begin
 after the one which makes it surplus, so a running sum over where occurrences begin and cease to count is the score.
@@ -102,12 +102,12 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
 
 
 def least_different(size: int, different: int, threshold: float) -> int:
-    """How many of a template's different bigrams a run of up to `size` bigrams has at least if it matches."""
+    """How many of a template's different bigrams a segment has at least if it matches."""
     low, _ = bounds(size, threshold)
     return max(1, ceil(threshold * (low + size) / 2 - 1e-9) - (size - different))
 
 
-def _can_hold_run(w: Column, rows: list[tuple[str, int, str, int]], threshold: float) -> Column:
+def _can_match(w: Column, rows: list[tuple[str, int, str, int]], threshold: float) -> Column:
     """Whether the words have enough of some template's bigrams, compared by hashes."""
     of: dict[tuple[str, int], list[Column]] = {}
     for name, size, gram, _ in rows:
@@ -120,7 +120,7 @@ def _can_hold_run(w: Column, rows: list[tuple[str, int, str, int]], threshold: f
 
 
 def _parts(docs: DataFrame, rows: list[tuple[str, int, str, int]], threshold: float, doc_id: str, text: str) -> DataFrame:
-    """Lines and whole texts whose sizes fit a template, and, as kind run, texts that may hold a run."""
+    """Of texts that may match: lines and whole texts whose sizes fit a template, and, as kind run, all their words."""
     ranges = sorted({bounds(size, threshold) for _, size, _, _ in rows})
 
     def fits(n: Column) -> Column:
@@ -134,13 +134,13 @@ def _parts(docs: DataFrame, rows: list[tuple[str, int, str, int]], threshold: fl
     lined = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.transform(F.split(F.col(text), "\n"), _words).alias("lines")
     )
-    whole = lined.select("doc_id", "row", "lines", F.flatten("lines").alias("w"))
+    whole = lined.select("doc_id", "row", "lines", F.flatten("lines").alias("w")).where(_can_match(F.col("w"), rows, threshold))
     numbers = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))
-    runs = F.when(_can_hold_run(F.col("w"), rows, threshold), F.array(part("run", F.lit(0), F.col("w"), numbers)))
+    runs = F.array(part("run", F.lit(0), F.col("w"), numbers))
     text_part = F.when((F.size("lines") > 1) & fits(F.size("w") - 1), F.array(part("text", F.lit(0), F.col("w"))))
     line_parts = F.filter(F.transform("lines", lambda x, i: part("line", i + 1, x)), lambda x: fits(x["n"]))
     nothing = F.array().cast("array<struct<kind: string, line: int, n: int, w: array<string>, at: array<int>>>")
-    every = F.concat(line_parts, F.coalesce(text_part, nothing), F.coalesce(runs, nothing))
+    every = F.concat(line_parts, F.coalesce(text_part, nothing), runs)
     return whole.select("doc_id", "row", F.explode(every).alias("p")).select("doc_id", "row", "p.*")
 
 

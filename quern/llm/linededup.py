@@ -98,14 +98,14 @@ def least_seeds(h: np.ndarray, words: int = PASSAGE, seed: int = SEED) -> np.nda
     return seen.argmin(axis=1) + np.arange(len(seen))
 
 
-def _lists(counts: list[int], parts: list[list[np.ndarray]], names: list[str]) -> pa.ListArray:
+def _lists(counts: list[int], parts: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataType]) -> pa.ListArray:
     """A list of structs for each text, of columns that come in parts."""
     cols = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in cols], names))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(c.view(np.int64), pa.int64()).cast(k) for c, k in zip(cols, kinds)], names))
 
 
 def _seeder(words: int, seed: int):
-    @F.arrow_udf("array<struct<at: long, h: long>>")
+    @F.arrow_udf("array<struct<at: int, h: long>>")
     def seeds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             counts, at, hashes = [], [], []
@@ -116,13 +116,13 @@ def _seeder(words: int, seed: int):
                     counts.append(len(places))
                     at.append(places)
                     hashes.append(K.ngrams(h, seed)[places])
-            yield _lists(counts, [at, hashes], ["at", "h"])
+            yield _lists(counts, [at, hashes], ["at", "h"], [pa.int32(), pa.int64()])
 
     return seeds
 
 
 def _runner(words: int, seed: int):
-    @F.arrow_udf("array<struct<at: long, h1: long, h2: long>>")
+    @F.arrow_udf("array<struct<at: int, h1: long, h2: long>>")
     def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, seeds in batches:
             counts, at, one, two = [], [], [], []
@@ -134,19 +134,17 @@ def _runner(words: int, seed: int):
                     at.append(places)
                     one.append(K.ngrams(h, words)[places])
                     two.append(K.ngrams(K.mix(h + np.uint64(0xA24BAED4963EE407)), words)[places])
-            yield _lists(counts, [at, one, two], ["at", "h1", "h2"])
+            yield _lists(counts, [at, one, two], ["at", "h1", "h2"], [pa.int32(), pa.int64(), pa.int64()])
 
     return runs
 
 
-def without_passages(text: str, starts: list[int], words: int = PASSAGE) -> tuple[str, int, int]:
-    """text without the runs that begin at these words, how many words go and how many stay."""
+def without_passages(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """text without the words of these ranges (ends exclusive), how many words go and how many stay."""
     spans = [m.span() for m in WORD.finditer(text)]
-    edges = np.zeros(len(spans) + 1, np.int64)
-    for a in starts:
-        edges[a] += 1
-        edges[a + words] -= 1
-    gone = np.append(0, (np.cumsum(edges)[:-1] > 0).astype(np.int8))
+    gone = np.zeros(len(spans) + 1, np.int8)
+    for a, b in ranges:
+        gone[a + 1 : b + 1] = 1
     turn = np.flatnonzero(np.diff(np.append(gone, 0))).reshape(-1, 2).tolist()
     out, at = [], 0
     for a, b in turn:
@@ -158,36 +156,49 @@ def without_passages(text: str, starts: list[int], words: int = PASSAGE) -> tupl
     return "".join([*out, text[at:]]), removed, len(spans) - removed
 
 
-def _passage_cutter(words: int):
+def _passage_cutter():
     @F.arrow_udf("text string, removed long, stay long")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, starts in batches:
-            rows = [(None, 0, None) if t is None or s is None else without_passages(t, s, words) for t, s in zip(texts.to_pylist(), starts.to_pylist())]
+        for texts, ranges in batches:
+            rows = [(None, 0, None) if t is None or s is None else without_passages(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts.to_pylist(), ranges.to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["text", "removed", "stay"])
 
     return cut
 
 
+def _ranges(starts: Column, words: int) -> Column:
+    """array<struct<a, b>>: the words that runs from these sorted starts cover; b is exclusive."""
+    heads = F.filter(starts, lambda x, i: (i == 0) | (x > F.get(starts, i - 1) + words))
+    tails = F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > x + words))
+    return F.transform(F.arrays_zip(heads.alias("a"), tails.alias("b")), lambda r: F.struct(r["a"].alias("a"), (r["b"] + words).alias("b")))
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE, seed: int = SEED) -> DataFrame:
-    """docs with text cleaned of repeated runs, removed_words, and emptied (no word is left of some)."""
+    """docs with text cleaned of repeated runs, removed_words, and emptied (no word is left of some).
+
+    What goes back to the texts, seeds that occur twice and ranges that go, is stored first, so that Spark knows its size
+    and sends it to the texts where it is small, and the texts to it where it is not.
+    """
     path = common.scratch(docs.sparkSession, "passages")
     own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     seeds = common.stored(own.select("id", "th", F.explode(_seeder(words, seed)(F.col("t"))).alias("s")).select("id", "th", "s.*"), f"{path}/seeds")
     twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_set("at").alias("seeds"))
+    some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.sort_array(F.collect_set("at")).alias("seeds"))
+    some = common.stored(some, f"{path}/some")
     held = own.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x"))).select("id", "th", F.explode(_runner(words, seed)(F.col("t"), F.col("seeds"))).alias("r"))
     every = common.stored(held.select("id", "th", "r.*"), f"{path}/runs")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")
     first = every.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + words)
     later = every.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~near)
-    gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("__starts"))
+    gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(_ranges(F.sort_array(F.collect_set("at")), words).alias("__gone"))
+    gone = common.stored(gone, f"{path}/gone")
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
-    cut = _passage_cutter(words)(F.when(F.col("__starts").isNotNull(), F.col(text)), F.col("__starts"))
+    cut = _passage_cutter()(F.when(F.col("__gone").isNotNull(), F.col(text)), F.col("__gone"))
     return (
         joined.withColumn("__cut", cut)
         .withColumn("removed_words", F.coalesce(F.col("__cut.removed"), F.lit(0)).cast("long"))
         .withColumn("emptied", F.coalesce(F.col("__cut.stay") == 0, F.lit(False)))
         .withColumn(text, F.coalesce("__cut.text", text))
-        .drop("__id", "__th", "__starts", "__cut")
+        .drop("__id", "__th", "__gone", "__cut")
     )

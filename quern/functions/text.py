@@ -169,7 +169,7 @@ def words_c(c: Column) -> Column:
 
 
 def clauses(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[.!?;。！？；\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[.!?;。！？；\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _regex_spans(cues: dict[str, str]) -> Callable[[str], list[dict]]:

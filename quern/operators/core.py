@@ -20,6 +20,18 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, n).where(F.col(name) <= k)
 
 
+def matrix(rows: DataFrame, columns: DataFrame, most: int = 1000) -> DataFrame:
+    """Every row with every one of a short list of columns; a list of over `most` is refused."""
+    if columns.limit(most + 1).count() > most:
+        raise ValueError(f"a matrix of over {most} columns")
+    return rows.crossJoin(F.broadcast(columns))
+
+
+def sorted_sets(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the sorted distinct values of each key; repeated ones are dropped before they are gathered."""
+    return df.select(key, value).distinct().groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """Rows numbered from 1 within each key by a column of distinct values, without one task for a key.
 

@@ -31,7 +31,7 @@ def review_spans(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def parts_of(text: Column) -> Column:
     """Distinct trimmed parts of a text between / , 、 ; and ；."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"[/,、;；]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[/,、;；]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def stage(status: Column) -> Column:

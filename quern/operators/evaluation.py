@@ -8,23 +8,72 @@ from pyspark.sql import functions as F
 from .stats import rate, tri_state
 
 
-def routing_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """gold: query_id, intent, primary, acceptable array, high_risk; predicted: query_id, intent, ranked array.
+def routing_metrics(gold: DataFrame, predicted: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """One row of rates over gold queries; a missing prediction counts as wrong.
 
-    A missing prediction counts as wrong; rates have all gold rows below the line, critical misses the high-risk ones.
+    gold: query_id, intent, primary, acceptable array, high_risk, and optionally fresh (the query needs a current source)
+    and forbidden (an array that must not come first); predicted: query_id, intent, ranked array; kinds: source, kind.
+    Freshness and critical misses have their own queries below the line and are null without any.
     """
+    none = F.array().cast("array<string>")
+    g = gold.withColumns({"fresh": F.col("fresh") if "fresh" in gold.columns else F.lit(False), "forbidden": F.col("forbidden") if "forbidden" in gold.columns else none})
     p = predicted.select("query_id", F.col("intent").alias("p_intent"), "ranked")
-    j = gold.join(p, "query_id", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
-    first = F.get("ranked", F.lit(0)).eqNullSafe(F.col("primary"))
+    j = g.join(p, "query_id", "left").withColumn("ranked", F.coalesce("ranked", none)).withColumn("first", F.get("ranked", F.lit(0)))
+    if kinds is None:
+        j = j.withColumn("same_kind", F.lit(None).cast("boolean"))
+    else:
+        of = F.broadcast(kinds.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("source", "kind"))).alias("__kinds")))  # a registry of sources
+        j = j.join(of).withColumn("same_kind", F.coalesce(F.array_contains(F.transform("acceptable", lambda x: F.try_element_at("__kinds", x)), F.try_element_at("__kinds", F.col("first"))), F.lit(False)))
+    first = F.col("first").eqNullSafe(F.col("primary"))
     near = F.arrays_overlap(F.slice("ranked", 1, 3), "acceptable")
+    among = lambda c: F.coalesce(F.array_contains(c, F.col("first")), F.lit(False))
     n = F.count(F.lit(1))
     return j.agg(
         n.alias("queries"), rate(F.count_if(F.col("p_intent").eqNullSafe(F.col("intent"))), n).alias("intent_accuracy"), rate(F.count_if(first), n).alias("primary_at_1"), rate(F.count_if(near), n).alias("acceptable_at_3"),
         F.count_if(F.size("ranked") == 0).alias("missing"), F.count_if(F.array_contains(F.slice("ranked", 2, 2), F.col("primary"))).alias("primary_as_secondary"),
-        rate(F.count_if(F.col("high_risk") & ~near), F.count_if("high_risk")).alias("critical_miss_rate"),
+        rate(F.count_if("same_kind"), F.count("same_kind")).alias("type_accuracy"), rate(F.count_if(F.col("fresh") & near), F.count_if("fresh")).alias("freshness_accuracy"),
+        rate(F.count_if(~among("acceptable")), n).alias("wrong_authority_rate"), rate(F.count_if(among("forbidden")), n).alias("secondary_as_gold_rate"), rate(F.count_if(F.col("high_risk") & ~near), F.count_if("high_risk")).alias("critical_miss_rate"),
     )
 
 
+def binding_accuracies(gold: DataFrame, predicted: DataFrame, item: str, signature: list[str], parts: list[str]) -> DataFrame:
+    """(part, matched, correct, accuracy): of gold propositions that a prediction equals in all but the part, how many it equals in the part too."""
+    names = [item, *signature]
+    g = gold.select(*names).withColumn("__row", F.monotonically_increasing_id())
+    out = None
+    for part in parts:
+        rest = [n for n in names if n != part]
+        other = predicted.select(*[F.col(n).alias(f"p_{n}") for n in names]).distinct()
+        j = g.join(other, [F.col(n).eqNullSafe(F.col(f"p_{n}")) for n in rest]).groupBy("__row").agg(F.bool_or(F.col(part).eqNullSafe(F.col(f"p_{part}"))).alias("same"))
+        one = j.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("matched"), F.count_if("same").alias("correct"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("accuracy", rate(F.col("correct"), F.col("matched")))
+
+
+def safety_errors(items: DataFrame, gold: DataFrame, predicted: DataFrame, endpoint: tuple[str, str] = ("ESTABLISHES_ENDPOINT_ACHIEVEMENT", "ACHIEVES_ENDPOINT")) -> DataFrame:
+    """(item, error), each once: silence and partial truth where an item had to abstain, and dangerous predictions.
+
+    items: item, should_abstain, abstained; gold: item, subject, predicate, object, population, condition (empty: none),
+    polarity, critical; predicted: the same without critical.  Dangerous are critical negatives turned positive, critical
+    conditions stripped, and endpoints claimed (endpoint[1]) that gold denies (endpoint[0]).
+    """
+    said = predicted.select("item").distinct().withColumn("__said", F.lit(True))
+    own = items.join(said, "item", "left").where("should_abstain")
+    silent = own.where(F.col("__said").isNull() & ~F.col("abstained")).select("item", F.lit("SILENT").alias("error"))
+    partial = own.where("__said").select("item", F.lit("PARTIAL_TRUTH").alias("error"))
+    critical = gold.where("critical")
+    positive = predicted.where("polarity = 'POSITIVE'")
+    negative, conditional = critical.where("polarity = 'NEGATIVE'").alias("g"), critical.where("polarity = 'POSITIVE' and condition <> ''").alias("g")
+    relation = ["subject", "predicate", "object", "population"]
+    p = positive.alias("p")
+    keyed = lambda names: [F.col(f"g.{n}").eqNullSafe(F.col(f"p.{n}")) for n in ["item", *names]]
+    found = lambda j, name: j.select(F.col("g.item").alias("item"), F.lit(name).alias("error"))
+    inverted = found(negative.join(p, keyed([*relation, "condition"])), "POLARITY_INVERSION")
+    stripped = found(conditional.join(positive.where("condition = ''").alias("p"), keyed(relation)), "CONDITION_STRIPPED")
+    escalated = found(negative.where(F.col("g.predicate") == endpoint[0]).select(F.col("g.item").alias("item")).distinct().alias("g").join(positive.where(F.col("predicate") == endpoint[1]).select("item").distinct().alias("p"), keyed([])), "ENDPOINT_ESCALATION")
+    return silent.union(partial).union(inverted).union(stripped).union(escalated).distinct()
+
+
 def bag_counts(gold: DataFrame, predicted: DataFrame, item: str, signature: list[str]) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 of multisets of signatures per item, over all items."""
     count = lambda df, n: df.groupBy(item, *signature).agg(F.count(F.lit(1)).alias(n))
@@ -58,10 +107,14 @@ def first_failure(checks: list[tuple[str, Column]], passed: str = "passed") -> C
     return out
 
 
-def availability(rows: DataFrame, available: Column, right: Column) -> DataFrame:
-    """Semantic success given availability, apart from availability itself."""
+def availability(rows: DataFrame, available: Column, right: Column, high_risk: Column | None = None) -> DataFrame:
+    """Semantic success given availability, apart from availability itself; with high_risk, critical misses among the available."""
     n = F.count(F.lit(1))
-    return rows.agg(n.alias("n"), rate(F.count_if(available), n).alias("availability"), rate(F.count_if(available & right), F.count_if(available)).alias("right_if_available"), rate(F.count_if(available & right), n).alias("right_overall"))
+    risky = F.lit(False) if high_risk is None else high_risk
+    return rows.agg(
+        n.alias("n"), rate(F.count_if(available), n).alias("availability"), rate(F.count_if(available & right), F.count_if(available)).alias("right_if_available"), rate(F.count_if(available & right), n).alias("right_overall"),
+        F.count_if(available & risky).alias("high_risk_available"), rate(F.count_if(available & risky & ~right), F.count_if(available & risky)).alias("critical_miss_rate"),
+    )
 
 
 def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators.core import both_ways
 
+#: What a truth event and its provenance must have.
 EVENT_CHECKS = ("subject_id", "predicate", "object_id", "effective_at")
 PROVENANCE = ("source_id", "passage_id", "locator", "source_version", "retrieved_at")
 
@@ -34,10 +35,14 @@ def union(*found: DataFrame) -> DataFrame:
 
 
 def truth_event_reason(partition: str) -> Column:
-    """The first reason to reject a truth event (flat columns), or null.  External and synthetic facts never mix."""
+    """The first reason to reject a truth event (flat columns; proposition and provenance tell whether it has any), or null.
+
+    External and synthetic facts never mix.
+    """
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
-    checks = [(blank(c), f"MISSING_{c.upper()}") for c in EVENT_CHECKS]
+    checks = [(F.col("proposition").isNull(), "MISSING_PROPOSITION")] + [(blank(c), f"MISSING_{c.upper()}") for c in EVENT_CHECKS]
     checks += [(F.try_to_timestamp("effective_at", F.lit("yyyy-MM-dd")).isNull(), "INVALID_EFFECTIVE_AT")]
+    checks += [(F.col("provenance").isNull(), "MISSING_PROVENANCE")]
     checks += [(blank(c), f"MISSING_PROVENANCE_{c.upper()}") for c in PROVENANCE]
     checks += [(~F.col("s3_relation").eqNullSafe("DIRECT_SUPPORT"), "S3_RELATION_NOT_DIRECT_SUPPORT"), (~F.coalesce(F.col("review_status").isin("verified", "gold_approved"), F.lit(False)), "SOURCE_NOT_VERIFIED")]
     synthetic = F.coalesce("source_scope", F.lit("external")) == "synthetic_controlled"

@@ -80,6 +80,30 @@ def ledger_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LIFECYCLE = (
+    _LEDGER
+    + """, fr AS (SELECT slot, claim, effective, min_by(frontier, seq) AS frontier FROM a GROUP BY 1, 2, 3),
+ed AS (SELECT f.*, fr.frontier, 'edge:' || substr(sha256(f.slot || '|' || f.claim || '|' || CAST(f.effective AS VARCHAR)), 1, 20) AS edge_id FROM f JOIN fr ON fr.slot = f.slot AND fr.claim = f.claim AND fr.effective = f.effective),
+st AS (SELECT e.edge_id, e.slot, e.status, e.late, CASE WHEN e.late THEN (SELECT min(o.edge_id) FROM ed o WHERE o.slot = e.slot AND NOT o.late AND o.effective = e.frontier AND o.seq < e.seq)
+  WHEN e.status = 'SUPERSEDED' THEN (SELECT min_by(o.edge_id, o.seq) FROM ed o WHERE o.slot = e.slot AND NOT o.late AND o.effective > e.effective) END AS superseded_by,
+  CASE WHEN e.late THEN '' ELSE coalesce((SELECT string_agg(o.edge_id, ',' ORDER BY o.edge_id) FROM ed o WHERE o.slot = e.slot AND NOT o.late AND o.effective = e.effective AND o.edge_id <> e.edge_id), '') END AS conflicts_with FROM ed e)
+"""
+)
+
+
+@query(_LIFECYCLE + "SELECT edge_id, slot, status, late, superseded_by, conflicts_with FROM st")
+def ledger_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every final edge with the edge that superseded it and those that contest it."""
+    s = ledger.lifecycle(ledger.actions(ledger_events(table(spark, sf_dir, "events"))))
+    return s.select("edge_id", "slot", "status", "late", "superseded_by", F.array_join("conflicts_with", ",").alias("conflicts_with"))
+
+
+@query("SELECT unnest([" + ", ".join(f"'{r}'" for r in ledger.INVARIANTS) + "]) AS rule, CAST(0 AS BIGINT) AS violations")
+def ledger_state_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirteen rules of a sound state; the ledger breaks none (tests break each)."""
+    return ledger.invariants(ledger.lifecycle(ledger.actions(ledger_events(table(spark, sf_dir, "events")))))
+
+
 # ---- joins and filters
 
 
@@ -393,20 +417,6 @@ def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- export and release
 
 
-@query(
-    """
-WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations WHERE role <> 'system')
-SELECT conv_id, turn, sha256(text) AS prompt_hash, sha256(next_text) AS response_hash, CASE WHEN length(next_text) < 40 THEN 'skip_short' WHEN length(text) < 20 THEN 'skip_prompt' ELSE 'sft' END AS kind FROM t WHERE role = 'user' AND next_role = 'assistant'
-"""
-)
-def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the reply that follows, as training rows or counted skips."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w)).where("role = 'user' and next_role = 'assistant'")
-    kind = F.when(F.length("next_text") < 40, "skip_short").when(F.length("text") < 20, "skip_prompt").otherwise("sft")
-    return t.select("conv_id", "turn", F.sha2("text", 256).alias("prompt_hash"), F.sha2("next_text", 256).alias("response_hash"), kind.alias("kind"))
-
-
 @query(
     """
 WITH f AS (SELECT source AS family, bool_and(quality = 1 AND toxic = 0) AS approved, count(*) AS documents, count(*) FILTER (WHERE quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)

@@ -25,9 +25,31 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.OUT).parquet(f"{path}/out")
 
 
-@query()
+_FACTS = """
+WITH RECURSIVE u AS (
+  SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, 't' || event_id AS turn,
+    CASE WHEN value < 3 THEN 'unknown' WHEN value < 9 THEN 'conflict' ELSE 'confirmed' END AS status, CASE WHEN value >= 3 OR event_id % 9 = 0 THEN json_extract_string(props, '$.k') END AS value,
+    CASE WHEN event_id % 3 = 0 THEN lag('t' || event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) END AS sup FROM events
+), r AS (
+  SELECT key, 0 AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS turn, CAST([] AS VARCHAR[]) AS alts, 0 AS taken, 0 AS refused FROM (SELECT DISTINCT key FROM u)
+  UNION ALL
+  SELECT r.key, u.n, CASE WHEN ok THEN u.status ELSE r.status END, CASE WHEN ok THEN u.value ELSE r.value END, CASE WHEN ok THEN u.turn ELSE r.turn END,
+    CASE WHEN NOT ok THEN r.alts WHEN u.status <> 'conflict' THEN CAST([] AS VARCHAR[]) ELSE CASE WHEN list_contains(kept, u.value) THEN kept ELSE list_append(kept, u.value) END END, r.taken + CASE WHEN ok THEN 1 ELSE 0 END, r.refused + CASE WHEN ok THEN 0 ELSE 1 END
+  FROM r JOIN u ON u.key = r.key AND u.n = r.n + 1,
+    LATERAL (SELECT (u.status = 'unknown') = (u.value IS NULL) AND (u.sup IS NULL OR u.sup IS NOT DISTINCT FROM r.turn) AND NOT (r.turn IS NOT NULL AND u.sup IS NULL AND u.status <> 'conflict' AND (u.status IS DISTINCT FROM r.status OR u.value IS DISTINCT FROM r.value)) AS ok,
+      CASE WHEN u.sup IS NOT NULL THEN CAST([] AS VARCHAR[]) WHEN r.status = 'conflict' THEN r.alts WHEN r.status = 'confirmed' THEN [r.value] ELSE CAST([] AS VARCHAR[]) END AS kept) x
+)
+SELECT key, status, value, turn AS turn_id, array_to_string(alts, ',') AS alternatives, CAST(taken AS BIGINT) AS taken, CAST(refused AS BIGINT) AS refused FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1
+"""
+
+
+@query(_FACTS)
 def fact_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user and kind of event: small values say nothing, large ones supersede what was said before."""
-    e = table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.struct("ts", "event_id").alias("seq"), F.get_json_object("props", "$.k").alias("value"), F.col("value").alias("weight"))
-    before = F.lag("value").over(Window.partitionBy("key").orderBy("seq"))
-    return facts.fold(e.withColumn("supersedes", F.when(F.col("weight") > 20, before)).withColumn("status", F.when(F.col("weight") < 5, "unknown").otherwise("confirmed")))
+    """Per user and kind of event: unknown, contested and confirmed values in order, some of which supersede the turn before."""
+    turn = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    e = table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.struct("ts", "event_id").alias("seq"), turn.alias("turn_id"), "event_id", F.get_json_object("props", "$.k").alias("k"), F.col("value").alias("w"))
+    before = F.lag("turn_id").over(Window.partitionBy("key").orderBy("seq"))
+    status = F.when(F.col("w") < 3, "unknown").when(F.col("w") < 9, "conflict").otherwise("confirmed")
+    updates = e.select("key", "seq", "turn_id", status.alias("status"), F.when((F.col("w") >= 3) | (F.col("event_id") % 9 == 0), F.col("k")).alias("value"), F.when(F.col("event_id") % 3 == 0, before).alias("supersedes"))
+    s = facts.fold(updates)
+    return s.select("key", "status", "value", "turn_id", F.array_join("alternatives", ",").alias("alternatives"), F.size("history").cast("long").alias("taken"), F.size("refused").cast("long").alias("refused"))

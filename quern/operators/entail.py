@@ -65,7 +65,7 @@ def verdicts(claims: DataFrame, evidence: DataFrame, actions: list[str] | None =
     condition, a null population no restriction.  Claims meet evidence by case and identity (three equi-joins: subject,
     predicate and object; subject or object alone; reversed ends); claims at a point also meet actions of the case that
     hold there.  What the evidence says is aggregated to flags before the ladder.  Claims without evidence are
-    unsupported; rows that repeat count once; an empty table gives an empty result.
+    unsupported; a null case is one case; rows that repeat count once; an empty table gives an empty result.
     """
     acts = ACTIONS if actions is None else actions
     c = _propositions(claims, "c", ["claim_id"]).distinct()
@@ -106,7 +106,11 @@ def verdicts(claims: DataFrame, evidence: DataFrame, actions: list[str] | None =
     back = c.where((F.col("c.predicate") == "SUPERSEDES") & (F.col("c.polarity") == P)).join(e.where((F.col("e.predicate") == "SUPERSEDES") & (F.col("e.polarity") == P)).withColumnRenamed("case_id", "__case"), [F.col("case_id").eqNullSafe(F.col("__case")), F.col("c.subject").eqNullSafe(F.col("e.object")), F.col("c.object").eqNullSafe(F.col("e.subject"))])
     back = back.select(*key, F.lit(True).alias("reversed")).distinct()
 
-    j = c.join(flags, key, "left").join(rival, key, "left").join(by_end, key, "left").join(back, key, "left").join(limits, F.col("case_id").eqNullSafe(F.col("__case")), "left")
+    j = c
+    for part in (flags, rival, by_end, back):
+        own = part.withColumnsRenamed({"case_id": "__c", "claim_id": "__i"})
+        j = j.join(own, F.col("case_id").eqNullSafe(F.col("__c")) & F.col("claim_id").eqNullSafe(F.col("__i")), "left").drop("__c", "__i")
+    j = j.join(limits, F.col("case_id").eqNullSafe(F.col("__case")), "left")
     f = lambda name: F.coalesce(F.col(name), F.lit(False))
     positive, negative = F.col("c.polarity") == P, F.col("c.polarity") == N
     at_point = point_verdict(f("same_at"), f("other_at"), f("same_exact"), negative & f("positive_exact"), positive & f("rival"))

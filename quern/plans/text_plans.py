@@ -31,25 +31,31 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (smallest doc_id of an equal word form; null texts are one class), form."""
+    """doc_id, rep (smallest doc_id of an equal word form; null texts are one class), set (5-shingle hashes of the rep, else null), stored.
+
+    A form of one to four words is one shingle; without words there is none.
+    """
     form = docs.select("doc_id", X.word_form(F.col("text"), X.light_fold).alias("form"))
-    reps = form.groupBy(F.sha2("form", 256).alias("h")).agg(F.min("doc_id").alias("rep"))
-    own = form.withColumn("own", F.sha2("form", 256))
-    return own.join(reps, own["own"].eqNullSafe(reps["h"])).select("doc_id", "rep", "form")
+    w = F.filter(F.split("form", " "), lambda x: x != "")
+    own = form.select("doc_id", F.sha2("form", 256).alias("own"), w.alias("w"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
+    shingles = F.when(F.size("w") >= 5, F.array_distinct(grams)).when(F.size("w") > 0, F.array(F.xxhash64("w"))).otherwise(F.array().cast("array<bigint>"))
+    path = scratch(docs.sparkSession, "classes")
+    rows = stored(own.select("doc_id", "own", F.coalesce(shingles, F.array().cast("array<bigint>")).alias("set")), f"{path}/rows")
+    reps = rows.groupBy("own").agg(F.min("doc_id").alias("rep")).select(F.col("own").alias("h"), "rep")
+    return stored(rows.join(reps, F.col("own").eqNullSafe(F.col("h"))).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("set")).alias("set")), f"{path}/classes")
 
 
 def _near_pairs(classes: DataFrame) -> DataFrame:
     """Links between representatives: word 5-shingles, Jaccard at least 0.8."""
-    words = classes.where("doc_id = rep").select("rep", F.filter(F.split("form", " "), lambda x: x != "").alias("w"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
-    return core.similar_pairs(words.where(F.size("w") >= 5).select("rep", F.array_distinct(grams).alias("set")), "rep", "set", 0.8, 4, 5)
+    return core.similar_pairs(classes.where("set is not null and size(set) > 0").select("rep", "set"), "rep", "set", 0.8, 4, 5)
 
 
 _NEAR = rf"""
 WITH RECURSIVE f AS (SELECT doc_id, {_FORM.format("text")} AS form FROM documents),
 c AS (SELECT doc_id, form, min(doc_id) OVER (PARTITION BY form) AS rep FROM f),
 w AS (SELECT rep, list_filter(string_split(form, ' '), lambda x: x <> '') AS w FROM c WHERE doc_id = rep),
-s AS (SELECT DISTINCT rep, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) >= 5),
+s AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
 n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT x.rep AS a, y.rep AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.rep < y.rep GROUP BY 1, 2),
 p AS (SELECT a, b, round(i / (na.n + nb.n - i), 6) AS similarity FROM i JOIN n na ON na.rep = a JOIN n nb ON nb.rep = b WHERE i * 5 >= (na.n + nb.n - i) * 4)
@@ -74,38 +80,53 @@ def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = stored(_near_pairs(classes), scratch(spark, "near"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     label = components(pairs)
-    out = classes.select("doc_id", "rep").join(label, F.col("rep") == F.col("node"), "left").join(ends, F.col("rep") == F.col("x"), "left")
+    out = classes.drop("set").join(label, F.col("rep") == F.col("node"), "left").join(ends, F.col("rep") == F.col("x"), "left")
     return out.select("doc_id", F.coalesce("label", "rep").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 @query(
     r"""
-WITH t AS (SELECT conv_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', '', 'g') AS t FROM conversations WHERE role = 'user'),
+WITH v AS (SELECT conv_id, text FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - conv_id, substr(text, 1, CAST(length(text) * 9 // 10 AS BIGINT)) FROM conversations WHERE role = 'user' AND conv_id % 3 = 0),
+t AS (SELECT conv_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', '', 'g') AS t FROM v),
 s AS (SELECT DISTINCT conv_id, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM t),
 n AS (SELECT conv_id, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.conv_id < y.conv_id GROUP BY 1, 2)
-SELECT a, b, round(i / (na.n + nb.n - i), 6) AS similarity FROM i JOIN n na ON na.conv_id = a JOIN n nb ON nb.conv_id = b WHERE i * 5 >= (na.n + nb.n - i) * 4
+SELECT a, b, round(i / (na.n + nb.n - i), 6) AS similarity FROM i JOIN n na ON na.conv_id = a JOIN n nb ON nb.conv_id = b WHERE i * 2 >= na.n + nb.n - i
 """
 )
 def conv_user_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", X.dense_form(F.col("text"), X.light_fold).alias("s")).select("conv_id", F.explode(X.char_ngrams(F.col("s"), 3)).alias("g"))
-    return core.similar_pairs(turns.groupBy("conv_id").agg(F.collect_set("g").alias("set")), "conv_id", "set", 0.8, 4, 5)
+    """Conversations, and a shortened second version of every third one (a negative id), by their users' trigrams."""
+    own = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "text")
+    cut = own.where("conv_id % 3 = 0").select((-1 - F.col("conv_id")).alias("conv_id"), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") * 9 / 10).cast("int")).alias("text"))
+    turns = own.union(cut).select("conv_id", X.dense_form(F.col("text"), X.light_fold).alias("s")).select("conv_id", F.explode(X.char_ngrams(F.col("s"), 3)).alias("g"))
+    return core.similar_pairs(turns.groupBy("conv_id").agg(F.collect_set("g").alias("set")), "conv_id", "set", 0.5, 1, 2)
 
 
 # ---- lineage: protected items against an allowed corpus
 
 
+MOST_SHORT = 1000
+
+
 def _truth(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the document holds the item's whole text.
 
-    A probe of four inner words of the item finds the few pairs for which the texts are compared; items too
-    short to have inner words are compared on their own first words.
+    A probe of four inner words of the item finds the few pairs for which the texts are compared.  Items of under six
+    words have no four inner words and are looked for in every text; there may be at most MOST_SHORT of them.
     """
     w = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
     gram = lambda c, i: F.xxhash64(*[F.get(F.col(c), i + k) for k in range(4)])
-    probes = items.withColumn("w", w("text")).where(F.size("w") >= 6).select("item_id", F.col("text").alias("item"), gram("w", F.lit(1)).alias("g"))
+    sized = items.where("text <> ''").withColumn("w", w("text"))
+    probes = sized.where(F.size("w") >= 6).select("item_id", F.col("text").alias("item"), gram("w", F.lit(1)).alias("g"))
     grams = docs.select("doc_id", w("text").alias("w")).where(F.size("w") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: gram("w", i)))).alias("g"))
     found = grams.join(probes, "g").select("doc_id", "item_id", "item").join(docs.select("doc_id", "text"), "doc_id")
+    # a benchmark's short items are few; past MOST_SHORT the plan must not pair them with all texts
+    short = sized.where(F.size("w") < 6).select("item_id", F.col("text").alias("item"))
+    some = short.limit(MOST_SHORT + 1).count()
+    if some > MOST_SHORT:
+        raise ValueError(f"over {MOST_SHORT} items of under six words")
+    if some:
+        found = found.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id", "item", "text"))
     return found.where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
 
 
@@ -128,7 +149,7 @@ def _lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 _CONTENT = f"list_distinct(list_filter({_WORDS.format('text')}, lambda x: x NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}) AND (length(x) >= 4 OR regexp_matches(x, '\\p{{Nd}}'))))"
 _LINEAGE = rf"""
-WITH truth AS (SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) >= 6 AND contains(d.text, b.text)),
+WITH truth AS (SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM truth)),
 dw AS (SELECT doc_id, unnest({_CONTENT}) AS word FROM documents),
 iw AS (SELECT item_id, unnest({_CONTENT}) AS word FROM benchmark),

@@ -12,7 +12,8 @@ def test_routing_metrics(spark):
     gold = spark.createDataFrame([("1", "i", "a", ["a", "b"], True), ("2", "j", "c", ["c"], True), ("3", "k", "d", ["d"], False), ("4", "k", "d", ["d"], False)], "query_id string, intent string, primary string, acceptable array<string>, high_risk boolean")
     pred = spark.createDataFrame([("1", "i", ["b", "a"]), ("2", "x", ["z"]), ("3", "k", ["d"])], "query_id string, intent string, ranked array<string>")
     r = ev.routing_metrics(gold, pred).first().asDict()
-    assert r == {"queries": 4, "intent_accuracy": 0.5, "primary_at_1": 0.25, "acceptable_at_3": 0.5, "missing": 1, "primary_as_secondary": 1, "critical_miss_rate": 0.5}
+    more = {"type_accuracy": None, "freshness_accuracy": None, "wrong_authority_rate": 0.5, "secondary_as_gold_rate": 0.0}
+    assert r == more | {"queries": 4, "intent_accuracy": 0.5, "primary_at_1": 0.25, "acceptable_at_3": 0.5, "missing": 1, "primary_as_secondary": 1, "critical_miss_rate": 0.5}
 
 
 def test_bags_count_repeats_and_nulls(spark):
@@ -112,7 +113,9 @@ def test_truth_event_reasons(spark):
         return tuple(kw.get(n, v) for n, v in zip(names, ok))
 
     rows = [put(), put(object_id=" "), put(effective_at="soon", locator=None), put(locator=None), put(s3_relation="PARTIAL"), put(review_status=None), put(source_scope="synthetic_controlled")]
-    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).withColumns({"proposition": F.lit("p"), "provenance": F.lit("v")})
+    bare = df.limit(1).withColumn("provenance", F.lit(None).cast("string")).union(df.limit(1).select(*names, F.lit(None).cast("string"), F.lit("v")))
+    assert [r[0] for r in bare.select(gov.truth_event_reason("external")).collect()] == ["MISSING_PROVENANCE", "MISSING_PROPOSITION"]
     assert [r[0] for r in df.select(gov.truth_event_reason("external")).collect()] == [None, "MISSING_OBJECT_ID", "INVALID_EFFECTIVE_AT", "MISSING_PROVENANCE_LOCATOR", "S3_RELATION_NOT_DIRECT_SUPPORT", "SOURCE_NOT_VERIFIED", "SYNTHETIC_PARTITION_VIOLATION"]
     assert [r[0] for r in df.limit(1).select(gov.truth_event_reason("benchmark_synthetic")).collect()] == ["EXTERNAL_PARTITION_VIOLATION"]
 

@@ -166,11 +166,22 @@ def _passage_cutter():
     return cut
 
 
-def _ranges(starts: Column, words: int) -> Column:
-    """array<struct<a, b>>: the words that runs from these sorted starts cover; b is exclusive."""
-    heads = F.filter(starts, lambda x, i: (i == 0) | (x > F.get(starts, i - 1) + words))
-    tails = F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > x + words))
-    return F.transform(F.arrays_zip(heads.alias("a"), tails.alias("b")), lambda r: F.struct(r["a"].alias("a"), (r["b"] + words).alias("b")))
+def _ranger(words: int):
+    """array<struct<a, b>>: the words that runs from an array of starts cover; b is exclusive."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    @F.arrow_udf("array<struct<a: int, b: int>>")
+    def ranges(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            out = []
+            for v in lists:
+                at = np.unique(v.values.to_numpy())
+                new = np.flatnonzero(np.diff(at) > words) + 1
+                heads, tails = at[np.append(0, new)], at[np.append(new, len(at)) - 1] + words
+                out.append([{"a": a, "b": b} for a, b in zip(heads.tolist(), tails.tolist())])
+            yield pa.array(out, kind)
+
+    return ranges
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE, seed: int = SEED) -> DataFrame:
@@ -183,7 +194,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     seeds = common.stored(own.select("id", "th", F.explode(_seeder(words, seed)(F.col("t"))).alias("s")).select("id", "th", "s.*"), f"{path}/seeds")
     twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.sort_array(F.collect_set("at")).alias("seeds"))
+    some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_set("at").alias("seeds"))
     some = common.stored(some, f"{path}/some")
     held = own.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x"))).select("id", "th", F.explode(_runner(words, seed)(F.col("t"), F.col("seeds"))).alias("r"))
     every = common.stored(held.select("id", "th", "r.*"), f"{path}/runs")
@@ -191,7 +202,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     first = every.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + words)
     later = every.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~near)
-    gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(_ranges(F.sort_array(F.collect_set("at")), words).alias("__gone"))
+    gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("at"))
+    gone = gone.select("__id", "__th", _ranger(words)(F.col("at")).alias("__gone"))
     gone = common.stored(gone, f"{path}/gone")
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
     cut = _passage_cutter()(F.when(F.col("__gone").isNotNull(), F.col(text)), F.col("__gone"))

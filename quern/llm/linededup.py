@@ -187,19 +187,20 @@ def _ranger(words: int):
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE, seed: int = SEED) -> DataFrame:
     """docs with text cleaned of repeated runs, removed_words, and emptied (no word is left of some).
 
-    What goes back to the texts, seeds that occur twice and ranges that go, is stored first, so that Spark knows its size
-    and sends it to the texts where it is small, and the texts to it where it is not.
+    What is joined back (seeds that occur twice, first places, ranges that go) is stored first, so that Spark knows its size and
+    sends it to the other side where it is small; where it is not, both sides are plain shuffles, and one hot seed is split.
     """
     path = common.scratch(docs.sparkSession, "passages")
     own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     seeds = common.stored(own.select("id", "th", F.explode(_seeder(words, seed)(F.col("t"))).alias("s")).select("id", "th", "s.*"), f"{path}/seeds")
-    twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    twice = common.stored(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), f"{path}/twice")
     some = seeds.join(twice, "h").groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_set("at").alias("seeds"))
     some = common.stored(some, f"{path}/some")
     held = own.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x"))).select("id", "th", F.explode(_runner(words, seed)(F.col("t"), F.col("seeds"))).alias("r"))
     every = common.stored(held.select("id", "th", "r.*"), f"{path}/runs")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")
     first = every.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    first = common.stored(first, f"{path}/first")
     near = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + words)
     later = every.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~near)
     gone = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("at"))

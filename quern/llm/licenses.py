@@ -131,10 +131,9 @@ def _parts(docs: DataFrame, rows: list[tuple[str, int, str, int]], threshold: fl
 
     none = F.lit(None).cast("array<int>")
     part = lambda kind, line, w, at=none: F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), (F.size(w) - 1).alias("n"), w.alias("w"), at.alias("at"))
-    lined = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.transform(F.split(F.col(text), "\n"), _words).alias("lines")
-    )
-    whole = lined.select("doc_id", "row", "lines", F.flatten("lines").alias("w")).where(_can_match(F.col("w"), rows, threshold))
+    lined = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.transform(F.split(F.col(text), "\n"), _words).alias("lines"))
+    # the row's number keeps the filter above the words: below, it would flatten the lines anew for every word
+    whole = lined.select("doc_id", F.monotonically_increasing_id().alias("row"), "lines", F.flatten("lines").alias("w")).where(_can_match(F.col("w"), rows, threshold))
     numbers = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))
     runs = F.array(part("run", F.lit(0), F.col("w"), numbers))
     text_part = F.when((F.size("lines") > 1) & fits(F.size("w") - 1), F.array(part("text", F.lit(0), F.col("w"))))

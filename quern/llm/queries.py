@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, minhash, packing, preference, topk, toxicity, urlfilter, warc
+from . import decontam, licenses, linededup, merkle, minhash, mixing, packing, preference, topk, toxicity, urlfilter, warc, whitening
 from .common import table
 
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -230,3 +230,61 @@ def op9_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_apart(table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql() -> str:
+    field = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = " || ".join(field.format(c) for c in merkle.FIELDS)
+    forged = " || ".join(field.format("(CAST(n_chars AS HUGEINT) + 1)" if c == "n_chars" else c) for c in merkle.FIELDS)
+    # CRC-32: after each byte, eight steps (marked -1) shift one bit out
+    crc = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(substr(s, CAST(i AS INTEGER), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+    up = "list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], '')))"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, CAST(doc_id AS VARCHAR) AS s, sha256({leaf}) AS leaf, sha256({forged}) AS forged FROM documents
+), leaves AS (
+  SELECT row, doc_id, lang, leaf, CASE WHEN ({crc}) % 7 = 0 THEN forged ELSE leaf END AS shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS idx FROM d
+), lv AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS h FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {up} FROM lv WHERE len(h) > 1
+), sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM lv WHERE len(h) = 1),
+tv AS (
+  SELECT 100 AS level, list(subroot ORDER BY idx) AS h FROM sub HAVING count(*) > 0
+  UNION ALL SELECT level + 1, {up} FROM tv WHERE len(h) > 1
+), nodes AS (
+  SELECT coalesce(lang, '-') AS tree, lang IS NULL AS none, level, unnest(h) AS digest, generate_subscripts(h, 1) - 1 AS idx FROM lv WHERE len(h) > 1
+  UNION ALL SELECT 'top', NULL, level, unnest(h), generate_subscripts(h, 1) - 1 FROM tv WHERE len(h) > 1
+), steps AS (
+  SELECT row, x.level, l.idx >> x.level AS at, coalesce(l.lang, '-') AS tree, l.lang IS NULL AS none FROM leaves l JOIN lv x ON x.lang IS NOT DISTINCT FROM l.lang AND len(x.h) > 1
+  UNION ALL SELECT row, x.level, s.idx >> (x.level - 100), 'top', NULL FROM leaves l JOIN sub s ON s.lang IS NOT DISTINCT FROM l.lang JOIN tv x ON len(x.h) > 1
+), beside AS (
+  SELECT row, s.level, CASE WHEN n.digest IS NULL THEN 'N' WHEN s.at % 2 = 1 THEN 'L' || n.digest ELSE 'R' || n.digest END AS step
+  FROM steps s LEFT JOIN nodes n ON n.tree = s.tree AND n.none IS NOT DISTINCT FROM s.none AND n.level = s.level AND n.idx = xor(s.at, 1)
+), proof AS (SELECT row, list(step ORDER BY level) AS steps FROM beside GROUP BY row),
+found AS (
+  SELECT l.*, sub.subroot, (SELECT h[1] FROM tv WHERE len(h) = 1) AS root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(shown, coalesce(steps, [])), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM leaves l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proof p ON p.row = l.row
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM found
+"""
+
+
+@query(_manifest_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(docs, {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}, tampered).proofs
+    return found.select(F.col("place").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query()
+def op12_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

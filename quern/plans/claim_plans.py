@@ -211,36 +211,3 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def negation_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents and ranked sources of questions, with features and sources that the question excludes."""
     return _routed(spark, sf_dir).select("query_id", "intent", "score", F.array_join("sources", ",").alias("sources"))
-
-
-_HELD = [("PUBMED", 3), ("DAILYMED_SPL", 2), ("OPENFDA_FAERS", 5), ("RXNORM", 7)]
-
-
-@query(
-    _routing_sql()
-    + f""", d(source, every) AS (VALUES {", ".join(f"('{s}', {n})" for s, n in _HELD)}),
-docs AS (SELECT query_id, source FROM r, d WHERE query_id % every = 0),
-hit AS (SELECT r.query_id, min(list_position(sources, source)) AS rank FROM r JOIN docs USING (query_id) WHERE list_contains(sources, source) GROUP BY 1),
-j AS (SELECT r.query_id, rank, CASE WHEN rank IS NULL THEN NULL ELSE r.query_id % 13 = 0 END AS abstain, (r.query_id % 4 = 0) AS supported, (r.query_id % 3 = 0) AS contradicted FROM r LEFT JOIN hit USING (query_id)),
-k AS (SELECT CASE WHEN rank IS NULL THEN 'NO_EVIDENCE' WHEN abstain THEN 'ABSTAIN' WHEN supported THEN 'DIRECT_SUPPORT' WHEN contradicted THEN 'CONTRADICTS' ELSE 'DOES_NOT_SUPPORT' END AS relation,
-  CASE WHEN rank IS NULL THEN 'source' WHEN abstain THEN 'extraction' WHEN NOT supported THEN 'entailment' ELSE 'passed' END AS stage, CAST(rank AS INTEGER) AS rank FROM j)
-SELECT relation, stage, coalesce(rank, 0) AS rank, count(*) AS queries FROM k GROUP BY 1, 2, 3
-"""
-)
-def joint_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routing, the first ranked source that has a document, extraction that may abstain, entailment; where each query stops."""
-    routed = _routed(spark, sf_dir)
-    held = spark.createDataFrame(_HELD, "source string, every int")
-    docs = routed.select("query_id", F.explode("sources").alias("source")).join(F.broadcast(held), "source").where(F.col("query_id") % F.col("every") == 0)
-    keyed = docs.select(F.concat_ws("|", "query_id", "source").alias("key"), F.col("source").alias("text"))
-    ranked = routed.select("query_id", F.transform("sources", lambda s: F.concat_ws("|", F.col("query_id").cast("string"), s)).alias("ranking"))
-    chosen = core.first_match(ranked, "ranking", keyed, "key", "text").select("query_id", "match_rank", F.col("match").alias("source"))
-    q = F.col("query_id")
-    claims = chosen.where("source is not null").where(q % 13 != 0)
-    claims = claims.select(q.alias("case_id"), F.lit(1).alias("claim_id"), F.lit("x").alias("subject"), F.lit("REPORTS").alias("predicate"), F.lit("y").alias("object"), F.lit("POSITIVE").alias("polarity"), *[F.lit(None).cast(t).alias(c) for c, t in (("population", "string"), ("operator", "string"), ("value", "double"), ("low", "double"), ("high", "double"))])
-    evidence = claims.drop("claim_id", "polarity").withColumn("polarity", F.when(F.col("case_id") % 4 == 0, "POSITIVE").when(F.col("case_id") % 3 == 0, "NEGATIVE")).where("polarity is not null").withColumn("semantics", F.lit(None).cast("string"))
-    decided = entail.relations(claims, entail.verdicts(claims, evidence)).select(F.col("case_id").alias("query_id"), "relation")
-    j = chosen.join(decided, "query_id", "left").withColumn("abstain", q % 13 == 0)
-    relation = F.when(F.col("source").isNull(), "NO_EVIDENCE").when(F.col("abstain"), "ABSTAIN").otherwise(F.col("relation"))
-    stage = evaluation.first_failure([("source", F.col("source").isNotNull()), ("extraction", ~F.col("abstain")), ("entailment", F.col("relation") == "DIRECT_SUPPORT")])
-    return j.select(relation.alias("relation"), stage.alias("stage"), F.coalesce("match_rank", F.lit(0)).cast("int").alias("rank")).groupBy("relation", "stage", "rank").agg(F.count(F.lit(1)).alias("queries"))

@@ -1,8 +1,8 @@
 """Connected components of links, by alternating large-star and small-star rounds.
 
 Each round moves every link towards the smallest node it can see.  Group minima are aggregated before
-the shuffle and joined back, so a node with very many links is split like any skewed join, never
-gathered in one task.  Rounds are written to the shared folder; the driver sees only two sums.
+the shuffle and stored, so the join back has plain shuffles on both sides, of which Spark splits a node
+with very many links.  Rounds are written to the shared folder; the driver sees only two sums.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ def _print(links: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """links (u, v) with u > v to the same components' links with smaller v."""
+def _stars(links: DataFrame, large: bool, path: str) -> DataFrame:
+    """links (u, v), a stored table with u > v, to the same components' links with smaller v; the table of minima goes to path."""
     near = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = stored(least, path)
     out = near.join(least, near["u"] == least["c"])
     if large:
         moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -42,7 +43,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct(), f"{path}/0")
     seen = _print(now)
     for k in range(1, most_rounds + 1 if seen[0] else 1):
-        now = stored(_stars(_stars(now, True), False), f"{path}/{k}")
+        wide = stored(_stars(now, True, f"{path}/{k}-large"), f"{path}/{k}-between")
+        now = stored(_stars(wide, False, f"{path}/{k}-small"), f"{path}/{k}")
         was, seen = seen, _print(now)
         if was == seen:
             break

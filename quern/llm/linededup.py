@@ -5,8 +5,8 @@ three consecutive lines of a document are a window, known by a 128-bit hash.  Th
 a window over all documents, in the order of doc_id and position, stays; all later ones are removed,
 whichever windows overlap them: a line goes if any removed window covers it.
 
-The windows' first places are aggregated before the shuffle; the join back to the windows is a plain
-skewed join, which Spark splits, so a window that a third of all documents hold stays spread.
+The windows' first places are aggregated before the shuffle and stored, so the join back to the windows has
+plain shuffles on both sides: Spark splits a window that a third of all documents hold.
 
 Defined cases: documents of under three lines have no window and stay as they are, so do null and
 empty texts; null ids come last; rows equal in id and text are one document and lose the same lines;
@@ -76,7 +76,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     every = windows(docs, doc_id, text)
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")
     first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
+    first = common.stored(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), common.scratch(docs.sparkSession, "first-windows"))
     later = every.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("id", "th").agg(F.collect_set("at").alias("__starts")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__starts")
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")

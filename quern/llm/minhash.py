@@ -181,9 +181,10 @@ def _rest_links(percent: int):
     return run
 
 
-def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (pivot, id); a pivot with many members is salted."""
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """The links among pairs (pivot, id), a stored table; a pivot with many members is salted by their number, which is stored at path."""
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    salts = common.stored(salts, path)
     many = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id")
     one = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"))
     stars = many.union(one).join(sets, "id").select("pivot", "salt", "id", "shingles").withColumn("later", F.col("id") != F.col("pivot"))
@@ -222,6 +223,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     keys = classes.select("id", F.explode("bands").alias("bucket"))
     sized = classes.select("id", "n", F.explode("bands").alias("bucket"))
     full = sized.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1")
+    full = common.stored(full, f"{path}/buckets")  # stored, so the join's sides are plain shuffles and a full bucket is split
     member = common.stored(keys.join(full, "bucket"), f"{path}/members")
 
     need = member.select("id").distinct().join(classes.select("id", "row"), "id")
@@ -229,11 +231,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     sets = need.join(text_of, (need["row.id"].eqNullSafe(text_of["row.id"])) & (need["row.fp"] == text_of["row.fp"])).select("id", _setter(words)(F.col("text")).alias("shingles"))
     sets = common.stored(sets, f"{path}/sets")
 
-    links = common.stored(_stars(member.where("id <> pivot").select("pivot", "id").distinct(), sets, percent), f"{path}/links")
+    pairs = common.stored(member.where("id <> pivot").select("pivot", "id").distinct(), f"{path}/pairs")
+    links = common.stored(_stars(pairs, sets, percent, f"{path}/salts"), f"{path}/links")
     label = components(links)
     apart, left = _apart(member, label)
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") * 8 / BLOCK_BYTES)).cast("int")
-    left = left.select("bucket", blocks.alias("blocks"))
+    left = common.stored(left.select("bucket", blocks.alias("blocks")), f"{path}/left")
     rest = common.stored(apart.join(left, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")), f"{path}/rest")
     if not rest.isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

@@ -57,7 +57,9 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     spark = links.sparkSession
     path = common.scratch(spark, "hosts")
     out = links.groupBy(F.col("src").alias("h")).agg(F.sum("n").alias("w"))
+    out = common.stored(out, f"{path}/out")  # aggregates are stored before they are joined back, so a hub host is split
     into = links.groupBy(F.col("dst").alias("h")).agg(F.sum("n").alias("w"))
+    into = common.stored(into, f"{path}/into")
     ahead = links.join(out, F.col("src") == F.col("h")).select(F.lit(0).alias("way"), "src", "dst", (F.col("n") / F.col("w")).alias("p"))
     back = links.join(into, F.col("dst") == F.col("h")).select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("w")).alias("p"))
     edges = common.stored(ahead.union(back), f"{path}/edges")
@@ -69,9 +71,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         kept = base
         for k in range(1, limit + 1):
             moved = now.join(e, (now["way"] == e["w"]) & (now["host"] == e["src"])).select("way", F.col("dst").alias("host"), (F.col("m") * F.col("p") * damping).alias("m"))
-            now = moved.union(base).groupBy("way", "host").agg(F.sum("m").alias("m"))
+            now = common.stored(moved.union(base).groupBy("way", "host").agg(F.sum("m").alias("m")), f"{path}/{k}")
             if k % KEEP_EVERY == 0 or k == limit:
-                now = common.stored(now, f"{path}/{k}")
                 old = kept.select("way", "host", F.col("m").alias("old"))
                 growth = now.join(old, ["way", "host"], "left").agg(F.max(F.abs(F.col("m") - F.coalesce("old", F.lit(0.0))))).first()[0]
                 if growth is None or growth < tolerance:
@@ -92,6 +93,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, pag
     seeds = hosts.select("host", F.when(2 * F.col("a") >= F.col("n"), 1.0).otherwise(0.0).alias("trusted"), F.when(2 * F.col("b") >= F.col("n"), 1.0).otherwise(0.0).alias("blocked"))
     rank = propagate(host_links(pages, url, html), seeds, **how)
     bad = rank.where((F.round("distrust", 9) >= threshold) & (F.round("distrust", 9) > F.round("trust", 9))).select(F.col("host").alias("bad"))
+    bad = common.stored(bad, common.scratch(pages.sparkSession, "bad-hosts"))
     judged = rows.join(bad, rows["host"] == bad["bad"], "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))

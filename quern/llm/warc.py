@@ -143,9 +143,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     n = F.octet_length("payload")
-    again = rows.where(n >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("d"), "first")
-    known = rows.join(again, rows["digest"] == again["d"], "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    # whole payloads never meet by digest: what revisits what is decided on ids and digests, and stored before it is joined back
+    heads = common.stored(rows.where(n >= MIN_REVISIT).select("page_id", "digest").distinct(), f"{folder}/heads")
+    again = heads.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
+    again = common.stored(again.drop("c"), f"{folder}/again")
+    later = heads.join(again, heads["digest"] == again["d"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("i"), "d", "first")
+    later = common.stored(later, f"{folder}/later")
+    known = rows.join(later, rows["page_id"].eqNullSafe(later["i"]) & (rows["digest"] == later["d"]), "left")
+    refers = F.col("first")
     records = known.select("page_id", "url", "payload", "digest", n.cast("long").alias("n"), refers.alias("refers_to"), key_of(F.col("url"), F.col("page_id")).alias("key"))
     return common.stored(records.mapInArrow(_writer(f"{folder}/archive"), "key string, file string, offset long, length long"), f"{folder}/manifest")
 

@@ -11,7 +11,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,23 +56,46 @@ class Fact:
         self.history.append(turn)
 
 
+    def observe(self, key: str | None, value: str | None, status: str | None, corrected: bool | None, turn: str | None) -> None:
+        """A declaration: a change supersedes what it corrects or makes known, else it is a conflict; doubt alone retracts nothing."""
+        supersedes = None
+        if self.turn_id is not None and (status, value) != (self.status, self.value):
+            if corrected or self.status == "unknown":
+                supersedes = self.turn_id
+            elif status == "unknown":
+                self.refused.append({"turn_id": turn, "rule": "UNCERTAIN_RETRACTION"})
+                return
+            else:
+                status = "conflict"
+        self.update(key, value, status, supersedes, turn)
+
+
 def fold(updates: DataFrame) -> DataFrame:
     """The final state of each key; updates: key, seq, value, status, supersedes, turn_id."""
+    return _folded(updates, "supersedes", Fact.update)
+
+
+def observed(declarations: DataFrame) -> DataFrame:
+    """The final state of each key; declarations: key, seq, value, status, corrected, turn_id."""
+    return _folded(declarations, "corrected", Fact.observe)
+
+
+def _folded(rows: DataFrame, how: str, step: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, fact = None, None
         for batch in batches:
             done = []
-            for key, value, status, supersedes, turn in zip(*(batch[c].to_pylist() for c in ("key", "value", "status", "supersedes", "turn_id"))):
+            for key, value, status, mode, turn in zip(*(batch[c].to_pylist() for c in ("key", "value", "status", how, "turn_id"))):
                 if fact is None or key != at:
                     if fact is not None:
                         done.append((at, fact))
                     at, fact = key, Fact()
-                fact.update(key, value, status, supersedes, turn)
+                step(fact, key, value, status, mode, turn)
             yield _rows(done)
         yield _rows([(at, fact)] if fact is not None else [])
 
-    ordered = updates.repartition("key").sortWithinPartitions("key", "seq", "turn_id").select("key", "value", "status", "supersedes", "turn_id")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "seq", "turn_id").select("key", "value", "status", how, "turn_id")
     return ordered.mapInArrow(run, RESULT)
 
 

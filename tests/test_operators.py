@@ -78,7 +78,16 @@ def _replay(events):
     """The ledger's rules one event at a time."""
     slots, out = {}, []
     for slot, claim, day, seq, _ in sorted(events, key=lambda e: e[3]):
-        out.append((seq, *stream.step(slots.setdefault(slot, {}), claim, day)))
+        edges = slots.setdefault(slot, set())
+        newest, peers = max((d for d, _ in edges), default=None), sum(d == day for d, _ in edges)
+        if (day, claim) in edges:
+            done = ("MERGED_IDEMPOTENT", False)
+        elif newest is None or day > newest:
+            done = ("INSERTED_ACTIVE" if newest is None else "SUPERSEDED_PRIOR", True)
+        else:
+            done = ("INSERTED_HISTORICAL", False) if day < newest else ("CONTRADICTION_RECORDED", peers == 1)
+        edges.add((day, claim))
+        out.append((seq, *done))
     return sorted(out)
 
 

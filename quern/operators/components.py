@@ -2,7 +2,8 @@
 
 Each round moves every link towards the smallest node it can see.  Group minima are aggregated before
 the shuffle and stored, so the join back has plain shuffles on both sides, of which Spark splits a node
-with very many links.  Rounds are written to the shared folder; the driver sees only two sums.
+with very many links.  Rounds are written to the shared folder, in as many parts as their links need; the
+driver sees only two sums.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ from pyspark.sql import functions as F
 from quern.functions.scratch import scratch, stored
 
 
+#: Links of a part of a round's tables.
+PART = 50_000
+
+
 def _print(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
 
 
-def _stars(links: DataFrame, large: bool, path: str) -> DataFrame:
+def _stars(links: DataFrame, large: bool, path: str, parts: int) -> DataFrame:
     """links (u, v), a stored table with u > v, to the same components' links with smaller v; the table of minima goes to path."""
     near = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    least = stored(least, path)
+    least = stored(least.coalesce(parts), path)
     out = near.join(least, near["u"] == least["c"])
     if large:
         moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -43,8 +48,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct(), f"{path}/0")
     seen = _print(now)
     for k in range(1, most_rounds + 1 if seen[0] else 1):
-        wide = stored(_stars(now, True, f"{path}/{k}-large"), f"{path}/{k}-between")
-        now = stored(_stars(wide, False, f"{path}/{k}-small"), f"{path}/{k}")
+        parts = 1 + 2 * seen[0] // PART
+        wide = stored(_stars(now, True, f"{path}/{k}-large", parts).coalesce(parts), f"{path}/{k}-between")
+        now = stored(_stars(wide, False, f"{path}/{k}-small", parts).coalesce(parts), f"{path}/{k}")
         was, seen = seen, _print(now)
         if was == seen:
             break

@@ -3,7 +3,7 @@
 Records are a case_id and one text column for each field, JSON or plain.  What a reference shares with the allowed
 corpus is no evidence; what only protected records hold is.  Pairs are found by equi-joins: an exclusive anchor, an equal
 core, an equal exclusive field or span, a common exclusive identifier, or concepts across languages; only those are
-scored.  A candidate without such a pair is allowed, and names no nearest reference.
+scored.  A set of hashes is made once for each record, field and span, and sent once to each block of references.  A candidate without such a pair is allowed, and names no nearest reference.
 
 Defined cases: null, empty, [] and {} fields are empty and match nothing; records without text are allowed; a case_id
 should be unique, rows that repeat are one record; empty tables give empty results, and without references all are
@@ -88,9 +88,56 @@ def gram_hashes(form: Column, n: int = 4) -> Column:
     return run(form)
 
 
-def _similar(a: Column, b: Column, same: Column) -> Column:
-    """Blend of word and 4-gram Dice of two structs (words, grams); 1 for the same value."""
-    return F.when(same, 1.0).otherwise(X.blended(a["words"], b["words"], a["grams"], b["grams"]))
+def _item(kind: str, name: str | None = None, case: str = "case_id") -> Column:
+    """The name of a record, field or span."""
+    return F.concat_ws("\x1f", F.lit(kind), F.col(case), *([F.col(name)] if name else [])).alias("item")
+
+
+#: Hashes of reference items that a task holds, and hashes of candidate items that are sent past them.
+HELD, PASSED = 1 << 21, 1 << 24
+
+
+def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    at = None
+    common = lambda a, b: int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+    for batch in batches:
+        out: list[tuple] = []
+        sets = [[np.asarray(v.values) if v.is_valid else np.zeros(0, np.int64) for v in batch[c]] for c in ("words", "grams")]
+        for k, (cell, item, others) in enumerate(zip(*(batch[c].to_pylist() for c in ("cell", "item", "others")))):
+            if cell != at:
+                held, at = {}, cell
+            words, grams = sets[0][k], sets[1][k]
+            if others is None:
+                held[item] = (words, grams)
+                continue
+            for name in others:
+                w, g = held[name]
+                out.append((item, name, common(words, w), common(grams, g), len(words) + len(w), len(grams) + len(g)))
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["a", "b", "iw", "ig", "nw", "ng"])
+
+
+def similarities(pairs: DataFrame, left: DataFrame, right: DataFrame, path: str) -> DataFrame:
+    """(a, b, similarity) of stored pairs (a, b) of items, each with its hashed sets (item, words, grams).
+
+    No pair carries a set: right items are dealt into blocks that a task can hold, a left item goes once to each block that it
+    has partners in, and is compared there with all of them.  Blocks meet many left items in several tasks.
+    """
+    left, right = stored(left, f"{path}/left"), stored(right, f"{path}/right")
+    volume = lambda df: (df.agg(F.sum(F.size("words") + F.size("grams")).alias("n")).first()["n"] or 0)
+    blocks, tasks = -(-volume(right) // HELD) or 1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    salts = max(-(-volume(left) // PASSED), -(-tasks // blocks))
+    cell = lambda b, salt: (b * F.lit(salts) + salt).cast("int").alias("cell")
+    asked = stored(pairs.groupBy("a", block("b").alias("block")).agg(F.collect_list("b").alias("others")), f"{path}/asked")  # a block's items at most
+    moving = asked.join(left, F.col("a") == F.col("item")).select(cell(F.col("block"), F.pmod(F.xxhash64("a", F.lit(1)), F.lit(salts))), "item", "words", "grams", "others")
+    fixed = right.select("item", "words", "grams", block("item").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    fixed = fixed.select(cell(F.col("block"), F.col("salt")), "item", "words", "grams", F.lit(None).cast(_STRINGS).alias("others"))
+    rows = fixed.union(moving).withColumn("late", F.col("others").isNotNull()).repartitionById(blocks * salts, "cell").sortWithinPartitions("cell", "late")
+    found = rows.drop("late").mapInArrow(_intersections, "a string, b string, iw long, ig long, nw long, ng long")
+    dice = lambda i, n: F.when(F.col(n) == 0, 1.0).otherwise(2.0 * F.col(i) / F.col(n))
+    return found.select("a", "b", F.round(0.58 * dice("iw", "nw") + 0.42 * dice("ig", "ng"), 6).alias("similarity"))
 
 
 def _words(form: Column) -> Column:
@@ -116,7 +163,7 @@ class Records:
         whole = rows.select("case_id", quantity.alias("labs")).join(held, "case_id", "left").select("case_id", "labs", F.trim(form).alias("form"), core.alias("core"), F.coalesce(codes, F.array().cast(_STRINGS)).alias("ids"))
         self.whole = stored(
             whole.select(
-                "case_id", "core", "form", "ids", _words(F.col("form")).alias("words"), X.content_words(F.col("form"), lambda c: c).alias("content"), gram_hashes(F.col("form")).alias("grams"),
+                "case_id", "core", "form", "ids", F.md5(F.col("form").cast("binary")).alias("print"), X.content_words(F.col("form"), lambda c: c).alias("content"),
                 C.concepts(F.col("form")).alias("concepts"), C.numbers(F.col("form")).alias("numbers"), C.language(F.col("form")).alias("lang"), F.coalesce(C.roles(F.col("labs")), F.array().cast(_STRINGS)).alias("roles"),
             ),
             f"{path}/whole",
@@ -130,6 +177,14 @@ class Records:
     def column(self, name: str, one: str) -> DataFrame:
         return self.whole.select("case_id", F.explode(name).alias(one))
 
+    def items(self, of: list[DataFrame]) -> DataFrame:
+        """(item, words, grams): hashed sets of whole records, fields and spans that are named in `of` (item)."""
+        each = [self.whole.select(_item("w"), "form"), self.fields.select(_item("f", "field"), "form"), self.leaves.select(_item("s", "path"), F.col("span").alias("form"))]
+        wanted = reduce(DataFrame.union, of).distinct()
+        rows = reduce(DataFrame.union, each).distinct().join(wanted, "item", "left_semi")
+        words = F.array_sort(F.array_distinct(F.transform(_words(F.col("form")), lambda w: F.xxhash64(w))))
+        return rows.select("item", words.alias("words"), gram_hashes(F.col("form")).alias("grams"))
+
 
 def _as(side: str, df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("case_id", f"{side}_id")
@@ -137,32 +192,30 @@ def _as(side: str, df: DataFrame) -> DataFrame:
 
 def reference_index(references: Records, allowed: Records, high_signal: list[str]) -> dict[str, DataFrame]:
     """What protected references have and the allowed corpus has not: anchors, identifiers, fields and spans with their anchors."""
-    known = allowed.column("content", "word").select("word").distinct()
+    path = scratch(references.whole.sparkSession, "index")
+    known = stored(allowed.column("content", "word").select("word").distinct(), f"{path}/known")
     spans = references.leaves.join(allowed.leaves.select("field", "span").distinct(), ["field", "span"], "left_anti")
     tokens = spans.select("case_id", "field", "path", F.explode(X.content_words(F.col("span"), lambda c: c)).alias("word")).join(known, "word", "left_anti")
     anchors = tokens.groupBy("case_id", "field", "path").agg(F.array_sort(F.collect_set("word")).alias("anchors"))
     fields = references.fields.where(F.col("field").isin(high_signal))
     return {
-        "anchors": references.column("content", "word").join(known, "word", "left_anti"),
+        "anchors": stored(references.column("content", "word").join(known, "word", "left_anti"), f"{path}/anchors"),
         "ids": references.column("ids", "id").join(allowed.column("ids", "id").select("id").distinct(), "id", "left_anti"),
-        "fields": fields.join(allowed.fields.select("field", "form").distinct(), ["field", "form"], "left_anti"),
-        "spans": spans.join(anchors, ["case_id", "field", "path"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast(_STRINGS))),
+        "fields": stored(fields.join(allowed.fields.select("field", "form").distinct(), ["field", "form"], "left_anti"), f"{path}/fields"),
+        "spans": stored(spans.join(anchors, ["case_id", "field", "path"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast(_STRINGS))), f"{path}/spans"),
     }
 
 
-def span_matches(candidates: Records, spans: DataFrame) -> DataFrame:
-    """Pairs of spans of one field that are equal, or share an exclusive anchor and are similar by 0.82: paths, similarity, shared anchors."""
+def span_pairs(candidates: Records, spans: DataFrame) -> DataFrame:
+    """Pairs of spans of one field that are equal, or share an exclusive anchor: paths, whether they are equal, shared anchors."""
     c = _as("candidate", candidates.leaves).select("candidate_id", "field", F.col("path").alias("c_path"), F.col("span").alias("c_span"))
     r = _as("reference", spans).select("reference_id", "field", F.col("path").alias("r_path"), F.col("span").alias("r_span"), "anchors")
-    words = c.select("candidate_id", "field", "c_path", "c_span", F.explode(X.content_words(F.col("c_span"), lambda x: x)).alias("word"))
-    near = words.join(r.withColumn("word", F.explode("anchors")), ["field", "word"]).drop("word").distinct()
-    same = c.join(r.withColumn("c_span", F.col("r_span")), ["field", "c_span"])
-    both = near.unionByName(same).distinct()
-    shared = F.array_sort(F.array_intersect("anchors", X.content_words(F.col("c_span"), lambda x: x)))
-    as_struct = lambda s: F.struct(_words(F.col(s)).alias("words"), gram_hashes(F.col(s)).alias("grams"))
-    scored = both.withColumns({"a": as_struct("c_span"), "b": as_struct("r_span"), "shared": shared})
-    scored = scored.withColumn("similarity", _similar(F.col("a"), F.col("b"), F.col("c_span") == F.col("r_span")))
-    return scored.where(F.col("similarity") >= SPAN_REVIEW).select(*KEY, "c_path", "r_path", "similarity", "shared")
+    anchors = r.select("field", F.explode("anchors").alias("word")).distinct()
+    words = c.select("candidate_id", "field", "c_path", F.explode(X.content_words(F.col("c_span"), lambda x: x)).alias("word")).join(anchors, ["field", "word"], "left_semi")
+    near = words.join(r.select("reference_id", "field", "r_path", F.explode("anchors").alias("word")), ["field", "word"])
+    near = near.select(*KEY, "c_path", "r_path", F.lit(False).alias("equal"), "word")
+    same = c.join(r.withColumn("c_span", F.col("r_span")), ["field", "c_span"]).select(*KEY, "c_path", "r_path", F.lit(True).alias("equal"), F.lit(None).cast("string").alias("word"))
+    return near.union(same).groupBy(*KEY, "c_path", "r_path").agg(F.bool_or("equal").alias("equal"), F.array_sort(F.collect_set("word")).alias("shared"))
 
 
 def _by_concepts(candidates: Records, references: Records) -> DataFrame:
@@ -180,29 +233,44 @@ def pairs(candidates: DataFrame, references: DataFrame, allowed: DataFrame, fiel
     path = scratch(candidates.sparkSession, "pairs")
     c_, r_ = (lambda df: _as("candidate", df)), (lambda df: _as("reference", df))
 
-    by_anchor = c_(cand.column("content", "word")).join(r_(index["anchors"]), "word").groupBy(KEY).agg(F.array_sort(F.collect_set("word")).alias("shared_anchors"))
-    by_id = c_(cand.column("ids", "id")).join(r_(index["ids"]), "id").groupBy(KEY).agg(F.array_sort(F.collect_set("id")).alias("shared_ids"))
+    words = cand.column("content", "word").join(index["anchors"].select("word").distinct(), "word", "left_semi")
+    by_anchor = stored(c_(words).join(r_(index["anchors"]), "word").groupBy(KEY).agg(F.array_sort(F.collect_set("word")).alias("shared_anchors")), f"{path}/anchors")
+    by_id = stored(c_(cand.column("ids", "id")).join(r_(index["ids"]), "id").groupBy(KEY).agg(F.array_sort(F.collect_set("id")).alias("shared_ids")), f"{path}/ids")
     by_core = c_(cand.whole.select("case_id", "core")).join(r_(ref.whole.select("case_id", "core")), "core").select(*KEY, F.lit(True).alias("same_core"))
-    spans = stored(span_matches(cand, index["spans"]), f"{path}/spans")
+    near_spans = stored(span_pairs(cand, index["spans"]), f"{path}/near-spans")
+    exact = c_(cand.fields.select("case_id", "field", "form")).join(r_(index["fields"].select("case_id", "field", "form")), ["field", "form"]).select(KEY)
+
+    # spans first: only those that are alike count as evidence
+    item = lambda kind, side, name=None: _item(kind, name, f"{side}_id")
+    both = lambda df, kind, a=None, b=None: df.select(item(kind, "candidate", a).alias("a"), item(kind, "reference", b).alias("b"))
+    named = lambda df, side: df.select(F.col(side).alias("item"))
+    unlike = stored(both(near_spans.where("not equal"), "s", "c_path", "r_path"), f"{path}/span-items")
+    span_sim = stored(similarities(unlike, cand.items([named(unlike, "a")]), ref.items([named(unlike, "b")]), f"{path}/span-sets"), f"{path}/span-sim")
+    spans = near_spans.withColumns({"a": item("s", "candidate", "c_path"), "b": item("s", "reference", "r_path")}).join(span_sim, ["a", "b"], "left")
+    spans = spans.withColumn("similarity", F.when(F.col("equal"), 1.0).otherwise(F.col("similarity"))).where(F.col("similarity") >= SPAN_REVIEW)
     listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "c_path", "r_path", "similarity", "shared"))), 1, SPANS_LISTED)
     blocks = (F.col("similarity") >= SPAN_BLOCK) & ((F.col("similarity") == 1.0) | (F.size("shared") > 0))
     by_span = spans.groupBy(KEY).agg(F.max("similarity").alias("max_span"), F.count(F.lit(1)).alias("spans"), F.bool_or(blocks).alias("span_blocks"), F.bool_or(F.size("shared") > 0).alias("span_anchored"), listed.alias("l"))
-    by_span = by_span.withColumn("span_matches", F.transform("l", lambda x: x.dropFields("order"))).drop("l")
-    exact = c_(cand.fields.select("case_id", "field", "form")).join(r_(index["fields"].select("case_id", "field", "form")), ["field", "form"]).select(KEY)
+    by_span = stored(by_span.withColumn("span_matches", F.transform("l", lambda x: x.dropFields("order"))).drop("l"), f"{path}/spans")
     found = stored(reduce(DataFrame.union, [x.select(KEY) for x in (by_anchor, by_id, by_core, by_span, exact, _by_concepts(cand, ref))]).distinct(), f"{path}/found")
 
-    field = lambda name: F.struct(_words(F.col("form")).alias("words"), gram_hashes(F.col("form")).alias("grams"), "canonical").alias(name)
-    a = c_(cand.fields).join(found.select("candidate_id").distinct(), "candidate_id", "left_semi").select("candidate_id", "field", field("a"))
-    b = r_(index["fields"]).join(found.select("reference_id").distinct(), "reference_id", "left_semi").select("reference_id", "field", field("b"))
-    per_field = found.join(a, "candidate_id").join(b, ["reference_id", "field"]).withColumn("same", F.col("a.canonical") == F.col("b.canonical")).withColumn("s", _similar(F.col("a"), F.col("b"), F.col("same")))
+    # records and fields of the pairs found: names and prints travel, sets go once to each block of references
+    print_ = F.md5(F.col("canonical").cast("binary"))
+    a = c_(cand.fields.select("case_id", "field", print_.alias("a_print")))
+    b = r_(index["fields"].select("case_id", "field", print_.alias("b_print")))
+    per_field = stored(found.join(a, "candidate_id").join(b, ["reference_id", "field"]).select(*KEY, "field", (F.col("a_print") == F.col("b_print")).alias("same")), f"{path}/field-pairs")
+    asked = stored(both(found, "w").union(both(per_field.where("not same"), "f", "field", "field")), f"{path}/items")
+    sim = stored(similarities(asked, cand.items([named(asked, "a")]), ref.items([named(asked, "b")]), f"{path}/sets"), f"{path}/sim")
+    per_field = per_field.withColumns({"a": item("f", "candidate", "field"), "b": item("f", "reference", "field")}).join(sim, ["a", "b"], "left").withColumn("s", F.when(F.col("same"), 1.0).otherwise(F.col("similarity")))
     names = lambda keep: F.array_sort(F.collect_set(F.when(keep, F.col("field"))))
     by_field = per_field.groupBy(KEY).agg(F.max("s").alias("max_field"), names(F.col("same")).alias("exact_fields"), names(F.col("s") >= FIELD_NEAR).alias("near_fields"))
 
     totals = r_(index["anchors"].groupBy("case_id").agg(F.count(F.lit(1)).alias("all_anchors")))
-    j = found
+    j = found.withColumns({"a": item("w", "candidate"), "b": item("w", "reference")}).join(sim.withColumnRenamed("similarity", "record_similarity"), ["a", "b"], "left").drop("a", "b")
     for part in (by_anchor, by_id, by_core, by_span, by_field):
         j = j.join(part, KEY, "left")
-    j = j.join(totals, "reference_id", "left").join(c_(cand.whole).alias("c"), "candidate_id").join(r_(ref.whole).alias("r"), "reference_id")
+    read = ["case_id", "print", "concepts", "numbers", "lang", "roles"]
+    j = j.join(totals, "reference_id", "left").join(c_(cand.whole.select(read)).alias("c"), "candidate_id").join(r_(ref.whole.select(read)).alias("r"), "reference_id")
     return _decided(j)
 
 
@@ -211,7 +279,7 @@ def _decided(j: DataFrame) -> DataFrame:
     none = F.array().cast(_STRINGS)
     both = lambda name: F.array_sort(F.array_intersect(f"c.{name}", f"r.{name}"))
     j = j.withColumns({
-        "record_similarity": F.when(F.col("c.form") == F.col("r.form"), 1.0).otherwise(X.blended(F.col("c.words"), F.col("r.words"), F.col("c.grams"), F.col("r.grams"))),
+        "record_similarity": F.when(F.col("c.print") == F.col("r.print"), 1.0).otherwise(F.col("record_similarity")),
         **{name: F.coalesce(name, none) for name in ("shared_anchors", "shared_ids", "exact_fields", "near_fields")},
         **{name: F.coalesce(name, F.lit(0.0)) for name in ("max_field", "max_span")}, "spans": F.coalesce("spans", F.lit(0)),
         **{name: F.coalesce(name, F.lit(False)) for name in ("same_core", "span_blocks", "span_anchored")},

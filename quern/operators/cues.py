@@ -103,10 +103,14 @@ def pointer_path(pointer: str) -> str:
 
 
 def merged(base: Column, patch: Column, drop: Column) -> Column:
-    """A map of dotted paths to values with those of `patch` over those of `base`, without the paths of `drop` and below."""
-    both = F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(patch), k)), patch)
-    below = lambda k: F.exists(drop, lambda d: (k == d) | F.startswith(k, F.concat(d, F.lit("."))))
-    return F.map_filter(both, lambda k, _: ~below(k))
+    """A map of dotted paths to values with those of `patch` over those of `base`, without the paths of `drop` and below.
+
+    A patch at a.b takes the place of a value at a, and one at a that of all values below it, as in nested objects.
+    """
+    below = lambda k, d: F.startswith(k, F.concat(d, F.lit(".")))
+    keys = F.map_keys(patch)
+    kept = F.map_filter(base, lambda k, _: ~F.exists(keys, lambda p: (p == k) | below(k, p) | below(p, k)))
+    return F.map_filter(F.map_concat(kept, patch), lambda k, _: ~F.exists(drop, lambda d: (k == d) | below(k, d)))
 
 
 def context_lines(lines: DataFrame, keys: list[str], line: str, position: str, most: int = 6) -> DataFrame:

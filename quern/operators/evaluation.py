@@ -128,6 +128,15 @@ def error_count(errors: Column) -> Column:
     return F.sum(F.coalesce(F.size(errors), F.lit(0)))
 
 
+def errors_in(value: Column) -> Column:
+    """How many errors a JSON value tells: a list's length, one for a text that isn't blank (JSON or not), none for null and the rest."""
+    v = F.try_parse_json(value)
+    listed = F.size(F.try_variant_get(v, "$", "array<variant>"))
+    kind = F.schema_of_variant(v)
+    told = F.coalesce(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), F.when(v.isNull(), value))
+    return F.when(F.startswith(kind, F.lit("ARRAY")), listed).when(F.trim(told) != "", 1).otherwise(0)
+
+
 # ---- sessions and criteria
 
 

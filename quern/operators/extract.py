@@ -166,8 +166,12 @@ CONDITIONS = [
 ]
 
 
-def conditions(text: Column, variable: str) -> Column:
-    """array<struct<operator, value, low, high>> of what is said about a numeric variable, in reading order."""
+def conditions(text: Column, variable: str, others: tuple[str, ...] = ()) -> Column:
+    """array<struct<operator, value, low, high>> of what is said about a numeric variable, in reading order.
+
+    A comparison is not the variable's where one of `others` (patterns of names) is said between them.
+    """
+    foreign = [re.compile(rf"\b(?:{o})\b", re.I) for o in others]
     compiled = [(op, re.compile(rf"\b{variable}\b[^.;\n]{{0,20}}?{p}", re.I)) for op, p in CONDITIONS]
     kind = "array<struct<operator: string, value: double, low: double, high: double>>"
     arrow = pa.list_(pa.struct([("operator", pa.string()), ("value", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]))
@@ -176,7 +180,7 @@ def conditions(text: Column, variable: str) -> Column:
         found, taken = [], []
         for op, p in compiled:
             for m in p.finditer(s):
-                if any(a < m.end() and m.start() < b for a, b in taken):
+                if any(a < m.end() and m.start() < b for a, b in taken) or any(o.search(m[0], len(variable)) for o in foreign):
                     continue
                 taken.append(m.span())
                 low, high = (float(m[1]), float(m[2])) if op == "RANGE" else (None, None)

@@ -125,9 +125,9 @@ def merge_vaults(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def watch_events(events: DataFrame, watched: DataFrame, since: Column) -> DataFrame:
-    """Events (entity, event_date as text) of watched entities from a date on; partial dates are their first day, unreadable ones stay."""
+    """Events (entity, event_date as text) of watched entities from a date on; partial dates are their first day, those like `Mar 05, 2024` are read too, unreadable ones stay."""
     d = F.col("event_date")
-    day = F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy")])
+    day = F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy", "MMM d, yyyy")])
     return events.join(watched.select("entity").distinct(), "entity", "left_semi").where(day.isNull() | (day >= since)).orderBy(F.desc("event_date"), "entity")
 
 

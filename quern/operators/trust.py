@@ -67,9 +67,21 @@ def core_digest(text: Column, fields: tuple[str, ...] = CORE_FIELDS) -> Column:
 
 
 def aggregate_digest(files: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
-    """One digest of all files: of the sorted lines `digest  path`.  Files of one asset are few thousand lines of text."""
-    line = F.concat(F.col(digest), F.lit("  "), F.col(path))
-    return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("aggregate"))
+    """(files, aggregate): one digest of the sorted lines `digest  path`, joined by newlines; no files give that of nothing.
+
+    Spark sorts the lines by ranges; they pass through one digest in their order, a batch at a time, and are never gathered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, h = 0, sha256()
+        for batch in batches:
+            for line in batch["line"].to_pylist():
+                h.update(("\n" if n else "").encode() + line.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=["files", "aggregate"])
+
+    lines = files.select(F.concat(F.col(digest), F.lit("  "), F.col(path)).alias("line")).where("line is not null").orderBy("line")
+    return lines.coalesce(1).mapInArrow(run, "files long, aggregate string")
 
 
 def policy_violations(cases: DataFrame, sources: DataFrame) -> DataFrame:

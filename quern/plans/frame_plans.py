@@ -1,44 +1,52 @@
-"""Frames, segments, registries and probed regions over rows made from the driver's tables."""
+"""Segments and bound conditions of documents; frames, registries and probed regions over rows made from the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.operators import frames
 
-from .registry import Derived, query
+from .registry import Derived, query, table
 
-_TEXT = Derived("customer", {"note": "c_custkey", "text": "CASE c_custkey % 4 WHEN 0 THEN 'Stop drug; start other, but watch' WHEN 1 THEN 'Only one' WHEN 2 THEN 'A while B yet C' ELSE 'x, and  y ;' END"})
-_PARTS = [
-    [("stop drug", 0), ("start other", 11), ("watch", 28)], [("only one", 0)], [("a", 0), ("b", 8), ("c", 14)], [("x", 0), ("y", 8)],
-]
+#: What counts as an event and as a condition in the invented words of documents.
+_EVENT, _CONDITION = "[a-z]+tion", "[a-z]+ing"
 
 
-@query(
-    "WITH p(k, number, segment, start) AS (VALUES " + ", ".join(f"({k}, {n}, '{s}', {at})" for k, rows in enumerate(_PARTS) for n, (s, at) in enumerate(rows)) + ") "
-    'SELECT c_custkey AS note, CAST(number AS INTEGER) AS number, segment, CAST(start AS INTEGER) AS start, CAST(start + length(segment) AS INTEGER) AS "end" FROM customer JOIN p ON k = c_custkey % 4'
-)
-def coordination_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.segments(_TEXT.rows(spark, sf_dir), "note").withColumn("number", F.col("number").cast("int"))
+def _places(pattern: str, name: str, of: str = "t") -> str:
+    """A CTE of the pattern's matches: doc_id, raw (what stands before), m (the match), beg (where raw begins)."""
+    return f"""{name}0 AS (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS parts, list_append(regexp_extract_all(t, '{pattern}'), '') AS ms FROM {of}),
+{name}1 AS (SELECT doc_id, unnest(parts) AS raw, unnest(ms) AS m, generate_subscripts(parts, 1) - 1 AS number FROM {name}0),
+{name} AS (SELECT *, coalesce(sum(length(raw) + length(m)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM {name}1)"""
+
 
+_SEGMENTS = f"""WITH t AS (SELECT doc_id, lang, lower(text) AS t FROM documents WHERE text IS NOT NULL), {_places(frames.SEPARATOR, "g")},
+seg AS (SELECT doc_id, number, regexp_replace(raw, '^[ ,;]+|[ ,;]+$', '', 'g') AS segment, beg + length(raw) - length(regexp_replace(raw, '^[ ,;]+', '')) AS start FROM g),
+s AS (SELECT *, start + length(segment) AS e FROM seg WHERE segment <> '')"""
 
-_EVENTS = Derived("orders", {"note": "o_orderkey", "kind": "o_orderstatus", "start": "CAST(o_orderkey % 40 AS INT)", "condition": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'inherited' END"})
-_CONDS = Derived("lineitem", {"note": "l_orderkey", "start": "CAST(l_partkey % 40 AS INT)", "condition": "concat('c', CAST(l_partkey % 40 AS STRING))"})
+
+@query(f'{_SEGMENTS} SELECT doc_id, CAST(number AS INTEGER) AS number, segment, CAST(start AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM s')
+def coordination_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut where an independent statement begins."""
+    return frames.segments(table(spark, sf_dir, "documents"), "doc_id").withColumn("number", F.col("number").cast("int"))
 
 
 @query(
-    f"""
-WITH e AS ({_EVENTS.sql()}), c AS (SELECT DISTINCT * FROM ({_CONDS.sql()})), x AS (SELECT *, CASE WHEN start < 20 THEN 0 ELSE 20 END AS s FROM e),
-n AS (SELECT x.note, min_by(c.condition, abs(c.start - x.start) * 1000 + c.start) AS near FROM x JOIN c ON c.note = x.note AND c.start >= s AND c.start < s + 20 GROUP BY 1)
-SELECT x.note, kind, start, CASE WHEN near IS NOT NULL THEN near WHEN x.condition IS NOT NULL AND s > 0 THEN NULL ELSE x.condition END AS condition, CASE WHEN near IS NOT NULL THEN 'nearest' WHEN x.condition IS NOT NULL AND s > 0 THEN 'dropped' ELSE 'kept' END AS rebind FROM x LEFT JOIN n USING (note)
-"""
+    f"""{_SEGMENTS}, {_places(_EVENT, "v")}, {_places(_CONDITION, "w")}, ev AS (SELECT doc_id, m AS kind, beg + length(raw) AS start FROM v WHERE m <> ''), co AS (SELECT doc_id, m AS condition, beg + length(raw) AS c FROM w WHERE m <> ''),
+x AS (SELECT ev.*, s.start AS s, s.e, t.lang FROM ev JOIN s ON s.doc_id = ev.doc_id AND ev.start >= s.start AND ev.start < s.e JOIN t ON t.doc_id = ev.doc_id),
+n AS (SELECT x.doc_id, x.start, min_by(co.condition, abs(co.c - x.start) * 1000000 + co.c) AS near FROM x JOIN co ON co.doc_id = x.doc_id AND co.c >= x.s AND co.c < x.e GROUP BY 1, 2)
+SELECT x.doc_id, kind, CAST(x.start AS INTEGER) AS start, CASE WHEN near IS NOT NULL THEN near WHEN s > 0 THEN NULL ELSE lang END AS condition, CASE WHEN near IS NOT NULL THEN 'nearest' WHEN s > 0 THEN 'dropped' ELSE 'kept' END AS rebind
+FROM x LEFT JOIN n ON n.doc_id = x.doc_id AND n.start = x.start"""
 )
 def segment_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions bound to the events of their own segment."""
-    e = _EVENTS.rows(spark, sf_dir)
-    halves = e.select("note", F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(20).alias("end")), F.struct(F.lit(20).alias("start"), F.lit(40).alias("end")))).alias("x")).select("note", "x.*")
-    return frames.bound_in_segment(e, _CONDS.rows(spark, sf_dir).distinct(), halves, "note")
+    """Events in documents, bound to the conditions of their own segments; all have the document's language as an inherited one."""
+    docs = table(spark, sf_dir, "documents")
+    spots = docs.select("doc_id", "lang", F.explode(X.spans(F.lower("text"), {"event": _EVENT, "condition": _CONDITION})).alias("m"), F.lower("text").alias("t"))
+    spots = spots.select("doc_id", "lang", "m.kind", "m.start", F.substring(F.col("t"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("word"))
+    events = spots.where("kind = 'event'").select("doc_id", F.col("word").alias("kind"), "start", F.col("lang").alias("condition"))
+    conditions = spots.where("kind = 'condition'").select("doc_id", "start", F.col("word").alias("condition"))
+    return frames.bound_in_segment(events, conditions, frames.segments(docs, "doc_id"), "doc_id")
 
 
 _FRAMES = Derived("lineitem", {"text_id": "l_orderkey", "pos": "l_linenumber * 100000 + l_partkey", "event": "CASE l_suppkey % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'start' WHEN 2 THEN 'deny' ELSE 'unknown' END", "subject": "concat('s', CAST(l_partkey % 2 AS STRING))", "object": "'o'", "population": "CASE WHEN l_quantity > 25 THEN 'adult' END", "condition": "CAST(NULL AS STRING)"})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import core
@@ -30,6 +30,19 @@ def create_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def create_report(spark: SparkSession, sections: dict[str, DataFrame], path: str, most: int = 1000) -> None:
+    """One JSON object, {section: [rows]}, in a new folder; sections are small aggregates, and one of over `most` rows is refused.
+
+    Rows come in the order of their columns.  An empty section is an empty list; an existing path is an error.
+    """
+    one = spark.range(1).select(F.lit(1).alias("__k"))
+    for name, df in sections.items():
+        if df.limit(most + 1).count() > most:
+            raise ContractViolation(f"section {name} has over {most} rows")
+        one = one.join(df.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name)))
+    create_lines(one.drop("__k").coalesce(1), path)
+
+
 def training_rows(evaluations: DataFrame, runs: DataFrame, sft: str, preference: str) -> DataFrame:
     """Writes approved candidates as SFT or preference rows; returns the counts by kind.
 

@@ -81,7 +81,8 @@ def aggregate_digest(files: DataFrame, path: str = "path", digest: str = "sha256
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=["files", "aggregate"])
 
     lines = files.select(F.concat(F.col(digest), F.lit("  "), F.col(path)).alias("line")).where("line is not null").orderBy("line")
-    return lines.coalesce(1).mapInArrow(run, "files long, aggregate string")
+    one = lines.coalesce(1).mapInArrow(run, "files long, aggregate string").agg(F.max("files").alias("f"), F.max("aggregate").alias("a"))
+    return one.select(F.coalesce("f", F.lit(0)).cast("long").alias("files"), F.coalesce("a", F.lit(sha256(b"").hexdigest())).alias("aggregate"))
 
 
 def policy_violations(cases: DataFrame, sources: DataFrame) -> DataFrame:

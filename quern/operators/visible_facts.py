@@ -52,28 +52,28 @@ def declared(clause: Column) -> Column:
 
 
 def clauses(turns: DataFrame, key: str, turn: str, text: str = "text") -> DataFrame:
-    """(key, turn, at, raw, asks, corrected, d): clauses in order, whether their sentence asks, and what they declare."""
-    s = turns.select(key, turn, F.col(text).alias("__t"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))).alias("s", "sentence"))
-    parts = F.transform(F.split(F.regexp_replace("sentence", r"[。！!；;\n]+$", ""), "[，,]+"), lambda c: F.trim(c))
-    s = s.withColumn("parts", parts)
+    """(key, turn, __at, __raw, __bare, __asks, __sentence, __corrected, __d): clauses in order, whether their sentence asks, and what they declare."""
+    s = turns.select(key, turn, F.col(text).alias("__t"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))).alias("__s", "__sentence"))
+    parts = F.transform(F.split(F.regexp_replace("__sentence", r"[。！!；;\n]+$", ""), "[，,]+"), lambda c: F.trim(c))
+    s = s.withColumn("__parts", parts)
     # a clause that says that something is unknown doesn't ask, though its label may hold a question's word
-    doubtful = F.exists("parts", lambda c: c.rlike(QUESTION) & ~F.coalesce(declared(c)["status"] == "unknown", F.lit(False)))
-    s = s.withColumn("asks", F.col("sentence").rlike("[?？]") | doubtful)
-    c = s.select(key, turn, "__t", "s", "asks", F.trim("sentence").alias("sentence"), F.posexplode("parts").alias("c", "raw")).where("raw <> ''")
-    c = c.withColumn("bare", F.trim(F.regexp_replace("raw", CORRECTION, "")))
-    w = Window.partitionBy(key, turn).orderBy("__t", "s", "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    corrected = F.coalesce(F.max(~F.col("asks") & F.col("raw").rlike(CORRECTION)).over(w), F.lit(False))
-    return c.withColumns({"corrected": corrected, "d": declared(F.col("bare")), "at": F.struct("__t", "s", "c")})
+    doubtful = F.exists("__parts", lambda c: c.rlike(QUESTION) & ~F.coalesce(declared(c)["status"] == "unknown", F.lit(False)))
+    s = s.withColumn("__asks", F.col("__sentence").rlike("[?？]") | doubtful)
+    c = s.select(key, turn, "__t", "__s", "__asks", F.trim("__sentence").alias("__sentence"), F.posexplode("__parts").alias("__c", "__raw")).where("__raw <> ''")
+    c = c.withColumn("__bare", F.trim(F.regexp_replace("__raw", CORRECTION, "")))
+    w = Window.partitionBy(key, turn).orderBy("__t", "__s", "__c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    corrected = F.coalesce(F.max(~F.col("__asks") & F.col("__raw").rlike(CORRECTION)).over(w), F.lit(False))
+    return c.withColumns({"__corrected": corrected, "__d": declared(F.col("__bare")), "__at": F.struct("__t", "__s", "__c")})
 
 
 def observations(turns: DataFrame, key: str, turn: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(declarations (key, turn, fact, value, status, corrected), what was not read (key, turn, text, reason))."""
     c = clauses(turns, key, turn, text)
-    told = c.where("not asks and d is not null").groupBy(key, turn, F.col("d.key").alias("fact")).agg(
-        F.count_distinct(F.struct(F.col("d.value").isNull(), F.coalesce("d.value", F.lit("")), "d.status")).alias("ways"), F.max_by("d", "at").alias("d"), F.max_by("corrected", "at").alias("corrected")
+    told = c.where("not __asks and __d is not null").groupBy(key, turn, F.col("__d.key").alias("fact")).agg(
+        F.count_distinct(F.struct(F.col("__d.value").isNull(), F.coalesce("__d.value", F.lit("")), "__d.status")).alias("__ways"), F.max_by("__d", "__at").alias("__d"), F.max_by("__corrected", "__at").alias("corrected")
     )
-    declarations = told.where("ways = 1").select(key, turn, "fact", F.col("d.value").alias("value"), F.col("d.status").alias("status"), "corrected")
-    asked = c.where("asks").select(key, turn, F.col("sentence").alias("text"), F.lit("question_not_declaration").alias("reason"), "s").distinct().drop("s")
-    outside = c.where("not asks and d is null and bare <> ''").select(key, turn, F.col("raw").alias("text"), F.lit("outside_supported_rules").alias("reason"))
-    unsettled = told.where("ways > 1").select(key, turn, F.col("fact").alias("text"), F.lit("within_turn_conflict").alias("reason"))
+    declarations = told.where("__ways = 1").select(key, turn, "fact", F.col("__d.value").alias("value"), F.col("__d.status").alias("status"), "corrected")
+    asked = c.where("__asks").select(key, turn, F.col("__sentence").alias("text"), F.lit("question_not_declaration").alias("reason"), "__s").distinct().drop("__s")
+    outside = c.where("not __asks and __d is null and __bare <> ''").select(key, turn, F.col("__raw").alias("text"), F.lit("outside_supported_rules").alias("reason"))
+    unsettled = told.where("__ways > 1").select(key, turn, F.col("fact").alias("text"), F.lit("within_turn_conflict").alias("reason"))
     return declarations, asked.union(outside).union(unsettled)

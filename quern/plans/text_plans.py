@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.functions.automaton import Cues
 from quern.functions.scratch import scratch, stored
 from quern.operators import core
 from quern.operators.components import components
@@ -99,20 +100,21 @@ def conv_user_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "text")
     cut = own.where("conv_id % 3 = 0").select((-1 - F.col("conv_id")).alias("conv_id"), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") * 9 / 10).cast("int")).alias("text"))
     turns = own.union(cut).select("conv_id", X.dense_form(F.col("text"), X.light_fold).alias("s")).select("conv_id", F.explode(X.char_ngrams(F.col("s"), 3)).alias("g"))
-    return core.similar_pairs(turns.groupBy("conv_id").agg(F.collect_set("g").alias("set")), "conv_id", "set", 0.5, 1, 2)
+    return core.similar_pairs(turns.groupBy("conv_id").agg(F.collect_set(F.xxhash64("g")).alias("set")), "conv_id", "set", 0.5, 1, 2)
 
 
 # ---- lineage: protected items against an allowed corpus
 
 
-MOST_SHORT = 1000
+#: Bytes of short items that one automaton holds; more of them take further passes over the texts.
+SHORT_BYTES = 8 << 20
 
 
 def _truth(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the document holds the item's whole text.
 
     A probe of four inner words of the item finds the few pairs for which the texts are compared.  Items of under six
-    words have no four inner words and are looked for in every text; there may be at most MOST_SHORT of them.
+    words have no four inner words: all of them are looked for in one pass over each text, in blocks of SHORT_BYTES.
     """
     w = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
     gram = lambda c, i: F.xxhash64(*[F.get(F.col(c), i + k) for k in range(4)])
@@ -120,14 +122,17 @@ def _truth(docs: DataFrame, items: DataFrame) -> DataFrame:
     probes = sized.where(F.size("w") >= 6).select("item_id", F.col("text").alias("item"), gram("w", F.lit(1)).alias("g"))
     grams = docs.select("doc_id", w("text").alias("w")).where(F.size("w") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: gram("w", i)))).alias("g"))
     found = grams.join(probes, "g").select("doc_id", "item_id", "item").join(docs.select("doc_id", "text"), "doc_id")
-    # a benchmark's short items are few; past MOST_SHORT the plan must not pair them with all texts
-    short = sized.where(F.size("w") < 6).select("item_id", F.col("text").alias("item"))
-    some = short.limit(MOST_SHORT + 1).count()
-    if some > MOST_SHORT:
-        raise ValueError(f"over {MOST_SHORT} items of under six words")
-    if some:
-        found = found.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id", "item", "text"))
-    return found.where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    truth = found.where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    short = sized.where(F.size("w") < 6).groupBy(F.col("text").alias("item")).agg(F.collect_set("item_id").alias("ids"))
+    short = stored(short, scratch(docs.sparkSession, "short-items"))
+    blocks = -(-(short.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // SHORT_BYTES)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        cues = Cues(sorted(r["item"] for r in block.select("item").collect()))  # the block's bytes
+        names = docs.sparkSession.createDataFrame(list(enumerate(cues.cues)), "cue int, item string")
+        hits = docs.select("doc_id", F.explode(cues.found(F.col("text"))).alias("cue")).join(names, "cue").join(block, "item")
+        truth = truth.union(hits.select("doc_id", F.explode("ids").alias("item_id")))
+    return truth
 
 
 def _spans(df: DataFrame, key: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_atomic_ladder(spark):
 
 def test_ladders_of_labels_and_frames(spark):
     cases = [
-        (1, "Reports cannot establish a causal link.", "This proves causality.", "causality_level_conflict", "causal_polarity_conflict"), (2, "", "", "insufficient_semantic_match", "very_high_frame_overlap"), (3, None, None, "insufficient_semantic_match", "very_high_frame_overlap"),
+        (1, "Reports cannot by themselves establish a causal link.", "This proves causality, it proves that.", "causality_level_conflict", "causal_polarity_conflict"), (2, "", "", "insufficient_semantic_match", "very_high_frame_overlap"), (3, None, None, "insufficient_semantic_match", "very_high_frame_overlap"),
         (4, "The registry has no efficacy result.", "It proves efficacy.", "registration_to_efficacy_escalation", "registry_without_efficacy_result"), (5, "Discontinue below 30.", "Discontinue at eGFR 20.", "threshold_rule_application", "shared_bounded_modality:DISCONTINUE"),
         (6, "Initiation: eGFR 30 to 45.", "Starting at eGFR 40.", "range_rule_application", "partial_frame_overlap"), (7, "alpha beta gamma delta", "alpha beta gamma", "very_high_literal_entailment", "very_high_frame_overlap"),
     ]

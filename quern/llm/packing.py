@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from . import common, minhash
 from . import textkernel as K
+from .mixing import n_words
 
 CAPACITY = 2048
 SHARD = 8192
@@ -140,14 +141,17 @@ def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(n), pa.array(cluster, mask=n == 0)], ["n", "cluster"])
 
 
-def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """A row for each piece: its document, words, bin and place in the bin."""
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD, size: Column | None = None) -> DataFrame:
+    """A row for each piece: its document, words, bin and place in the bin.  size: words that were counted before (with a cluster)."""
     spark = docs.sparkSession
     shards = max(1, -(-docs.count() // shard))
     tasks = min(shards, max(2 * spark.sparkContext.defaultParallelism, shards // SHARDS_A_TASK))
     own = F.lit(None).cast("long") if cluster is None else cluster.cast("long")
-    light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("own"), measured(F.col(text)).alias("m"))
-    light = light.select("doc_id", "source", F.col("m.cluster" if cluster is None else "own").alias("cluster"), F.col("m.n").alias("n"))
+    keys = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source")]
+    if size is not None and cluster is not None:
+        light = docs.select(*keys, own.alias("cluster"), size.cast("long").alias("n"))
+    else:
+        light = docs.select(*keys, own.alias("own"), measured(F.col(text)).alias("m")).select("doc_id", "source", F.col("m.cluster" if cluster is None else "own").alias("cluster"), F.col("m.n").alias("n"))
     light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(shards))).repartition(tasks, "shard")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -163,8 +167,11 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 def packed_apart(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", words: int = 5, percent: int = 80, **how) -> DataFrame:
     """packed() with the groups of near-duplicates as clusters.  Rows with a null id take the text's hash as id for the grouping."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).withColumn("name", F.coalesce("doc_id", F.xxhash64("text")))
+    name = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), name.alias("name"))
     found = minhash.groups(own, doc_id="name", words=words, percent=percent).where("n_shingles > 0").select("row.id", "row.fp", "component_id").distinct()
-    key = common.row_key(F.col("name"), F.col("text"))
-    rows = own.withColumn("row", key).withColumn("id", F.col("row.id")).withColumn("fp", F.col("row.fp")).drop("row").join(found, ["id", "fp"], "left")
-    return packed(rows, cluster=F.col("component_id"), **how)
+    # words are counted where the texts are read; ids and prints meet the groups, texts don't travel
+    row = common.row_key(F.col("name"), F.col("text"))
+    rows = own.select("doc_id", "source", row["id"].alias("id"), row["fp"].alias("fp"), n_words(F.col("text")).alias("n")).join(found, ["id", "fp"], "left")
+    rows = common.stored(rows.select("doc_id", "source", "component_id", "n"), common.scratch(docs.sparkSession, "packing"))
+    return packed(rows, cluster=F.col("component_id"), size=F.col("n"), **how)

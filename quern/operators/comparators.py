@@ -1,4 +1,8 @@
-"""Comparators for lineage: TF-IDF cosines, a learned pair model, edit blends, thresholds, and variants to test with."""
+"""Comparators for lineage: TF-IDF cosines, a learned pair model, edit blends, thresholds, and variants to test with.
+
+Defined cases: null scores or labels count in neither class; equal scores share a threshold; a corpus of one record has no other to
+compare with; rows that repeat count each; empty tables give no pairs, and a threshold above all scores; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

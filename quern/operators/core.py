@@ -1,7 +1,14 @@
-"""Relational operators that the plans share: keyed picks, joins by rank, fallback and containment."""
+"""Relational operators that the plans share: keyed picks, joins by rank, fallback and containment.
+
+Null keys are a group of their own in pick(), top() and numbered(), and meet nothing in joins; rows that repeat count each,
+where an order is asked for all of its ties must be settled by it; texts are read whole; empty tables give empty results; extra
+columns stay where rows pass through, and are ignored else.  Names that begin with two underscores are the operators' own.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +52,9 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*keys, "__part", before.alias("__before"))
     own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
-    return held.withColumn("__own", own).join(starts, [*keys, "__part"]).withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+    starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__part") == F.col("__p"))
+    return held.withColumn("__own", own).join(starts, same).drop(*[f"__k{i}" for i in range(len(keys))], "__p").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
 
 
 def fallback_join(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[list[str], list[str]], value: str, seq: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Gold against predictions: rankings, bags, spans of rates, session scores and pipelines of stages."""
+"""Gold against predictions: rankings, bags, spans of rates, session scores and pipelines of stages.
+
+Defined cases: null scores, labels and outcomes are unassessed and leave a rate's denominator unless a function says otherwise; a
+rate without a denominator is null; rows that repeat count each; empty tables give no groups, and functions of one row a row of
+zero counts and null rates; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Contracts as tables of violations: policies, graphs, families, releases, pinned artefacts."""
+"""Contracts as tables of violations: policies, graphs, families, releases, pinned artefacts.
+
+Defined cases: null ids are named by the rule that asks for them and meet nothing in joins; rows that repeat break the rules on
+repeats and no others; empty tables break no rule, but a release of nothing fails; texts are hashed whole; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ is asked.  A null text has no cues and stays null; an empty table gives an empty
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,25 +37,36 @@ def plausible_id(number: Column) -> Column:
     return F.coalesce(F.year(day).between(*YEARS) & (F.substring(number, 15, 3) != "000"), F.lit(False))
 
 
+def _edges(texts: list[str], cue: re.Pattern, part: str | int) -> pa.ListArray:
+    """For each text one flat list: start, end, start, end of a cue's matches."""
+    flat, sizes = array("i"), array("i", [0])
+    for t in texts:
+        flat.extend(chain.from_iterable(m.span(part) for m in cue.finditer(t)))
+        sizes.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def cue_spans(text: Column, cues: dict[str, str] | None = None) -> Column:
-    """array<struct<kind, start, end>> of every match, in reading order; dates of numbers are not looked at."""
-    compiled = [(kind, re.compile(p)) for kind, p in (CUES if cues is None else cues).items()]
-    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-    def found(s: str) -> list[tuple]:
-        rows = []
-        for kind, p in compiled:
-            for m in p.finditer(s):
-                a, b = m.span("value" if "value" in p.groupindex else 0)
-                rows.append((a, b, kind))
-        return [{"kind": k, "start": a, "end": b} for a, b, k in sorted(rows)]
-
-    @F.arrow_udf("array<struct<kind: string, start: int, end: int>>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for values in batches:
-            yield pa.array([None if not v.is_valid else found(v.as_py()) for v in values], arrow)
-
-    return run(text)
+    """array<struct<kind, start, end>> of every match, in reading order; dates of numbers are not looked at.
+
+    Tasks give the edges of each kind's matches as a column of numbers; spans are made of them and sorted by Spark.
+    """
+    cues = CUES if cues is None else cues
+    parts = {kind: "value" if "(?P<value>" in p else 0 for kind, p in cues.items()}
+    names = [f"k{n}" for n in range(len(cues))]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: array<int>" for n in names) + ">")
+    def edges(values: pa.Array) -> pa.Array:
+        texts = values.fill_null("").to_pylist()
+        return pa.StructArray.from_arrays([_edges(texts, re.compile(p), parts[kind]) for kind, p in cues.items()], names)
+
+    def of(kind: str, flat: Column) -> Column:
+        pairs = F.filter(F.transform(flat, lambda x, i: F.struct(x.alias("start"), F.get(flat, i + 1).alias("end"), F.lit(kind).alias("kind"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+        return F.transform(pairs, lambda s: F.struct(s["start"], s["end"], s["kind"]))
+
+    # a column of Python stands outside of lambdas, so it is bound once by a list of one
+    made = lambda z: F.transform(F.array_sort(F.concat(*[of(kind, z[n]) for kind, n in zip(cues, names)])), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(edges(text)), made), F.lit(0)))
 
 
 def scan(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Ranking of passages, sections and entities over eligible rows."""
+"""Ranking of passages, sections and entities over eligible rows.
+
+Defined cases: null and empty texts have no terms and are never ranked; null ids are ranked like others; ties go by id; rows that
+repeat an id are one text's terms together; empty tables give empty results; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -52,7 +52,7 @@ _REFERENCE = ("ref", _MARKS, "s", _LABS, "true")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, references, allowed): documents of good quality that are no copy of an item are allowed, the others are candidates."""
+    """(candidates, references, allowed): documents of good quality with even ids are allowed, whatever they hold; the others are candidates."""
     docs, items, labels = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "labels"))
     good = labels.where("quality = 1 AND doc_id % 2 = 0").select("doc_id").distinct()
     as_rows = lambda df: _spark_rows(df, *_DOC, "doc_id")

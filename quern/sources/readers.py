@@ -1,4 +1,8 @@
-"""Readers of documents, JSON lines, pinned bytes, linked notes and event logs."""
+"""Readers of documents, JSON lines, pinned bytes, linked notes and event logs.
+
+Defined cases: an empty folder gives no rows, a missing path is an error of Spark's; null contents have null digests; files are read
+whole, whatever their length; repeated names stay apart by their paths; extra columns of rows that are passed in are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Writers that refuse to overwrite, and reports with every value escaped."""
+"""Writers that refuse to overwrite, and reports with every value escaped.
+
+Defined cases: an empty result is written as an empty table; nulls stay null in JSON and are empty cells in HTML; nothing is written
+where a rule is broken, and an existing path is never overwritten.
+"""
 
 from __future__ import annotations
 

@@ -56,6 +56,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """(host, trust, distrust).  seeds: (host, trusted, blocked), masses of the two kinds.  An error if the walks don't settle in `limit` rounds."""
     spark = links.sparkSession
     path = common.scratch(spark, "hosts")
+    links = common.stored(links, f"{path}/links")  # three aggregates read them
     out = links.groupBy(F.col("src").alias("h")).agg(F.sum("n").alias("w"))
     out = common.stored(out, f"{path}/out")  # aggregates are stored before they are joined back, so a hub host is split
     into = links.groupBy(F.col("dst").alias("h")).agg(F.sum("n").alias("w"))

@@ -194,6 +194,20 @@ def quote_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("q", X.quotes_masked(F.col("text"), F.col("s")).alias("masked"), F.array_join(F.transform("s", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans"))
 
 
+@query(
+    """
+WITH t AS (SELECT doc_id, string_split(replace(text, ',', '"'), '"') AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(p) // 2 AS BIGINT) AS quotations, len(p) % 2 = 0 AS open, md5(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE repeat(' ', length(x) + 1) || CASE WHEN i < len(p) THEN ';' ELSE '' END END), '')) AS masked FROM t
+"""
+)
+def quoted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose commas are taken for quotation marks: their quotations, whether the last is open, and the masked text's digest."""
+    t = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit(","), F.lit('"')).alias("text"))
+    t = t.withColumn("s", X.quoted_spans(F.col("text")))
+    opened = F.exists("s", lambda x: x["kind"] == "open")
+    return t.select("doc_id", F.size("s").cast("long").alias("quotations"), opened.alias("open"), F.md5(X.quotes_masked(F.col("text"), F.col("s")).cast("binary")).alias("masked"))
+
+
 # ---- spans with windows, conditions, sentences
 
 _NOTES = Derived("customer", {

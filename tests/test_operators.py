@@ -68,6 +68,31 @@ def test_similar_pairs_are_exact(spark, seed):
     assert rows_of(got, "a", "b") == sorted(want, key=repr) and want
 
 
+def test_dense_similar_pairs_are_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(core, "BLOCK", 16)  # many blocks, some too far apart in size to meet
+    common = rng.sample(range(-(10**18), 10**18), 90)
+    sets = [(i, rng.sample(common, rng.choice([3, 8, 20, 40, 80]))) for i in range(60)]
+    sets += [(100 + i, s[: max(1, len(s) * 3 // 4)]) for i, s in sets[:30]] + [(200 + i, s[::-1]) for i, s in sets[:6]]
+    want = [(a, b, round(len(set(x) & set(y)) / len(set(x) | set(y)), 6)) for (a, x), (b, y) in combinations(sets, 2) if 2 * len(set(x) & set(y)) >= len(set(x) | set(y))]
+    df = spark.createDataFrame([*sets, (500, []), (501, None)], "i int, s array<bigint>")
+    assert rows_of(core.similar_pairs_dense(df, "i", "s", 1, 2), "a", "b", "similarity") == sorted(want, key=repr) and want
+    assert core.similar_pairs_dense(df.limit(0), "i", "s", 1, 2).count() == 0
+
+
+def test_pairs_of_user_texts_are_not_all_written(spark, tmp_path):
+    """Texts out of few trigrams share prefix tokens nearly all; their pairs must not be shuffled."""
+    rng = random.Random(2)
+    parts = ["th", "er", "in", "on", "re", "an", "ti", "es"]
+    rows = [(k, 0, "user", "".join(rng.choices(parts, k=60))) for k in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from quern.plans import text_plans
+
+    pairs = text_plans.conv_user_similarity(spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan, "pairs are counted after they were shuffled"
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long")), "node", "label"))

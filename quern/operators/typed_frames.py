@@ -160,12 +160,12 @@ DENIED = [
 ]
 #: What ends the nested spans.
 SPAN_ENDS = [("sentence", r"[.!?]\s+"), ("clause", r";\s*"), ("coordination", r",?\s+(?:and|but|whereas|while|yet|or)\s+")]
-_MARKS = "array<struct<kind: string, name: string, start: int, end: int, value: double, low: double, high: double>>"
-_MARKS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]))
+_MARKS = "array<struct<kind: string, name: string, start: int, end: int, value: double, low: double, high: double, around: string>>"
+_MARKS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("around", pa.string())]))
 
 
 def marks(text: Column) -> Column:
-    """Every event, condition, variable, reference and end of a span in a text in normal form, in one pass, by place."""
+    """Every event (with the text around it), condition, variable, reference and end of a span in a text in normal form, in one pass, by place."""
     table = [("event", n, re.compile(p)) for n, p in EVENTS.items()] + [("condition", op, re.compile(p)) for op, p in CONDITIONS]
     table += [("variable", "renal", re.compile(RENAL)), ("variable", "other", re.compile(OTHER)), ("back", "back", re.compile(BACK))] + [("end", n, re.compile(p)) for n, p in SPAN_ENDS]
 
@@ -178,7 +178,7 @@ def marks(text: Column) -> Column:
                 seen.add((m.start(), m.end())) if kind == "condition" else None
                 n = [float(x) for x in m.groups()] if kind == "condition" else []
                 two = name == "RANGE" and len(n) == 2
-                out.append({"kind": kind, "name": name, "start": m.start(), "end": m.end(), "value": n[0] if n and not two else None, "low": min(n) if two else None, "high": max(n) if two else None})
+                out.append({"kind": kind, "name": name, "start": m.start(), "end": m.end(), "value": n[0] if n and not two else None, "low": min(n) if two else None, "high": max(n) if two else None, "around": t[max(0, m.start() - 80) : m.start() + 90] if kind == "event" else None})
         return sorted(out, key=lambda x: (x["start"], x["end"], x["kind"], x["name"]))
 
     @F.arrow_udf(_MARKS)
@@ -198,38 +198,51 @@ def nested(spots: DataFrame, key: str) -> DataFrame:
     return spots.withColumns({"sentence": level("sentence"), "clause": level("sentence", "clause"), "coordination": level("sentence", "clause", "coordination")})
 
 
-def asof(rows: DataFrame, key: str, place: str, wanted: Column, what: Column, name: str) -> DataFrame:
-    """rows with `name`: of the last row before each (by place) where `wanted` holds, struct<at, what>; a sweep, no join."""
-    w = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(F.when(wanted, F.struct(F.col(place).alias("at"), what.alias("what"))), ignorenulls=True).over(w))
+LEVELS = ("sentence", "clause", "coordination")
+
+
+def _swept(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Events with their level's counts and, of the nearest rows before (b) and after (a), the condition, the reference and the variable.
+
+    Texts stay where they are read: only marks are shuffled, once, and all sweeps go by one order.  As spans are runs of marks,
+    the nearest condition of a span is the nearest of all if that is in the span.
+    """
+    rows = texts.select(key, normal(F.col(text)).alias("__t")).withColumn("single", F.col("__t").rlike(SAME_VALUE))
+    spots = rows.select(key, "single", F.explode(marks(F.col("__t"))).alias("m")).select(key, "single", "m.*")
+    denied = F.coalesce(*[F.when((F.col("name") == n) & F.col("around").rlike(p), "NEGATIVE") for n, p in DENIED], F.lit("POSITIVE"))
+    placed = nested(spots.withColumn("polarity", F.when(F.col("kind") == "event", denied)).drop("around"), key)
+    what = F.struct(F.col("start").alias("at"), *LEVELS, "name", "value", "low", "high")
+    placed = placed.withColumns({k: F.when(F.col("kind") == k, what) for k in ("condition", "back", "variable")})
+    quoted = f"`{key.replace('`', '``')}`"
+    near = lambda f, c: F.expr(f"{f}({c}) IGNORE NULLS OVER (PARTITION BY {quoted} ORDER BY start, end, kind, name)")
+    sides = {f"{s}_{c}": near(f, c) for s, f in (("b", "lag"), ("a", "lead")) for c in ("condition", "back")} | {"b_variable": near("lag", "variable")}
+    return placed.withColumns(sides).where("kind = 'event'")
+
+
+def _bound(events: DataFrame) -> Column:
+    """struct<how, what>: the condition that a swept event is bound to."""
+
+    def within(n: str) -> Column:
+        b, a = (F.when(F.col(f"{s}_condition.{n}") == F.col(n), F.col(f"{s}_condition")) for s in ("b", "a"))
+        return F.when(a.isNotNull() & (b.isNull() | (a["at"] - F.col("start") < F.col("start") - b["at"])), a).otherwise(b)
+
+    refers = F.coalesce(F.col("b_back.sentence") == F.col("sentence"), F.lit(False)) | F.coalesce(F.col("a_back.sentence") == F.col("sentence"), F.lit(False))
+    back = F.when(refers & F.col("b_condition").isNotNull(), F.struct(F.lit("reference").alias("how"), F.col("b_condition").alias("what")))
+    return F.coalesce(*[F.when(within(n).isNotNull(), F.struct(F.lit(n).alias("how"), within(n).alias("what"))) for n in reversed(LEVELS)], back)
+
+
+def _named(events: DataFrame, key: str, *more: str) -> DataFrame:
+    b = events.withColumn("b", _bound(events)).withColumn("bound", F.coalesce("b.how", F.lit("none")))
+    return b.select(key, F.col("name").alias("event"), "start", "polarity", F.col("b.what.name").alias("operator"), F.col("b.what.value").alias("value"), F.col("b.what.low").alias("low"), F.col("b.what.high").alias("high"), "bound", *more)
 
 
 def management(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, event, start, polarity, operator, value, low, high, bound, scope): events with the conditions they are bound to.
+    """(key, event, start, polarity, operator, value, low, high, bound): events with the conditions they are bound to.
 
     bound: the narrowest span that event and condition share (coordination, clause, sentence), `reference` for a condition of an
     earlier sentence that the sentence refers to, or none.  Of a span's conditions the nearest counts, the earlier on a tie.
     """
-    rows = texts.select(key, normal(F.col(text)).alias("__t"))
-    spots = rows.select(key, F.col("__t"), F.explode(marks(F.col("__t"))).alias("m")).select(key, "__t", "m.*")
-    placed = nested(spots, key)
-    own = F.struct("name", "value", "low", "high")
-    placed = asof(placed, key, "start", F.col("kind") == "condition", own, "past")
-    # nearest before and after within each level, by two sweeps a level
-    for level in ("sentence", "clause", "coordination"):
-        w = Window.partitionBy(key, level).orderBy("start", "end")
-        here = F.when(F.col("kind") == "condition", F.struct(F.col("start").alias("at"), own.alias("what")))
-        placed = placed.withColumn(f"b_{level}", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        placed = placed.withColumn(f"a_{level}", F.first(here, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    refers = F.max(F.when(F.col("kind") == "back", 1)).over(Window.partitionBy(key, "sentence"))
-    events = placed.withColumn("refers", refers).where("kind = 'event'")
-    near = lambda n: F.when(F.col(f"a_{n}").isNotNull() & (F.col(f"b_{n}").isNull() | (F.col(f"a_{n}.at") - F.col("start") < F.col("start") - F.col(f"b_{n}.at"))), F.col(f"a_{n}")).otherwise(F.col(f"b_{n}"))
-    bound = F.coalesce(*[F.when(near(n).isNotNull(), F.struct(F.lit(n).alias("how"), near(n)["what"].alias("what"))) for n in ("coordination", "clause", "sentence")], F.when((F.col("refers") == 1) & F.col("past").isNotNull(), F.struct(F.lit("reference").alias("how"), F.col("past.what").alias("what"))))
-    around = F.substring(F.col("__t"), F.greatest(F.col("start") - 79, F.lit(1)), F.least(F.col("start"), F.lit(80)) + 90)
-    denied = F.coalesce(*[F.when((F.col("name") == n) & around.rlike(p), "NEGATIVE") for n, p in DENIED], F.lit("POSITIVE"))
-    return events.select(key, F.col("name").alias("event"), "start", denied.alias("polarity"), bound.alias("b")).select(
-        key, "event", "start", "polarity", F.col("b.what.name").alias("operator"), F.col("b.what.value").alias("value"), F.col("b.what.low").alias("low"), F.col("b.what.high").alias("high"), F.coalesce("b.how", F.lit("none")).alias("bound")
-    )
+    return _named(_swept(texts, key, text), key)
 
 
 def vetoed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -238,13 +251,8 @@ def vetoed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     reference_shape: the text speaks of the same single value, but the condition is a range.  local_variable: the last variable
     named before the event, within REACH characters, is another one.
     """
-    rows = texts.select(key, normal(F.col(text)).alias("__t"))
-    spots = rows.select(key, "__t", F.explode(marks(F.col("__t"))).alias("m")).select(key, "__t", "m.*").where("kind in ('event', 'variable')")
-    swept = asof(spots, key, "start", F.col("kind") == "variable", F.col("name"), "last").where("kind = 'event'")
-    # two variables may begin at one place; the sweep takes the later row
-    near = swept.select(F.col(key).alias("__k"), F.col("name").alias("__e"), F.col("start").alias("__s"), F.col("__t").rlike(SAME_VALUE).alias("single"), F.col("last.what").alias("variable"), (F.col("start") - F.col("last.at")).alias("distance"))
-    j = management(texts, key, text).join(near, (F.col(key) == F.col("__k")) & (F.col("event") == F.col("__e")) & (F.col("start") == F.col("__s")))
+    j = _named(_swept(texts, key, text), key, "single", "b_variable")
     taken = F.col("bound").isin("clause", "sentence", "reference")
-    veto = F.when(taken & F.col("single") & (F.col("operator") == "RANGE"), "reference_shape").when(taken & (F.col("variable") == "other") & (F.col("distance") <= REACH), "local_variable")
+    veto = F.when(taken & F.col("single") & (F.col("operator") == "RANGE"), "reference_shape").when(taken & (F.col("b_variable.name") == "other") & (F.col("start") - F.col("b_variable.at") <= REACH), "local_variable")
     kept = lambda c: F.when(F.col("veto").isNull(), F.col(c)).alias(c)
     return j.withColumn("veto", veto).select(key, "event", "start", "polarity", kept("operator"), kept("value"), kept("low"), kept("high"), "bound", "veto")

@@ -142,6 +142,15 @@ def test_bound_frames_match_a_plain_version(spark):
     assert set(got) & {100, 101} == set() and len(got[102]) == 1
 
 
+def test_frames_shuffle_marks_and_not_texts(spark):
+    rows = [(k, "It is contraindicated below eGFR 30; discontinue it. " * 40 + "w" * 20_000) for k in range(20)]
+    frames = T.vetoed(spark.createDataFrame(rows, "id int, text string"), "id")
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, "marks are dealt out once"
+    assert not re.search(r"Window \[[^\n]*__t#", plan) and "unboundedfollowing" not in plan.lower(), "texts or quadratic frames in a sweep"
+    assert frames.count() == 20 * 80
+
+
 def test_visible_facts(spark):
     turns = [(1, 1, "没有发热。有发热，对吗？"), (1, 2, "发烧。"), (1, 3, "更正一下，没有发热，服药时间是昨天。"), (1, 4, "是否发热不清楚。"), (1, 5, "发烧，没有发烧；今天天气好"), (2, 1, "妈妈是否服药不清楚"), (2, 2, "妈妈已经服药"), (2, 3, None), (2, 4, ""), (3, 1, "我是替爸爸问的")]
     told, unread = visible_facts.observations(spark.createDataFrame(turns, "c int, turn int, text string").withColumn("s", F.lit("extra")), "c", "turn")

@@ -99,8 +99,13 @@ def _out(relation: str, cue: str | Column) -> Column:
     return F.struct(F.lit(relation).alias("relation"), (F.lit(cue) if isinstance(cue, str) else cue).alias("cue"))
 
 
+#: Numbers from here on, such as a telephone number after "under", count as this one.
+VAST = 10**18
+
+
 def _ints(t: Column, pattern: str, group: int = 1) -> Column:
-    return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), lambda x: x.cast("int"))
+    plain = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), lambda x: F.ltrim(x, F.lit("0")))
+    return F.transform(plain, lambda x: F.when(F.length(x) <= 18, F.concat(F.lit("0"), x).cast("long")).otherwise(VAST))
 
 
 def _words(t: Column) -> Column:
@@ -132,10 +137,11 @@ def semantic(cases: DataFrame, evidence: str = "evidence", claim: str = "claim")
     e, c = F.col("__e"), F.col("__c")
     ea = lambda *names: _all([SEMANTIC.has(F.col("__ef"), *LABELS[n]) for n in names])
     ca = lambda *names: _all([SEMANTIC.has(F.col("__cf"), *LABELS[n]) for n in names])
-    below_e, below_c = _ints(e, BELOW), _ints(c, BELOW)
-    ranges = F.zip_with(_ints(e, RANGES), _ints(e, RANGES, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    bounds_c = F.concat(below_c, _ints(c, RANGES), _ints(c, RANGES, 2))
-    value = F.get(F.filter(_ints(c, EXACT), lambda v: ~F.array_contains(bounds_c, v)), F.lit(0))
+    # columns of their own, so that each pattern is looked for once and not by every rule that asks for it
+    numbers = {"__be": _ints(e, BELOW), "__bc": _ints(c, BELOW), "__re": F.zip_with(_ints(e, RANGES), _ints(e, RANGES, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), "__rc": F.concat(_ints(c, RANGES), _ints(c, RANGES, 2)), "__xc": _ints(c, EXACT), "__share": _share(_words(c), _words(e))}
+    below_e, below_c, ranges, value, share = (F.col(x) for x in ("__be", "__bc", "__re", "__value", "__share"))
+    bounds_c = F.concat("__bc", "__rc")
+    stated = {"__value": F.get(F.filter("__xc", lambda v: ~F.array_contains(bounds_c, v)), F.lit(0)), "__cues": F.array_compact(F.array(*[F.when(ea(*a) & ca(*b) & ~_any([ca(x) for x in no]), cue) for cue, a, b, no in SUPPORTS]))}
     named = (F.size(below_e) > 0) & (F.size(below_c) > 0)
     top = F.array_max(below_c)
     mismatch = named & ((ca("DISCONTINUE") & ea("REASSESS") & F.array_contains(below_e, top) & F.contains(e, F.lit("below 45")) & (top == 45)) | (ca("CONTRAINDICATED") & ea("CONTRAINDICATED") & (F.array_min(below_c) != F.array_min(below_e))))
@@ -146,12 +152,10 @@ def semantic(cases: DataFrame, evidence: str = "evidence", claim: str = "claim")
     rules += [(ea(*a) & _any([ca(x) for x in b]), _out("DOES_NOT_SUPPORT", cue)) for cue, a, b in ESCALATIONS]
     rules += [(ca("INITIATION_NOT_RECOMMENDED") & in_range, _out("DIRECT_SUPPORT", "range_rule_application"))]
     rules += [(ca(name) & under(stem), _out("DIRECT_SUPPORT", "threshold_rule_application")) for name, stem in (("DISCONTINUE", "discontinu"), ("CONTRAINDICATED", "contraindicat"))]
-    cues = F.array_compact(F.array(*[F.when(ea(*a) & ca(*b) & ~_any([ca(x) for x in no]), cue) for cue, a, b, no in SUPPORTS]))
-    rules += [(F.size(cues) > 0, _out("DIRECT_SUPPORT", F.array_join(cues, "+")))]
-    share = _share(_words(c), _words(e))
+    rules += [(F.size("__cues") > 0, _out("DIRECT_SUPPORT", F.array_join("__cues", "+")))]
     rules += [(share >= LITERAL, _out("DIRECT_SUPPORT", "very_high_literal_entailment")), (share >= PARTLY, _out("PARTIAL_SUPPORT", "partial_literal_overlap"))]
     decided = F.coalesce(*[F.when(holds, out) for holds, out in rules], _out("DOES_NOT_SUPPORT", "insufficient_semantic_match"))
-    return _both(cases, evidence, claim, SEMANTIC).withColumn("__v", decided).select(*[F.col(x) for x in cases.columns], "__v.*")
+    return _both(cases, evidence, claim, SEMANTIC).withColumns(numbers).withColumns(stated).withColumn("__v", decided).select(*[F.col(x) for x in cases.columns], "__v.*")
 
 
 # ---- frames

@@ -142,6 +142,12 @@ def test_bound_frames_match_a_plain_version(spark):
     assert set(got) & {100, 101} == set() and len(got[102]) == 1
 
 
+def test_numbers_that_no_int_holds_are_numbers(spark):
+    rows = [(1, "Reassess benefit below 45.", "Patients must discontinue below 45 and under 13812345678."), (2, "Contraindicated below 30.", "Contraindicated below " + "9" * 60), (3, "Contraindicated under 0" + "0" * 40 + "30", "Contraindicated below 30")]
+    got = {r["id"]: r["cue"] for r in V.semantic(spark.createDataFrame(rows, CASES)).collect()}
+    assert got == {1: "insufficient_semantic_match", 2: "threshold_action_mismatch", 3: "same_management_modality"}
+
+
 def test_frames_shuffle_marks_and_not_texts(spark):
     rows = [(k, "It is contraindicated below eGFR 30; discontinue it. " * 40 + "w" * 20_000) for k in range(20)]
     frames = T.vetoed(spark.createDataFrame(rows, "id int, text string"), "id")

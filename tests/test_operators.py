@@ -80,6 +80,18 @@ def test_dense_similar_pairs_are_exact(spark, monkeypatch):
     assert core.similar_pairs_dense(df.limit(0), "i", "s", 1, 2).count() == 0
 
 
+def test_similar_pairs_deal_out_shared_tokens_only(spark, monkeypatch):
+    """A token of one set meets nothing: it is not among the counts, nor in a prefix; sets without candidates don't travel."""
+    held = {}
+    keep = core.stored
+    monkeypatch.setattr(core, "stored", lambda df, path: held.setdefault(path.split("quern-")[-1].rsplit("-", 1)[0], keep(df, path)))
+    sets = [(i, [1000 * i + k for k in range(10)]) for i in range(30)] + [(50, [1, 2, 3, 4, 5, 6, 7, 8, 9])]
+    got = core.similar_pairs(spark.createDataFrame(sets, "i long, s array<long>"), "i", "s", 0.8, 4, 5)
+    assert rows_of(got, "a", "b") == [(0, 50)]
+    assert held["counts"].count() == 9 and {r["id"] for r in held["prefixes"].collect()} == {0, 50}
+    assert held["wanted"].count() == 2
+
+
 def test_pairs_of_user_texts_are_not_all_written(spark, tmp_path):
     """Texts out of few trigrams share prefix tokens nearly all; their pairs must not be shuffled."""
     rng = random.Random(2)

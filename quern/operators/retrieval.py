@@ -6,6 +6,10 @@ repeat an id are one text's terms together; empty tables give empty results; ext
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +84,65 @@ def inject_evidence(cases: DataFrame, passages: DataFrame, k: int) -> tuple[Data
     return cases.join(texts, "case_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))), bad
 
 
+#: Entities of a block, entities of a band, pairs that a task counts at once.
+BLOCK, BAND, COUNTED = 1 << 8, 1 << 16, 1 << 21
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared) of the cells of a partition, sorted by cell; a cell has BLOCK * BAND pairs at most."""
+    at, codes, counts, waiting, size = None, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not len(codes):
+            return new, n
+        both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        return both, np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(codes), 1 << 16):
+            c = codes[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[0] * BLOCK + c // BAND), pa.array(at[1] * BAND + c % BAND), pa.array(counts[k : k + (1 << 16)])], names=["a", "b", "shared"])
+
+    for batch in batches:
+        ids = batch["ids"]
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        for k, cell in enumerate(zip(batch["block"].to_pylist(), batch["band"].to_pylist())):
+            if cell != at:
+                codes, counts = merged()
+                yield from told()
+                at, codes, counts, waiting, size = cell, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+            mine = values[ends[k] : ends[k + 1]]
+            own, others = mine[mine // BLOCK == cell[0]], mine[mine // BAND == cell[1]]
+            step = max(1, COUNTED // max(1, len(others)))
+            for j in range(0, len(own), step):
+                some = own[j : j + step]
+                first = (some - cell[0] * BLOCK) * BAND - cell[1] * BAND
+                waiting.append((first[:, None] + others[None, :])[others[None, :] > some[:, None]])
+                size += len(waiting[-1])
+                if size >= max(COUNTED, len(codes)):
+                    codes, counts = merged()
+                    waiting, size = [], 0
+    codes, counts = merged()
+    yield from told()
+
+
+def shared_neighbours(edges: DataFrame) -> DataFrame:
+    """(a, b, shared): how many neighbours n the entities a < b share; edges: distinct (s, n), s a long.
+
+    Pairs are never shuffled: a neighbour's entities go once to each cell (a block of entities, a band of others) that they meet
+    in, and all pairs of a cell are counted there.  A neighbour's list is as long as there are entities at most.
+    """
+    block_of, band_of = (lambda x: F.shiftright(x, BLOCK.bit_length() - 1)), (lambda x: F.shiftright(x, BAND.bit_length() - 1))
+    known = edges.where("s is not null and n is not null").groupBy("n").agg(F.array_sort(F.collect_list(F.col("s").cast("long"))).alias("ids")).where("size(ids) > 1")
+    blocks = known.select("ids", F.explode(F.array_distinct(F.transform("ids", block_of))).alias("block"))
+    tail = blocks.select("block", F.filter("ids", lambda x: block_of(x) >= F.col("block")).alias("ids"))
+    bands = tail.select("block", "ids", F.explode(F.array_distinct(F.transform("ids", band_of))).alias("band"))
+    here = lambda x: (block_of(x) == F.col("block")) | (band_of(x) == F.col("band"))
+    cells = bands.select("block", "band", F.filter("ids", here).alias("ids")).where("size(ids) > 1")
+    return cells.repartition("block", "band").sortWithinPartitions("block", "band").mapInArrow(_pair_counts, "a long, b long, shared long")
+
+
 #: Weights of what two entities share, with the count that is full, and of ties between them, by mode; levels.
 WEIGHTS = {
     "pharma": {"target": (0.30, 1.5), "indication": (0.25, 1.5), "modality": (0.15, 1.5), "investor": (0.10, 1.5), "analysis": (0.05, 2.0)},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions.scratch import scratch, stored
-from quern.operators import comparators, core, ledger, stats
+from quern.operators import comparators, core, ledger, retrieval, stats
 
 from .registry import query, table
 
@@ -435,10 +435,10 @@ SELECT a, b, shared, only_a, only_b, round(0.75 * least(1.0, shared / 150.0) + C
 """
 )
 def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by the parts they share: a two-hop join on the part, counted per pair before anything else."""
+    """Suppliers by the parts they share: a part's suppliers meet in cells, which count pairs before anything else."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     n = e.groupBy("s").agg(F.count(F.lit(1)).alias("n")).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey"), "s", "left")
-    x = e.select(F.col("s").alias("a"), "p").join(e.select(F.col("s").alias("b"), "p"), "p").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    x = retrieval.shared_neighbours(e.withColumnRenamed("p", "n"))
     side = lambda k: n.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("s_nationkey").alias(f"k{k}"))
     v = x.join(side("a"), "a").join(side("b"), "b")
     score = F.round(0.75 * F.least(F.lit(1.0), F.col("shared") / 150.0) + F.when(F.col("ka") == F.col("kb"), 0.25).otherwise(0), 6)

@@ -64,3 +64,20 @@ def test_recorded_answers(spark, tmp_path):
     df = spark.read.format("recorded").option("paths", str(tmp_path / "r.jsonl"))
     assert rows_of(df.load(), "adapter", "status", "body") == [("label", 404, "null"), ("trial", 200, '{"a": 2, "b": 1}')]
     assert df.option("adapter", "trial").load().count() == 1
+
+
+def test_shared_neighbours_are_counted_in_cells(spark, monkeypatch):
+    import itertools
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(retrieval, "COUNTED", 64)
+    rng = random.Random(4)
+    ids = [-300, -1, 0, 5, 255, 256, 300, 65535, 65536, 70000, 1 << 33]
+    edges = sorted({(rng.choice(ids), rng.randrange(40)) for _ in range(300)})
+    want = Counter(p for n in range(40) for p in itertools.combinations(sorted(s for s, m in edges if m == n), 2))
+    e = spark.createDataFrame([*edges, (None, 1), (5, None), (256, None)], "s long, n long")
+    assert {(r["a"], r["b"]): r["shared"] for r in retrieval.shared_neighbours(e).collect()} == want and len(want) > 40
+    assert retrieval.shared_neighbours(e.limit(0)).count() == 0
+    plan = retrieval.shared_neighbours(e)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -34,7 +34,7 @@ def mentions(df: DataFrame, keys: list[str], text: str, rules: dict[str, str]) -
 def phrase_mentions(df: DataFrame, keys: list[str], text: str, groups: dict[str, list[str]]) -> DataFrame:
     """mentions() of literal phrases by group, found without Python."""
     low = df.select(*keys, F.lower(F.trim(text)).alias("__t"))
-    found = low.select(*keys, "__t", F.explode(X.phrase_hits(F.col("__t"), groups)).alias("m")).select(*keys, "__t", "m.*")
+    found = low.select(*keys, "__t", X.rows_of(X.phrase_hits(F.col("__t"), groups)).alias("m")).where("m is not null").select(*keys, "__t", "m.*")
     return found.withColumn("negated", X.negated_at(F.col("__t"), F.col("start"), F.col("end"))).drop("__t")
 
 

@@ -92,3 +92,19 @@ def test_similarity(spark):
     a, b, none = F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("z")), F.array().cast("array<string>")
     r = one(spark, "", X.dice(a, b), X.dice(none, none), X.dice(a, none), X.jaccard(a, b), X.jaccard(none, none), X.containment(a, b), X.containment(none, a), X.blended(a, b, a, a))
     assert list(r) == [0.5, 1.0, 0.0, 1 / 3, None, 0.5, 0.0, 0.71]
+
+
+def test_negation_reads_from_the_last_mark_without_a_pattern(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    marks = ["not ", "no ", "不要", "x", " ", "。", "!", ";", "\n", "\r\n", "\r", "\u2028", "é"]
+    texts = ["".join(rng.choices(marks, k=rng.randrange(9))) for _ in range(400)] + ["not\n", "not \r\n", "not\n\n", "not\u2028", "!\n"]
+    rows = [(k, t + "pubmed", len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, t string, at int").withColumn("before", F.regexp_extract(F.substring("t", 1, F.col("at")), r"[^。！？!?;；\n]*$", 0))
+    want = F.col("before").rlike(X.NEGATES_HAN) | F.col("before").rlike(X.NEGATES)
+    got = df.select(X.negated_at(F.col("t"), F.col("at"), F.col("at") + 6).alias("got"), want.alias("want"), "t").collect()
+    assert all(r["got"] == r["want"] for r in got) and {r["want"] for r in got} == {True, False}
+    plan = df.select(X.negated_at(F.col("t"), F.col("at"), F.col("at") + 6))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("regexp_extract", plan)

@@ -57,6 +57,31 @@ class Cues:
 
         return run(text)
 
+    def holding(self, text: Column, rules: list[tuple[str, list[list[str]], list[str]]]) -> Column:
+        """array<int>: the numbers of the rules (group, cue lists of which each needs one, cues none of which may be there) that a
+        text meets; of each group only the first.  Every rule needs a cue, so a text without cues costs its reading alone."""
+        cues = self.cues
+        plain = [(group, [{self.number[c] for c in n} for n in needs], {self.number[c] for c in unless}) for group, needs, unless in rules]
+        asked: dict[int, list[int]] = {}
+        for k, (_, needs, _) in enumerate(plain):
+            for c in needs[0]:
+                asked.setdefault(c, []).append(k)
+
+        def met(there: set[int]) -> list[int]:
+            first: dict[str, int] = {}
+            for k in sorted({k for c in there for k in asked.get(c, ())}):
+                group, needs, unless = plain[k]
+                if group not in first and not there & unless and all(there & n for n in needs):
+                    first[group] = k
+            return sorted(first.values())
+
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array) -> pa.Array:
+            find = _machine(cues).iter
+            return pa.array([None if t is None else met({k for _, (k, _) in find(t)}) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+        return run(text)
+
     def has(self, found: Column, *phrases: str) -> Column:
         """Whether any of the phrases is among the found ones."""
         return F.coalesce(F.arrays_overlap(found, F.array(*[F.lit(self.number[p]) for p in phrases])), F.lit(False))

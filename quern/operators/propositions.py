@@ -79,7 +79,15 @@ RANGE = r"egfr[^.;,]{0,22}?(\d+)\s*(?:to|through|[-–])\s*(\d+)"
 BELOW = [r"egfr[^.;,]{0,20}?(?:below|under|<)\s*(\d+)", r"(?:below|under|<)\s*egfr\s*(\d+)"]
 EXACT = r"egfr\s*(?:of|=|is|at)?\s*(\d+)"
 
-CUES = Cues([*(p for _, needs, unless, *_ in RULES for p in [*(c for n in needs for c in n), *unless]), *(p for ps in POPULATIONS.values() for p in ps), "continues to recommend", "still recommends"])
+#: Rules with a pattern: what is told by numbers of rules, which cues the pattern can't do without.
+_PATTERNED = [
+    *((f"supersedes {kind} {part}", [["supersedes"], [kind]]) for kind in ("guideline", "version") for part in ("newer", "newer is current", "older isn't")),
+    ("remains", [["current"], ["guideline", "version"]]), ("continues", [["continues to recommend", "still recommends"]]),
+]
+#: Rules in the order of their propositions, those with a pattern after the plain ones; then the populations, in one group.
+_ALL = [*((group, needs, unless) for group, needs, unless, *_ in RULES), *((name, needs, []) for name, needs in _PATTERNED), *(("population", [ps], []) for ps in POPULATIONS.values())]
+_REMAINS, _CONTINUES, _PEOPLE = len(RULES) + 6, len(RULES) + 7, len(RULES) + len(_PATTERNED)
+CUES = Cues([p for _, needs, unless in _ALL for p in [*(c for n in needs for c in n), *unless]])
 CONDITION = "struct<operator: string, value: int, low: int, high: int>"
 PROPOSITION = f"struct<subject: string, predicate: string, object: string, polarity: string, conditions: array<{CONDITION}>, population: string, confidence: double>"
 
@@ -89,8 +97,8 @@ def normal(text: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """array<string>: the clauses of a text in normal form."""
-    t, mark = normal(text), "\u001f"
+    """array<string>: the clauses of a text that is in normal form."""
+    t, mark = text, "\u001f"
     for pattern, kept in CLAUSE_MARKS:
         t = F.regexp_replace(t, pattern, f" {mark} {kept}")
     return F.filter(F.transform(F.split(t, mark), lambda c: F.btrim(c, F.lit(" ,"))), lambda c: c != "")
@@ -121,49 +129,50 @@ def conditions(t: Column) -> Column:
     return F.concat(ranges, F.transform(below, lambda v: _condition("LT", v)), F.transform(exact, lambda v: _condition("EQ", v)))
 
 
-def population(found: Column) -> Column:
-    return reduce(lambda w, kv: w.when(CUES.has(found, *kv[1]), F.lit(kv[0])), POPULATIONS.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+def population(met: Column) -> Column:
+    """The population that a text names, by the rules that it meets."""
+    return reduce(lambda w, kn: w.when(F.array_contains(met, _PEOPLE + kn[0]), F.lit(kn[1])), enumerate(POPULATIONS), F.when(F.lit(False), F.lit(None).cast("string")))
 
 
-def _said(subject: Column, predicate: str, obj: Column, polarity: str, who: Column, confidence: float = 1.0, about: Column | None = None) -> Column:
-    none = F.array().cast(f"array<{CONDITION}>")
-    return F.struct(
-        subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), F.lit(polarity).alias("polarity"),
-        (none if about is None else about).alias("conditions"), who.alias("population"), F.lit(confidence).alias("confidence"),
-    )
+def _order() -> Column:
+    """For each rule its place: groups in the order of their first rule, then the rules with a pattern."""
+    groups = list(dict.fromkeys(group for group, *_ in RULES))
+    return F.array(*[F.lit(groups.index(group)) for group, *_ in RULES], *[F.lit(len(groups) + k) for k in range(len(_PATTERNED))])
 
 
-def of_clause(clause: Column, found: Column, who: Column, about: Column) -> Column:
-    """array<proposition> of a clause with its found cues, its population and its conditions, in the order of the rules."""
-    out: list[Column] = []
-    groups: dict[str, Column] = {}
-    for group, needs, unless, subject, predicate, obj, polarity, confidence in RULES:
-        holds = reduce(lambda a, b: a & b, [CUES.has(found, *n) for n in needs])
-        holds = holds & ~CUES.has(found, *unless) if unless else holds
-        of = F.coalesce(who, F.lit("new_or_initiating_user")) if predicate == "INITIATION_NOT_RECOMMENDED" else who
-        said = _said(F.lit(subject), predicate, F.lit(obj), polarity, of, confidence, about if predicate in ACTIONS else None)
-        groups[group] = groups[group].when(holds, said) if group in groups else F.when(holds, said)
-    out += groups.values()
+def _said(clause: Column, rule: Column, who: Column) -> dict[str, Column]:
+    """The fields of the proposition that a clause makes by the rule of a number; no subject where the rule's pattern isn't there."""
+    fixed = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("subject", "predicate", "object", "polarity", "confidence"), r[3:])]) for r in RULES])
+    plain = F.get(fixed, rule)
+    subject, predicate, obj, polarity = (F.when(rule < len(RULES), plain[n]) for n in ("subject", "predicate", "object", "polarity"))
     current = F.lit("recommendation_source")
-    for pattern in SUPERSEDES:
-        newer, older = (entity(F.regexp_extract(clause, pattern, k)) for k in (1, 2))
-        is_there = clause.rlike(pattern)
-        out += [F.when(is_there, _said(newer, "SUPERSEDES", older, "POSITIVE", who)), F.when(is_there, _said(newer, "IS_CURRENT", current, "POSITIVE", who)), F.when(is_there, _said(older, "IS_CURRENT", current, "NEGATIVE", who))]
-    out.append(F.when(clause.rlike(REMAINS), _said(entity(F.regexp_extract(clause, REMAINS, 1)), "IS_CURRENT", current, "POSITIVE", who)))
+    for k, pattern in enumerate(SUPERSEDES):
+        at = len(RULES) + 3 * k
+        newer, older = (F.when(clause.rlike(pattern), entity(F.regexp_extract(clause, pattern, n))) for n in (1, 2))
+        subject = subject.when(rule.between(at, at + 1), newer).when(rule == at + 2, older)
+        predicate = predicate.when(rule == at, "SUPERSEDES").when(rule.between(at + 1, at + 2), "IS_CURRENT")
+        obj = obj.when(rule == at, older).when(rule.between(at + 1, at + 2), current)
+        polarity = polarity.when(rule.between(at, at + 1), "POSITIVE").when(rule == at + 2, "NEGATIVE")
+    subject = subject.when(rule == _REMAINS, F.when(clause.rlike(REMAINS), entity(F.regexp_extract(clause, REMAINS, 1)))).when(rule == _CONTINUES, "current_guideline")
     option = F.when(clause.rlike(CONTINUES), F.regexp_extract(clause, CONTINUES, 1)).otherwise("existing_option")
-    out.append(F.when(CUES.has(found, "continues to recommend", "still recommends"), _said(F.lit("current_guideline"), "IS_CURRENT", option, "POSITIVE", who)))
-    return F.array_compact(F.array(*out))
+    acts = [k for k, r in enumerate(RULES) if r[4] in ACTIONS]
+    starts = [k for k, r in enumerate(RULES) if r[4] == "INITIATION_NOT_RECOMMENDED"]
+    return {
+        "subject": subject, "predicate": predicate.when(rule >= _REMAINS, "IS_CURRENT"), "object": obj.when(rule == _REMAINS, current).when(rule == _CONTINUES, option), "polarity": polarity.when(rule >= _REMAINS, "POSITIVE"),
+        "conditions": F.when(rule.isin(acts), conditions(clause)).otherwise(F.array().cast(f"array<{CONDITION}>")),
+        "population": F.when(rule.isin(starts), F.coalesce(who, F.lit("new_or_initiating_user"))).otherwise(who), "confidence": F.when(rule < len(RULES), plain["confidence"]).otherwise(1.0),
+    }
 
 
 def parsed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, clause, source_clause, the proposition's fields): a row for each different proposition of a text."""
-    whole = texts.select(key, F.col(text).alias("__t"), CUES.found(normal(F.col(text))).alias("__all"))
+    whole = texts.select(key, normal(F.col(text)).alias("__t")).withColumn("__all", CUES.holding(F.col("__t"), _ALL))
     each = whole.select(key, population(F.col("__all")).alias("__who"), F.posexplode(clauses(F.col("__t"))).alias("clause", "source_clause"))
-    # rows are spread before the cues are looked up, so a long text is no task's alone
-    each = each.withColumn("__found", CUES.found(F.col("source_clause")))
-    each = each.withColumn("__about", conditions(F.col("source_clause")))
-    said = of_clause(F.col("source_clause"), F.col("__found"), F.coalesce(population(F.col("__found")), F.col("__who")), F.col("__about"))
-    rows = each.select(key, "clause", "source_clause", F.posexplode(said).alias("rule", "p")).select(key, "clause", "rule", "source_clause", "p.*")
+    # rows are spread before the cues are looked up, so a long text is no task's alone; only clauses that meet a rule go on
+    each = each.withColumn("__met", CUES.holding(F.col("source_clause"), _ALL))
+    each = each.select(key, "clause", "source_clause", F.coalesce(population(F.col("__met")), F.col("__who")).alias("__who"), F.explode("__met").alias("__rule")).where(F.col("__rule") < _PEOPLE)
+    said = _said(F.col("source_clause"), F.col("__rule"), F.col("__who"))
+    rows = each.select(key, "clause", F.get(_order(), F.col("__rule")).alias("rule"), "source_clause", *[c.alias(n) for n, c in said.items()]).where("subject is not null")
     same = ["subject", "predicate", "object", "polarity", "conditions", "population"]
     first = F.min(F.struct("clause", "rule", "confidence", "source_clause")).alias("f")
     return rows.groupBy(key, *same).agg(first).select(key, *same, "f.*")
@@ -269,9 +278,14 @@ def verdicts(cases: DataFrame, key: str, evidence: str = "evidence", claim: str
     named = both.select(F.struct(F.col(key), F.col("x.side").alias("side")).alias("k"), F.col("x.text").alias("text"))
     own = gathered(parsed(named, "k"), "k").select(F.col(f"k.{key}").alias(key), F.col("k.side").alias("side"), "props")
     sides = own.groupBy(key).agg(F.max(F.when(F.col("side") == "e", F.col("props"))).alias("e"), F.max(F.when(F.col("side") == "c", F.col("props"))).alias("c"))
+    return decided(cases.select(key, F.col(evidence).alias("__t")).join(sides, key, "left"), key, F.col("__t"), guard)
+
+
+def decided(cases: DataFrame, key: str, evidence: Column, guard: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(key, relation, cue) of cases with the gathered propositions of their evidence (e) and claim (c), null: none."""
     none = F.array().cast(f"array<struct<clause: int, rule: int, {PROPOSITION[7:-1].replace(', confidence: double', '')}>>")
-    j = cases.select(key, F.col(evidence).alias("__t")).join(sides, key, "left").withColumns({"e": F.coalesce("e", none), "c": F.coalesce("c", none)})
+    j = cases.withColumns({"e": F.coalesce("e", none), "c": F.coalesce("c", none)})
     v = ladder(F.col("e"), F.col("c"))
     if guard is not None:
-        v = F.when(guard(F.col("__t"), F.col("e")), F.struct(F.lit("ABSTAIN").alias("relation"), F.lit("guard").alias("cue"))).otherwise(v)
+        v = F.when(guard(evidence, F.col("e")), F.struct(F.lit("ABSTAIN").alias("relation"), F.lit("guard").alias("cue"))).otherwise(v)
     return j.select(key, v.alias("v")).select(key, "v.*")

@@ -29,6 +29,23 @@ def test_cues_are_found_everywhere(spark):
     assert rows[0]["f"] == [0, 1, 2] and rows[1]["f"] == [] and rows[2]["f"] is None
 
 
+def test_rules_that_a_text_meets(spark):
+    rules = [("a", [["x", "y"], ["z"]], []), ("a", [["x"]], []), ("b", [["x"]], ["y"]), ("c", [["zz"]], [])]
+    cues = Cues(["x", "y", "z", "zz"])
+    rows = [("x z",), ("x",), ("x y",), ("zz y",), ("q",), ("",), (None,)]
+    got = [r["h"] for r in spark.createDataFrame(rows, "t string").select(cues.holding(F.col("t"), rules).alias("h")).collect()]
+    assert got == [[0, 2], [1, 2], [1], [0, 3], [], [], None]
+
+
+def test_clauses_that_meet_no_rule_reach_no_pattern(spark):
+    told = P.parsed(spark.createDataFrame([(1, "It is current; it supersedes all; the version is recruiting; guideline X9 remains the current one.")], "id int, text string"), "id")
+    got = sorted((r["clause"], r["predicate"], r["subject"]) for r in told.collect())
+    assert got == [(2, "HAS_STATUS", "study"), (3, "IS_CURRENT", "guideline x9")]
+    # patterns stand behind the explode of the rules met: no generator carries them
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Generate" in x and "supersedes" in x]
+
+
 def test_propositions(spark):
     rows = [(1, RENAL), (2, "Version 2 supersedes version 1, and the drug must stop; the drug must stop."), (3, None), (4, " "), (5, "Guideline B continues to recommend option X-1."), (6, "It does not state that it is contraindicated.")]
     got = P.parsed(spark.createDataFrame(rows, "id int, text string").withColumn("subject", F.lit("extra")), "id").collect()

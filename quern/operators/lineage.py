@@ -13,7 +13,7 @@ allowed; extra columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,6 +44,24 @@ def _read(text: str):
     return value if isinstance(value, (dict, list)) else text
 
 
+#: Characters, hashes and pairs that a task's Python turns out at once, and rows that it looks at at once, however
+#: many rows Spark hands it.
+CHARS, HASHES, PAIRS, ROWS = 1 << 22, 1 << 20, 1 << 16, 512
+
+
+def _pieces(values: Iterator, size: Callable[[object], int], limit: int, kind: pa.DataType) -> Iterator[pa.Array]:
+    """The values in arrays that end with the value that reaches the limit."""
+    out, held = [], 0
+    for v in values:
+        out.append(v)
+        held += 1 + (0 if v is None else size(v))
+        if held >= limit:
+            yield pa.array(out, kind)
+            out, held = [], 0
+    if out:
+        yield pa.array(out, kind)
+
+
 def _parsed(text: Column) -> Column:
     """struct<canonical, form, part, leaves>: a field's canonical JSON, its word form, its part of the record's form, long leaf strings."""
     leaf = pa.struct([("path", pa.string()), ("text", pa.string())])
@@ -59,8 +77,8 @@ def _parsed(text: Column) -> Column:
 
     @F.arrow_udf("struct<canonical: string, form: string, part: string, leaves: array<struct<path: string, text: string>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for values in batches:
-            yield pa.array([one(v.as_py()) for v in values], kind)
+        for values in batches:  # the leaves are parts of the text, too
+            yield from _pieces((one(v.as_py()) for v in values), lambda p: 3 * len(p["canonical"]), CHARS, kind)
 
     return run(text)
 
@@ -83,7 +101,7 @@ def gram_hashes(form: Column, n: int = 4) -> Column:
     @F.arrow_udf(_LONGS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            yield pa.array([None if not v.is_valid else of(v.as_py()) for v in values], pa.list_(pa.int64()))
+            yield from _pieces((of(v.as_py()) if v.is_valid else None for v in values), len, HASHES, pa.list_(pa.int64()))
 
     return run(form)
 
@@ -101,7 +119,9 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     at = None
     common = lambda a, b: int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
-    for batch in batches:
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+    table = lambda out: pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["a", "b", "iw", "ig", "nw", "ng"])
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         out: list[tuple] = []
         sets = [[np.asarray(v.values) if v.is_valid else np.zeros(0, np.int64) for v in batch[c]] for c in ("words", "grams")]
         for k, (cell, item, others) in enumerate(zip(*(batch[c].to_pylist() for c in ("cell", "item", "others")))):
@@ -114,8 +134,10 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for name in others:
                 w, g = held[name]
                 out.append((item, name, common(words, w), common(grams, g), len(words) + len(w), len(grams) + len(g)))
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["a", "b", "iw", "ig", "nw", "ng"])
+                if len(out) >= PAIRS:
+                    yield table(out)
+                    out = []
+        yield table(out)
 
 
 def similarities(pairs: DataFrame, left: DataFrame, right: DataFrame, path: str) -> DataFrame:

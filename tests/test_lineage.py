@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.operators import extract, lineage
@@ -116,3 +117,17 @@ def test_verdicts_and_conditions(spark):
     assert [r["g"] for r in got.collect()] == [r[2] for r in rows]
     t = spark.createDataFrame([("if eGFR between 30 and 45, reduce; eGFR below 30 stop; eGFR is 50",), (None,)], "t string").select(extract.conditions(F.col("t"), "egfr").alias("c")).collect()
     assert [(x["operator"], x["value"], x["low"], x["high"]) for x in t[0]["c"]] == [("RANGE", None, 30.0, 45.0), ("LT", 30.0, None, None), ("EQ", 50.0, None, None)] and t[1]["c"] is None
+
+
+def test_what_python_turns_out_at_once_is_bounded():
+    sizes = [3, None, 9, 1, 1, 1, 20]
+    got = list(lineage._pieces(([0] * n if n is not None else None for n in sizes), len, 10, pa.list_(pa.int64())))
+    assert [x for piece in got for x in piece.to_pylist()] == [[0] * n if n is not None else None for n in sizes]
+    assert [len(piece) for piece in got] == [3, 4] and not list(lineage._pieces(iter(()), len, 10, pa.int64()))
+    # pairs of one batch: names of a cell's references, then candidates that meet all of them
+    refs, cands = [f"r{k}" for k in range(500)], [f"c{k}" for k in range(300)]
+    sets = pa.array([[k % 7, 7] for k in range(800)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 800, pa.int32()), pa.array(refs + cands), sets, sets, pa.array([None] * 500 + [refs] * 300, pa.list_(pa.string()))], names=["cell", "item", "words", "grams", "others"])
+    out = list(lineage._intersections(iter([batch])))
+    assert sum(b.num_rows for b in out) == 150_000 and max(b.num_rows for b in out) <= lineage.PAIRS
+    assert {tuple(r.values()) for r in pa.Table.from_batches(out).slice(0, 8).to_pylist()} >= {("c0", "r0", 1, 1, 4, 4), ("c0", "r3", 2, 2, 4, 4)}

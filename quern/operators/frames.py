@@ -1,6 +1,6 @@
 """Frames to propositions: registries, first-kept repeats, coordination segments, probes of claimed regions.
 
-Everything is joins, windows and built-in expressions.  Null texts give no rows; an empty table gives an empty result; rows
+Everything is joins, windows and built-in expressions, but for the cutting of texts.  Null texts give no rows; an empty table gives an empty result; rows
 that repeat are dropped by compile_frames() and kept elsewhere.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
+
 from .core import pick
 from .entail import bounds, covers, holds
 
@@ -21,28 +23,36 @@ POLARITIES = ["POSITIVE", "NEGATIVE", "UNKNOWN"]
 def segments(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, number, segment, start, end) between separators of the text in lower case; spans without the blanks and marks at their ends."""
     low = texts.select(key, F.lower(F.col(text)).alias("t")).where("t is not null")
-    marked = low.select(key, F.split("t", SEPARATOR, -1).alias("parts"), F.regexp_extract_all("t", F.lit(SEPARATOR), F.lit(0)).alias("seps"))
-    ends = F.aggregate(
-        F.arrays_zip(F.col("parts").alias("p"), F.col("seps").alias("s")), F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
-        lambda a, x: F.struct(F.concat(a["at"], F.array(a["n"])).alias("at"), (a["n"] + F.length(x["p"]) + F.coalesce(F.length(x["s"]), F.lit(0))).alias("n")), lambda a: a["at"],
-    )
-    each = marked.select(key, F.posexplode(F.arrays_zip(F.col("parts").alias("p"), ends.alias("at"))).alias("number", "x")).select(key, "number", F.col("x.p").alias("raw"), F.col("x.at").alias("at"))
+    # one pass over a text: built-in split and extraction read it twice, and cost most of the time
+    each = low.select(key, F.posexplode_outer(X.pieces(F.col("t"), SEPARATOR)).alias("number", "x")).select(key, "number", F.col("x.part").alias("raw"), F.col("x.at").alias("at"))
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^[ ,;]+", ""))
     body = F.regexp_replace("raw", r"^[ ,;]+|[ ,;]+$", "")
     return each.select(key, "number", body.alias("segment"), (F.col("at") + lead).alias("start"), (F.col("at") + lead + F.length(body)).alias("end")).where("segment <> ''")
 
 
+#: Characters of the blocks of places by which events meet segments; a segment lies in as many blocks as it touches.
+BLOCK = 512
+
+
 def bound_in_segment(events: DataFrame, conditions: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """Events (key, kind, start, condition) with the nearest condition (key, start, condition) of their own segment.
 
     Without one in the segment, a condition inherited from elsewhere is dropped, unless the segment is the text's first.
+    Work grows with a text's marks, not with their pairs: events meet segments by blocks of places, and one sweep over the places
+    of a key names the conditions next to an event; the nearest of its segment is one of them, if the segment has any.
     """
-    own = events.withColumnRenamed("condition", "inherited").join(parts.select(key, F.col("start").alias("s"), F.col("end").alias("e")), key, "left").where("start >= s and start < e")
-    near = conditions.select(F.col(key).alias("__k"), F.col("start").alias("c"), "condition")
-    j = own.join(near, (F.col(key) == F.col("__k")) & (F.col("c") >= F.col("s")) & (F.col("c") < F.col("e")), "left")
-    g = j.groupBy(key, "kind", "start", "s", "inherited").agg(F.min_by("condition", F.struct(F.abs(F.col("c") - F.col("start")), "c")).alias("near"))
+    block = lambda c: F.floor(c / BLOCK)
+    spans = parts.where("end > start").select(F.col(key).alias("__k"), F.col("start").alias("s"), F.col("end").alias("e"))
+    spans = spans.select("*", F.explode(F.sequence(block(F.col("s")), block(F.col("e") - 1))).alias("__b"))
+    said = events.select(F.col(key).alias("__k"), F.lit(1).alias("__event"), "kind", "start", F.col("condition").alias("inherited"), F.lit(None).alias("__c"))
+    known = conditions.select(F.col(key).alias("__k"), F.lit(0).alias("__event"), F.lit(None).alias("kind"), "start", F.lit(None).alias("inherited"), F.struct(F.col("start").alias("c"), "condition").alias("__c"))
+    side = lambda order: F.expr(f"last_value(__c) IGNORE NULLS OVER (PARTITION BY __k ORDER BY {order}, __c.condition DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    swept = said.union(known).where("__k is not null").withColumns({"__before": side("start, __event"), "__after": side("start DESC, __event DESC")}).where("__event = 1")
+    j = swept.withColumn("__b", block(F.col("start"))).join(spans, ["__k", "__b"]).where("start >= s and start < e")
+    inside = lambda c: F.when((F.col(f"{c}.c") >= F.col("s")) & (F.col(f"{c}.c") < F.col("e")), F.struct(F.abs(F.col(f"{c}.c") - F.col("start")).alias("d"), f"{c}.c", f"{c}.condition"))
+    g = j.groupBy("__k", "__b", "kind", "start", "s", "inherited").agg(F.min(F.least(inside("__before"), inside("__after"))).alias("n")).withColumn("near", F.col("n.condition"))
     how = F.when(F.col("near").isNotNull(), "nearest").when(F.col("inherited").isNotNull() & (F.col("s") > 0), "dropped").otherwise("kept")
-    return g.select(key, "kind", "start", F.when(how == "nearest", F.col("near")).when(how == "kept", F.col("inherited")).alias("condition"), how.alias("rebind"))
+    return g.select(F.col("__k").alias(key), "kind", "start", F.when(how == "nearest", F.col("near")).when(how == "kept", F.col("inherited")).alias("condition"), how.alias("rebind"))
 
 
 def compile_frames(frames: DataFrame, registry: DataFrame) -> DataFrame:

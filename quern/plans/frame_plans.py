@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.functions.scratch import scratch, stored
 from quern.operators import frames
 
 from .registry import Derived, query, table
@@ -42,8 +43,9 @@ FROM x LEFT JOIN n ON n.doc_id = x.doc_id AND n.start = x.start"""
 def segment_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in documents, bound to the conditions of their own segments; all have the document's language as an inherited one."""
     docs = table(spark, sf_dir, "documents")
-    spots = docs.select("doc_id", "lang", F.explode(X.spans(F.lower("text"), {"event": _EVENT, "condition": _CONDITION})).alias("m"), F.lower("text").alias("t"))
-    spots = spots.select("doc_id", "lang", "m.kind", "m.start", F.substring(F.col("t"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("word"))
+    found = X.mentions(F.lower("text"), {"event": _EVENT, "condition": _CONDITION})
+    spots = docs.select("doc_id", "lang", X.rows_of(found).alias("m")).where("m is not null").select("doc_id", "lang", "m.kind", "m.start", "m.word")
+    spots = stored(spots, scratch(spark, "mentions"))  # read twice
     events = spots.where("kind = 'event'").select("doc_id", F.col("word").alias("kind"), "start", F.col("lang").alias("condition"))
     conditions = spots.where("kind = 'condition'").select("doc_id", "start", F.col("word").alias("condition"))
     return frames.bound_in_segment(events, conditions, frames.segments(docs, "doc_id"), "doc_id")

@@ -44,3 +44,40 @@ def test_numbers_follow_the_order_over_all_partitions(spark):
         own = sorted(o for x, o in got if x == g)
         assert [got[g, o] for o in own] == list(range(1, len(own) + 1))
     assert core.numbered(df.limit(0), ["g"], "o", "n").count() == 0
+
+
+def _most_rows(df):
+    """The most rows that a node of the executed plan put out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        m = node.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_bound_conditions_make_no_pairs(spark):
+    """Events and conditions of one long segment meet by places; and texts with equal ids keep segments that overlap."""
+    events = spark.createDataFrame([(1, f"e{k % 3}", 10 * k, "all") for k in range(200)], "id int, kind string, start int, condition string")
+    conds = spark.createDataFrame([(1, 10 * k + (4 if k % 2 else 6), f"c{k}") for k in range(200)], "id int, start int, condition string")
+    parts = spark.createDataFrame([(1, 0, 1990), (1, 1990, 2000)], "id int, start int, end int")
+    got = frames.bound_in_segment(events, conds, parts, "id")
+    assert _most_rows(got) <= 2000
+
+    def plain(es, cs, ps):
+        for _, kind, at, inherited in es:
+            for s, e in {(p[1], p[2]) for p in ps if p[1] <= at < p[2]}:
+                near = min(((abs(c - at), c, w) for _, c, w in cs if s <= c < e), default=None)
+                yield (kind, at, near[2], "nearest") if near else (kind, at, None, "dropped") if inherited and s > 0 else (kind, at, inherited, "kept")
+
+    rows = [[tuple(r) for r in d.collect()] for d in (events, conds, parts)]
+    assert rows_of(got, "kind", "start", "condition", "rebind") == sorted(plain(*rows), key=repr)
+    twice = parts.union(spark.createDataFrame([(1, 500, 1200), (1, 700, 705), (1, 706, 709)], "id int, start int, end int"))
+    rows[2] = [tuple(r) for r in twice.collect()]
+    assert rows_of(frames.bound_in_segment(events, conds, twice, "id"), "kind", "start", "condition", "rebind") == sorted(plain(*rows), key=repr)

@@ -57,6 +57,27 @@ class Cues:
 
         return run(text)
 
+    def bits(self, text: Column, lists: list[tuple[str, ...]]) -> Column:
+        """long: bit k is set if the text holds a cue of the k-th list (up to 63 lists)."""
+        if len(lists) > 63:
+            raise ValueError("a long has bits for 63 lists")
+        cues = self.cues
+        mask = [sum(1 << k for k, ps in enumerate(lists) if c in ps) for c in cues]
+
+        @F.arrow_udf("long")
+        def run(texts: pa.Array) -> pa.Array:
+            find = _machine(cues).iter
+
+            def of(t: str) -> int:
+                b = 0
+                for _, (k, _) in find(t):
+                    b |= mask[k]
+                return b
+
+            return pa.array([None if t is None else of(t) for t in texts.to_pylist()], pa.int64())
+
+        return run(text)
+
     def holding(self, text: Column, rules: list[tuple[str, list[list[str]], list[str]]]) -> Column:
         """array<int>: the numbers of the rules (group, cue lists of which each needs one, cues none of which may be there) that a
         text meets; of each group only the first.  Every rule needs a cue, so a text without cues costs its reading alone."""

@@ -11,6 +11,7 @@ that repeat are decided alike; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -124,9 +125,9 @@ def _any(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, xs, F.lit(False))
 
 
-def _both(cases: DataFrame, evidence: str, claim: str, cues: Cues) -> DataFrame:
+def _both(cases: DataFrame, evidence: str, claim: str, found: Callable[[Column], Column]) -> DataFrame:
     t = lambda c: normal(F.coalesce(F.col(c), F.lit("")))
-    return cases.withColumns({"__e": t(evidence), "__c": t(claim)}).withColumns({"__ef": cues.found(F.col("__e")), "__cf": cues.found(F.col("__c"))})
+    return cases.withColumns({"__e": t(evidence), "__c": t(claim)}).withColumns({"__ef": found(F.col("__e")), "__cf": found(F.col("__c"))})
 
 
 SEMANTIC = Cues([p for ps in LABELS.values() for p in ps])
@@ -155,7 +156,7 @@ def semantic(cases: DataFrame, evidence: str = "evidence", claim: str = "claim")
     rules += [(F.size("__cues") > 0, _out("DIRECT_SUPPORT", F.array_join("__cues", "+")))]
     rules += [(share >= LITERAL, _out("DIRECT_SUPPORT", "very_high_literal_entailment")), (share >= PARTLY, _out("PARTIAL_SUPPORT", "partial_literal_overlap"))]
     decided = F.coalesce(*[F.when(holds, out) for holds, out in rules], _out("DOES_NOT_SUPPORT", "insufficient_semantic_match"))
-    return _both(cases, evidence, claim, SEMANTIC).withColumns(numbers).withColumns(stated).withColumn("__v", decided).select(*[F.col(x) for x in cases.columns], "__v.*")
+    return _both(cases, evidence, claim, SEMANTIC.found).withColumns(numbers).withColumns(stated).withColumn("__v", decided).select(*[F.col(x) for x in cases.columns], "__v.*")
 
 
 # ---- frames
@@ -233,6 +234,9 @@ STILL = ["current guideline still", "current guideline recommendation has not ye
 _OTHERS = ["initiat", "starting", "start", "supersedes", "superseded", "later", "newer", "older", "old", "version 2", "version 1", "current guideline", "current label", "current recommendation",
            *CHANGED, *STILL]
 FRAMES = Cues([*(p for ps in [*MODALITIES.values(), *LIMITATIONS.values(), *(ps for _, ps in CAUSAL), *(n for *_, needs in RELATIONS for n in needs), *(n for _, needs in ACTIONS for n in needs)] for p in ps), *_OTHERS])
+#: The lists of cues that frames and their ladder ask for, by their bit in what FRAMES.bits() finds.
+_ASKED = [tuple(ps) for ps in [*MODALITIES.values(), *LIMITATIONS.values(), *(ps for _, ps in CAUSAL), *(n for *_, needs in RELATIONS for n in needs), CHANGED, STILL, *(_OTHERS[a:b] for a, b in ((0, 3), (3, 5), (5, 7), (7, 9), (9, 10), (10, 11), (11, 14)))]]
+_BIT = {ps: k for k, ps in enumerate(dict.fromkeys(_ASKED))}
 _COMPILED = [(op, re.compile(p), a, b) for op, p, a, b in MENTIONS]
 _NUMERIC = "array<struct<operator: string, value: int, low: int, high: int, window: string>>"
 _NUMERIC_ARROW = pa.list_(pa.struct([("operator", pa.string()), ("value", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("window", pa.string())]))
@@ -264,9 +268,17 @@ def _action(window: Column) -> Column:
     return F.coalesce(*[F.when(_all([says(n) for n in needs]), F.lit(name)) for name, needs in ACTIONS])
 
 
+def _has(found: Column, *phrases: str) -> Column:
+    return found.bitwiseAND(F.lit(1 << _BIT[phrases])) != 0
+
+
 def frame(text: Column, found: Column) -> Column:
-    """struct of a text in normal form: modalities, limitations, relations, conditions (with the action meant), causal, temporal."""
-    has = lambda *ps: FRAMES.has(found, *ps)
+    """struct of a text in normal form: modalities, limitations, relations, conditions (with the action meant), causal, temporal.
+
+    found: FRAMES.bits() of the text.  Patterns are looked for only in texts that hold their fixed words.
+    """
+    has = lambda *ps: _has(found, *ps)
+    holds = lambda word: F.contains(text, F.lit(word))
     relation = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
     initiating = has(*MODALITIES["NOT_RECOMMENDED"]) & has("initiat", "starting", "start")
     modalities = F.array_compact(F.array(*[F.when(has(*ps), n) for n, ps in MODALITIES.items()], F.when(initiating, "INITIATION_NOT_RECOMMENDED")))
@@ -276,11 +288,12 @@ def frame(text: Column, found: Column) -> Column:
     def pairs(pattern: str, predicate: str) -> Column:
         return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda a, b: relation(entity(a), predicate, entity(b)))
 
-    named = F.concat(*[pairs(rf"({k}\s+[a-z0-9._-]+)\s+(?:explicitly\s+)?supersedes\s+({k}\s+[a-z0-9._-]+)", "SUPERSEDES") for k in ("guideline", "version")])
+    none = F.array().cast("array<struct<subject: string, predicate: string, object: string>>")
+    named = F.when(holds("supersedes"), F.concat(*[pairs(rf"({k}\s+[a-z0-9._-]+)\s+(?:explicitly\s+)?supersedes\s+({k}\s+[a-z0-9._-]+)", "SUPERSEDES") for k in ("guideline", "version")])).otherwise(none)
     general = F.when(has("supersedes", "superseded"), F.when(has("later", "newer") & has("older", "old"), relation(F.lit("later_version"), "SUPERSEDES", F.lit("older_version"))).when(has("version 2") & has("version 1"), relation(F.lit("version 2"), "SUPERSEDES", F.lit("version 1"))))
     newer = F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array(general)))
-    current = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(rf"({k}\s+[a-z0-9._-]+)[^.;]{{0,40}}?(?:is|remains|treated as|be treated as)\s+(?:the\s+)?current"), F.lit(1)), lambda s: relation(entity(s), "CURRENT_STATUS", F.lit("current"))) for k in ("guideline", "version")])
-    apart = [F.when(text.rlike(p), relation(F.regexp_extract(text, p, 1), n, F.regexp_extract(text, p, 2))) for n, p in (("ASSOCIATED_WITH", r"association between\s+([a-z0-9]+)\s+and\s+([a-z0-9]+)"), ("CAUSES", r"([a-z0-9]+)\s+caused\s+([a-z0-9]+)"))]
+    current = F.when(holds("current"), F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(rf"({k}\s+[a-z0-9._-]+)[^.;]{{0,40}}?(?:is|remains|treated as|be treated as)\s+(?:the\s+)?current"), F.lit(1)), lambda s: relation(entity(s), "CURRENT_STATUS", F.lit("current"))) for k in ("guideline", "version")])).otherwise(none)
+    apart = [F.when(holds(word) & text.rlike(p), relation(F.regexp_extract(text, p, 1), n, F.regexp_extract(text, p, 2))) for n, word, p in (("ASSOCIATED_WITH", "association between", r"association between\s+([a-z0-9]+)\s+and\s+([a-z0-9]+)"), ("CAUSES", "caused", r"([a-z0-9]+)\s+caused\s+([a-z0-9]+)"))]
     stated = F.array_compact(F.array(*apart, *[F.when(_all([has(*n) for n in needs]), relation(F.lit(s), p, F.lit(o))) for s, p, o, needs in RELATIONS]))
     conditions = F.transform(_numeric(text), lambda c: F.struct(c["operator"].alias("operator"), c["value"].alias("value"), c["low"].alias("low"), c["high"].alias("high"), _action(c["window"]).alias("applies_to")))
     temporal = F.when(F.size(newer) > 0, "CURRENT").when(has(*LIMITATIONS["GUIDELINE_NOT_UPDATED"]), "PENDING_UPDATE").when(has("current guideline", "current label", "current recommendation"), "CURRENT").otherwise("NOT_APPLICABLE")
@@ -298,7 +311,7 @@ def _frame_words(f: Column) -> Column:
 
 def framed(cases: DataFrame, evidence: str = "evidence", claim: str = "claim") -> DataFrame:
     """cases with relation and cue."""
-    own = _both(cases, evidence, claim, FRAMES).withColumns({"__ev": frame(F.col("__e"), F.col("__ef")), "__cl": frame(F.col("__c"), F.col("__cf"))})
+    own = _both(cases, evidence, claim, lambda t: FRAMES.bits(t, list(_BIT))).withColumns({"__ev": frame(F.col("__e"), F.col("__ef")), "__cl": frame(F.col("__c"), F.col("__cf"))})
     ev, cl, cf = F.col("__ev"), F.col("__cl"), F.col("__cf")
     limited = lambda n: F.array_contains(ev["limitations"], n)
     claims = lambda *ns: _any([F.array_contains(cl["modalities"], n) for n in ns])
@@ -337,8 +350,8 @@ def framed(cases: DataFrame, evidence: str = "evidence", claim: str = "claim") -
     mechanism = rel(ev, "INHIBITS", "cyp3a") & rel(ev, "SUBSTRATE_OF", "cyp3a")
     genotype = rel(ev, "ASSOCIATED_WITH", "drug_exposure", "genotype")
     vague = rel(ev, "CLASSIFICATION", "indeterminate", "lesion")
-    changes = FRAMES.has(cf, *CHANGED)
-    temporal = F.when(FRAMES.has(cf, *STILL), "PENDING_UPDATE").otherwise(cl["temporal"])
+    changes = _has(cf, *CHANGED)
+    temporal = F.when(_has(cf, *STILL), "PENDING_UPDATE").otherwise(cl["temporal"])
     shared = F.array_intersect(F.array(*[F.lit(x) for x in STRONG]), F.array_intersect(ev["modalities"], cl["modalities"]))
     # what a claim says of a guideline counts among its words
     claim_words = F.when(changes, F.array_union(_frame_words(cl.withField("temporal", temporal)), _words(F.lit("guideline changed assertion")))).otherwise(_frame_words(cl.withField("temporal", temporal)))
@@ -346,6 +359,8 @@ def framed(cases: DataFrame, evidence: str = "evidence", claim: str = "claim") -
     escalates = (ev["causal"].isin("NOT_ESTABLISHED", "ASSOCIATION", "SIGNAL_ONLY")) & (cl["causal"] == "CAUSAL")
     no = lambda cue: _out("DOES_NOT_SUPPORT", cue)
     yes = lambda cue: _out("DIRECT_SUPPORT", cue)
+    # a function of the share, so that it is taken once, and only where no other rung holds
+    by_share = lambda x: F.when((x >= FRAME_LITERAL) & (F.size(ev["limitations"]) == 0), yes("very_high_frame_overlap")).when(x >= FRAME_PARTLY, _out("PARTIAL_SUPPORT", "partial_frame_overlap"))
     rungs = [
         direction,
         F.when(escalates & (ev["causal"] == "NOT_ESTABLISHED"), _out("CONTRADICTS", "causal_polarity_conflict")), F.when(escalates, no("causal_escalation_without_support")),
@@ -366,6 +381,6 @@ def framed(cases: DataFrame, evidence: str = "evidence", claim: str = "claim") -
         F.when(vague & rel(cl, "CLASSIFICATION", "indeterminate", "lesion"), F.when(rel(cl, "RECOMMENDS", "mri_characterization"), yes("report_uncertainty_and_followup_preserved")).otherwise(yes("report_uncertainty_preserved"))),
         F.when((ev["temporal"] == "PENDING_UPDATE") & (temporal == "PENDING_UPDATE"), yes("pending_update_state_preserved")),
         F.when(F.size(shared) > 0, _out("DIRECT_SUPPORT", F.concat(F.lit("shared_bounded_modality:"), F.array_join(shared, ",")))),
-        F.when((share >= FRAME_LITERAL) & (F.size(ev["limitations"]) == 0), yes("very_high_frame_overlap")), F.when(share >= FRAME_PARTLY, _out("PARTIAL_SUPPORT", "partial_frame_overlap")),
+        F.get(F.transform(F.array(share), by_share), F.lit(0)),
     ]
     return own.withColumn("__v", F.coalesce(*rungs, no("insufficient_frame_support"))).select(*[F.col(x) for x in cases.columns], "__v.*")

@@ -195,3 +195,14 @@ def test_a_bare_change_is_a_conflict(spark, kind):
     got = facts.observed(spark.createDataFrame(rows[:2], "key string, seq int, value string, status string, corrected boolean, turn_id string")).first()
     assert (got["status"], got["alternatives"]) == (kind, ["a", "b"])
     assert facts.observed(spark.createDataFrame(rows, "key string, seq int, value string, status string, corrected boolean, turn_id string")).first()["status"] == "confirmed"
+
+
+def test_frames_ask_for_cues_by_bits(spark):
+    """Which cues a text holds is one number, not an array that each of some hundred rules compares anew; and patterns keep what they found."""
+    cues = Cues(["ab", "b", "cd"])
+    df = spark.createDataFrame([("abx",), ("cd",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(cues.bits(F.col("t"), [("b", "cd"), ("ab",), ("cd",)])).collect()] == [3, 5, 0, None]
+    cases = spark.createDataFrame([(1, "Guideline B explicitly supersedes guideline X.", "Guideline X remains the current guideline."), (2, "Guideline B supersedes guideline X.", "Guideline B is the current one."), (3, "An association between alpha and beta.", "It establishes that alpha caused beta.")], CASES).drop("cue")
+    got = V.framed(cases)
+    assert {r["id"]: r["cue"] for r in got.collect()} == {1: "superseded_document_asserted_current", 2: "newer_document_asserted_current", 3: "causal_escalation_without_support"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") < 10

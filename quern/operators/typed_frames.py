@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +28,7 @@ class Rule:
 
     Subject and object may name groups of the first pattern found of the last needs, as $1 and so on.  Of the rules of a
     group only the first that holds counts.  per: clause or text; bears: whether it takes the clause's condition.
+    words: every text that meets the rule holds one of them, so patterns are tried on those texts only (none: on all).
     """
 
     domain: str
@@ -40,6 +41,7 @@ class Rule:
     per: str = "text"
     group: str = ""
     bears: bool = False
+    words: tuple[str, ...] = ()
 
 
 _NAME = r"[a-z0-9._-]+"
@@ -75,6 +77,13 @@ DOMAIN_RULES = [
     Rule("biomarker", "ASSOCIATION", "$1", "$2", "NEGATIVE", ((rf"(biomarker\s+{_NAME})\s+(?:is|was)\s+unrelated\s+to\s+(outcome\s+{_NAME})",),), group="biomarker"),
     Rule("biomarker", "ASSOCIATION", "$1", "$2", "POSITIVE", ((rf"relationship\s+between\s+(biomarker\s+{_NAME})\s+and\s+(outcome\s+{_NAME})",),), group="biomarker"),
 ]
+#: Words of the default rules, by event: each of an event's rules needs one of them, literally.
+_WORDS = {
+    "INITIATION_RESTRICTION": ("recommended", "advised against"), "CONTRAINDICATION": ("contraindicat",), "BENEFIT_RISK_REASSESSMENT": ("benefit", "risk"), "DISCONTINUATION": ("discontinu", "withdraw", "stop"),
+    "SIGNAL_DETECTION": ("signal",), "CAUSALITY_ESTABLISHMENT": ("caus",), "INCIDENCE_ESTIMATION": ("incidence",), "STUDY_STATUS": ("recruiting", "open to enrol", "completed", "has ended"), "PRIMARY_ENDPOINT_DECLARATION": ("primary ",), "ENDPOINT_ACHIEVEMENT_EVIDENCE": ("primary ",), "ENDPOINT_ACHIEVEMENT": ("primary ",),
+    "SUPERSESSION": ("replaces", "supersedes", "displaces"), "CURRENTNESS": ("current", "in force"), "TRIAL_OPTION_SUPPORT": ("favors", "supports"), "MANAGEMENT_RULE_AVAILABILITY": ("genotype",), "DIAGNOSTIC_CLASSIFICATION": ("finding", "lesion"), "ASSOCIATION": ("genotype", "biomarker"),
+}
+DOMAIN_RULES = [replace(r, words=_WORDS[r.event]) for r in DOMAIN_RULES]
 #: Where clauses part.
 CLAUSE_END = [r"\s*;\s*", r"([.!?])\s+", r"\s+\b(?:but|whereas|while|yet)\b\s+"]
 #: A clause's condition, as (operator, pattern); the first that is found.
@@ -99,9 +108,14 @@ def _slot(template: str, m: re.Match | None) -> str:
 
 def detector(rules: list[Rule] = DOMAIN_RULES):
     """A table function of a text in normal form: its frames by the rules."""
-    table = [(r, [[re.compile(p) for p in n] for n in r.needs], [re.compile(p) for p in r.unless]) for r in rules]
+    table = {kind: [(r, [[re.compile(p) for p in n] for n in r.needs], [re.compile(p) for p in r.unless]) for r in rules if r.per == kind] for kind in ("clause", "text")}
     ends, conditions = [re.compile(p) for p in CLAUSE_END], [(op, re.compile(p)) for op, p in CLAUSE_CONDITIONS]
 
+    def condition(scope: str) -> tuple:
+        found = next(((op, [float(x) for x in m.groups()]) for op, p in conditions if (m := p.search(scope))), (None, []))
+        numbers = (None, min(found[1]), max(found[1])) if found[0] == "RANGE" else (*found[1], None, None) if found[1] else (None, None, None)
+        return (found[0], *numbers)
+
     class Frames:
         def eval(self, text: str) -> Iterator[tuple]:
             if not text:
@@ -111,16 +125,14 @@ def detector(rules: list[Rule] = DOMAIN_RULES):
                 cut = end.sub(lambda m: (m[1] if m.re.groups else "") + "\x1f", cut)
             scopes = [(k, c.strip(" ,"), "clause") for k, c in enumerate(cut.split("\x1f"))] + [(-1, text, "text")]
             for k, scope, kind in scopes:
-                found = next(((op, [float(x) for x in m.groups()]) for op, p in conditions if (m := p.search(scope))), (None, []))
-                numbers = (None, min(found[1]), max(found[1])) if found[0] == "RANGE" else (*found[1], None, None) if found[1] else (None, None, None)
                 done = set()
-                for r, needs, unless in table:
-                    if r.per != kind or (r.group and r.group in done):
+                for r, needs, unless in table[kind]:
+                    if (r.group and r.group in done) or (r.words and not any(w in scope for w in r.words)):
                         continue
                     hits = [next((m for p in n if (m := p.search(scope))), None) for n in needs]
                     if all(hits) and not any(p.search(scope) for p in unless):
                         done.add(r.group)
-                        about = (found[0], *numbers) if r.bears else (None,) * 4
+                        about = condition(scope) if r.bears else (None,) * 4
                         yield (r.domain, r.event, _slot(r.subject, hits[-1]), _slot(r.object, hits[-1]), r.polarity, *about, k, scope)
 
     return F.udtf(Frames, returnType=_FRAME)

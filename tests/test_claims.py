@@ -206,3 +206,28 @@ def test_frames_ask_for_cues_by_bits(spark):
     got = V.framed(cases)
     assert {r["id"]: r["cue"] for r in got.collect()} == {1: "superseded_document_asserted_current", 2: "newer_document_asserted_current", 3: "causal_escalation_without_support"}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") < 10
+
+
+def test_rules_are_tried_where_their_words_are(spark, monkeypatch):
+    """A text without any rule's words is not searched by the rules' patterns; each rule finds nothing without its words."""
+    frames, tried = T.detector(), []
+    eval_ = frames.func().eval
+    cells = {n: c.cell_contents for n, c in zip(eval_.__func__.__code__.co_freevars, eval_.__func__.__closure__)}
+
+    class Spy:
+        def __init__(self, p):
+            self.p = p
+
+        def search(self, scope):
+            tried.append(self.p.pattern)
+            return self.p.search(scope)
+
+    for rules in cells["table"].values():
+        rules[:] = [(r, [[Spy(p) for p in n] for n in needs], [Spy(p) for p in unless]) for r, needs, unless in rules]
+    assert list(frames.func().eval("invented prose, nothing else; and more of it")) == [] and not tried
+    for text in filter(None, STATEMENTS):
+        text = " ".join(text.lower().split())
+        tried.clear()
+        got = list(frames.func().eval(text))
+        plain = list(T.detector([T.replace(r, words=()) for r in T.DOMAIN_RULES]).func().eval(text))
+        assert got == plain

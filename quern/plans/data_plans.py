@@ -440,7 +440,7 @@ def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = e.groupBy("s").agg(F.count(F.lit(1)).alias("n")).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey"), "s", "left")
     x = retrieval.shared_neighbours(e.withColumnRenamed("p", "n"))
     side = lambda k: n.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("s_nationkey").alias(f"k{k}"))
-    v = x.join(side("a"), "a").join(side("b"), "b")
+    v = x.join(side("a"), "a", "left").join(side("b"), "b", "left")  # all are found; a left join never broadcasts the pairs, however few Spark expects
     score = F.round(0.75 * F.least(F.lit(1.0), F.col("shared") / 150.0) + F.when(F.col("ka") == F.col("kb"), 0.25).otherwise(0), 6)
     return v.select("a", "b", "shared", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"), score.alias("score")).withColumn("level", F.when(F.col("score") >= 0.75, "alert").when(F.col("score") >= 0.5, "watch").otherwise("note"))
 

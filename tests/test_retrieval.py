@@ -94,3 +94,26 @@ def test_scores_of_pairs_are_not_shuffled(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     keys = [line.split("hashpartitioning(")[1].split("),")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert keys and not any("item_id" in k and "doc_id" in k for k in keys)
+
+
+def test_pairs_are_never_broadcast(spark, tmp_path):
+    """However few pairs Spark expects of a small table, no join of the run collects them at the driver; suppliers without a row stay."""
+    import itertools
+
+    from quern.plans import data_plans
+
+    met = [(s, p) for p in range(40) for s in range(60) if (s * 7 + p) % 3] + [(3, None), (None, 5), (99, 7)]
+    nation = {s: s % 4 for s in range(60)} | {5: None}
+    spark.createDataFrame(met + met[:50], "l_suppkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(list(nation.items()), "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = data_plans.neighbor_overlap(spark, str(tmp_path))
+    rows = {(r["a"], r["b"]): r for r in got.collect()}
+    own = {s: {p for x, p in met if x == s} for s, _ in met}
+    want = {}
+    for a, b in itertools.combinations(sorted(s for s in own if s is not None), 2):
+        if shared := len(own[a] & own[b] - {None}):
+            score = round(0.75 * min(1, shared / 150) + (0.25 if None is not nation.get(a) == nation.get(b) else 0), 6)
+            want[a, b] = (shared, len(own[a]) - shared, len(own[b]) - shared, score, "alert" if score >= 0.75 else "watch" if score >= 0.5 else "note")
+    assert {k: tuple(r)[2:] for k, r in rows.items()} == want and len(want) > 1000 and any(99 in k for k in want)
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final and "BuildLeft" not in final
